@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Stash
+from .sized_join import BROADCAST_ROWS
 
 CHUNK_ROWS = 50_000
 
@@ -62,25 +63,20 @@ def number_rows(df: DataFrame, key: str, order_by: list[str] | None = None) -> t
     counts = rows.groupBy("__part", key).agg(F.count("*").alias("__n"))
     before = W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("__part", F.col(key).alias("__key"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    joined = rows.join(offsets, (rows["__part"] == offsets["__part"]) & rows[key].eqNullSafe(offsets["__key"]))
+    # a (partition, key) pair holds at most one partition's rows, so the join stays even when the offsets are too many to broadcast
+    small = offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(offsets) if small else offsets, (rows["__part"] == offsets["__part"]) & rows[key].eqNullSafe(offsets["__key"]))
     numbered = joined.select(*[rows[c] for c in df.columns], (F.col("__nth") + F.col("__offset")).alias("row_no"))
     return numbered, written
 
 
 def key_counts(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """key, n_rows, n_chunks over all rows, null being a key, by the offsets alone.
+    """key, n_rows, n_chunks over all rows, null being a key: rows are numbered, counted per chunk, and the chunks of a key merged.
 
-    For a state that needs no order or row value (a count) the rows themselves need not move: the counts per input partition and
-    their prefix sums say how many rows of each partition fall into each chunk, chunks are counted from these, and the chunks of
-    a key are merged. An empty table gives no rows.
+    No row is shuffled: numbering needs (key, partition) counts only, and a chunk's count is aggregated map-side. An empty table gives no rows.
     """
-    parts = df.groupBy(F.spark_partition_id().alias("__part"), key).agg(F.count("*").alias("__n"))
-    before = W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    placed = parts.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    first, last = F.floor(F.col("__from") / chunk_rows), F.floor((F.col("__from") + F.col("__n") - 1) / chunk_rows)
-    pieces = placed.withColumn("__chunk", F.explode(F.sequence(first, last)))
-    inside = F.least(F.col("__from") + F.col("__n"), (F.col("__chunk") + 1) * chunk_rows) - F.greatest(F.col("__from"), F.col("__chunk") * chunk_rows)
-    chunks = pieces.groupBy(key, "__chunk").agg(F.sum(inside).cast("long").alias("__n"))
+    rows, _ = number_rows(df.select(key), key)
+    chunks = rows.groupBy(key, F.floor(F.col("row_no") / chunk_rows).alias("__chunk")).agg(F.count("*").alias("__n"))
     return chunks.groupBy(key).agg(F.sum("__n").alias("n_rows"), F.count("*").alias("n_chunks"))
 
 
