@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Stash
+
 # Letters of Cyrillic and Greek that are drawn like a Latin letter (Unicode confusables of these three scripts).
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
@@ -139,12 +141,13 @@ def look_alike_pairs(docs: DataFrame, id_col: str, text: str | Column) -> DataFr
     Documents of one consistent form are candidates; the exact check compares what is shown, which tells case, accents, superscripts and
     dashes apart. Copies of one string do not pair with each other. Null texts pair with nothing.
 
-    Only keys and ids are shuffled. Classes with a single text are dropped by map-side aggregation before any join, so the many
-    copies of one text never meet; the rows that are left are those that have a partner.
+    Only keys and ids are shuffled. Texts are first reduced to distinct ones by map-side aggregation and paired as texts, those of one class with
+    each other; documents are then joined to the pairs of texts. So copies of one text never meet, however many there are, and every joined row is a result.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), look_keys(text).alias("k")).select("id", "k.coarse", "k.fine", "k.exact").filter("exact is not null")
-    several = keyed.groupBy("coarse", "fine").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).filter("a <> b").select("coarse", "fine")
-    mixed = keyed.join(several, ["coarse", "fine"])
-    other = mixed.select("coarse", "fine", F.col("id").alias("id_b"), F.col("exact").alias("exact_b"))
-    pairs = mixed.join(other, ["coarse", "fine"]).filter((F.col("exact") != F.col("exact_b")) & (F.col("id") < F.col("id_b")))
-    return pairs.select(F.col("id").alias("id_a"), "id_b").distinct()
+    written = Stash(keyed, "looks").df
+    texts = written.groupBy("coarse", "fine", "exact").agg(F.lit(1).alias("one")).drop("one")
+    pairs = texts.join(texts.withColumnRenamed("exact", "exact_b"), ["coarse", "fine"]).filter(F.col("exact") < F.col("exact_b")).select("exact", "exact_b")
+    first = written.select("id", "exact").join(pairs, "exact").select("id", "exact_b")
+    both = first.join(written.select(F.col("id").alias("other"), F.col("exact").alias("exact_b")), "exact_b").filter(F.col("id") != F.col("other"))
+    return both.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
