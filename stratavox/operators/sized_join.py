@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it has at most so many rows (narrow rows: keys and a few fixed columns).
+#: A side is broadcast only when it has at most so many rows (narrow rows: keys and a few fixed columns), …
 BROADCAST_ROWS = 200_000
+#: … or, where rows are wide, so many bytes by the caller's measure of a row.
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", row_bytes: int | None = None) -> DataFrame:
     """``big`` joined with ``small``, which is unique on ``on``.
 
-    ``small`` is counted first. Up to ``limit`` rows it is broadcast. Beyond that both sides are shuffled; a key of ``big`` may
+    ``small`` is counted first. Up to the limit it is broadcast. Beyond that both sides are shuffled; a key of ``big`` may
     hold a third of its rows, so its rows are spread over ``SALTS`` salts and ``small`` is repeated once per salt. Null keys
     match nothing (``left`` keeps such rows of ``big``).
     """
+    limit = BROADCAST_ROWS if row_bytes is None else min(BROADCAST_ROWS, BROADCAST_BYTES // max(row_bytes, 1))
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), on, how)
     salt = "__salt"
