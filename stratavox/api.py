@@ -138,21 +138,23 @@ def analyze_summaries(
     keys = [c for c in text.columns[4:] if c.lower() not in data_columns]
     if region_column not in keys:
         raise ValueError(f"The summaries have no region column {region_column}")
-    typed = text.select("sample", "channel", "row_ord", *[F.col(region_column).cast("int").alias("id")], *[F.col(k) for k in keys], *[F.col(names[c]).cast("double").alias(c) for c in data_columns])
+    typed = text.select("sample", "channel", "row_ord", F.col(region_column).cast("int").alias("__region"), *[F.col(k) for k in keys], *[F.col(names[c]).cast("double").alias(c) for c in data_columns])
     tree = atlas.checked_tree(outline)
-    obs = samples.with_leaf_flag(samples.without_regions(typed.join(groups, "sample"), tree, exclude_regions, include_regions), tree, only_leafs)
+    kept = samples.without_regions(typed.join(groups, "sample"), tree, exclude_regions, include_regions, "__region")
+    obs = samples.with_leaf_flag(kept, tree, only_leafs, "__region")
     result = {}
     for channel in channels:
         own = obs.filter(F.col("channel") == channel)
-        lines = ["row_ord", "id", *keys]
-        tests = stats.welch(stats.group_moments(own, ["row_ord", "id", "testable"], "group_label", stat_column.lower()), ["row_ord", "id", "testable"])
+        lines = ["row_ord", *keys]
+        own_keys = ["row_ord", "__region", "testable"]
+        tests = stats.welch(stats.group_moments(own, own_keys, "group_label", stat_column.lower()), own_keys).withColumnRenamed("__region", "region_id")
         tables = {
             "raw": samples.raw_wide(own, lines, data_columns), "means": samples.group_means_wide(own, lines, data_columns), "samples": samples.sample_groups(own, factors),
-            "matrix": samples.raw_wide(own.filter("testable"), ["row_ord", "id"], [stat_column.lower()]),
+            "matrix": samples.raw_wide(own.filter("testable"), ["row_ord", "__region"], [stat_column.lower()]).withColumnRenamed("__region", "RegionID"),
             "tests": stats.benjamini_hochberg(tests, ["group_a", "group_b"], testable=F.col("testable")) if t_test or false_discovery else tests.limit(0),
         }
         if negative_binomial:
-            counts = own.filter("testable").select(F.col("id").alias("region_id"), "sample", F.col(stat_column.lower()).alias("n"))
+            counts = own.filter("testable").select(F.col("__region").alias("region_id"), "sample", F.col(stat_column.lower()).alias("n"))
             tables["levels"] = deseq.compare_levels(counts, tables["samples"], factors)
         for name, path in (("raw", raw_path), ("means", means_path), ("matrix", matrix_path), ("samples", samples_path), ("tests", analyzed_path)):
             if path:

@@ -20,7 +20,7 @@ DICTIONARY_LINES = 1_000_000
 
 
 def _lines(spark: SparkSession, path: str) -> list[list[str]]:
-    text = spark.read.option("wholetext", True).text(path).first()
+    text = spark.read.text(path, wholetext=True).first()
     rows = list(csv.reader(io.StringIO(text[0] if text else "", newline="")))
     if len(rows) > DICTIONARY_LINES:
         raise ValueError(f"{path} has {len(rows)} lines; a dictionary has at most {DICTIONARY_LINES}")
@@ -96,7 +96,7 @@ def read_summaries(spark: SparkSession, index: list[tuple[str, int, str]]) -> Da
     if not index:
         raise ValueError("No summary was found")
     files = spark.createDataFrame(index, "sample string, channel int, summary_filename string")
-    whole = spark.read.option("wholetext", True).text([f for _, _, f in index]).select("value", F.col("_metadata.file_path").alias("path"))
+    whole = spark.read.text([f for _, _, f in index], wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     lines = whole.select(bare("path").alias("path"), F.split(F.regexp_replace("value", "(\r?\n)+$", ""), "\r?\n").alias("lines"))
     headers = [r[0] for r in lines.select(F.col("lines")[0]).distinct().limit(2).collect()]

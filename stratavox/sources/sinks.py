@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ LEVEL_HEADER = ["ID", "Abbreviation", "Leaf", "Parent ID", "Original ID", "Origi
 
 
 def _same_place(df: DataFrame, path: str) -> bool:
-    plain = lambda p: p.removeprefix("file:").rstrip("/").replace("//", "/")
+    plain = lambda p: re.sub("/+", "/", p.removeprefix("file:")).rstrip("/")
     own = plain(path)
     return any(plain(f) == own or plain(f).startswith(own + "/") for f in df.inputFiles())
 

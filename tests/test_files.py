@@ -176,7 +176,7 @@ def test_analyze_by_command_line(spark, study):
     )
     cli.run(spark, args)
     raw = (study / "raw_561.csv").read_text().splitlines()
-    assert raw[0] == "id,ID,Abbreviation,s1:total cells,s2:total cells,s3:total cells,s4:total cells" and raw[1] == "1,1,root,1.0,2.0,13.0,14.0" and len(raw) == 5
+    assert raw[0] == "ID,Abbreviation,s1:total cells,s2:total cells,s3:total cells,s4:total cells" and raw[1] == "1,root,1.0,2.0,13.0,14.0" and len(raw) == 5
     tests = (study / "tests.csv").read_text().splitlines()
     assert len(tests) == 5
     assert cli.parse_group(["Condition=Ctl", "Sex=F"]) == {"condition": "ctl", "sex": "f"}
