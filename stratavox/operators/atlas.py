@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sized_join import sized_join
+
 # Fixed values of the atlas format.
 OTHER_OFFSET = 20000
 OTHER_SUFFIX = "-other"
@@ -103,10 +105,10 @@ def resolve_leaves(cells: DataFrame, regions: DataFrame, region_col: str = "regi
 
     placement: 'leaf', 'outside' (region 0), 'unlocated' (null region), 'unknown' (no such node), 'not_leaf' (a node with children but no
     ``-other`` child). leaf_id is 0 outside, null unless placed. ``strict`` raises at run time for unknown regions and non-leaves instead.
-    The map has one row per atlas node and is broadcast; cells are not shuffled.
+    Columns of these names are replaced. The map has one row per atlas node and is broadcast; cells are not shuffled.
     """
     ids = leaf_map(regions).select(F.col("region_id").alias("__region"), "leaf_id", "of_leaf")
-    joined = cells.join(F.broadcast(ids), F.col(region_col) == F.col("__region"), "left")
+    joined = cells.drop("leaf_id", "placement").join(F.broadcast(ids), F.col(region_col) == F.col("__region"), "left")
     where = F.col(region_col)
     placement = (
         F.when(where.isNull(), "unlocated").when(where == OUTSIDE, "outside").when(F.col("leaf_id").isNull(), "unknown").when(~F.col("of_leaf"), "not_leaf").otherwise("leaf")
@@ -128,8 +130,6 @@ def locate(cells: DataFrame, annotation: DataFrame, name: str = "voxel_region")
     whole = {c: F.when(known & (F.abs(F.col(c)) < 1e9), F.rint(c)).cast("int") for c in "zyx"}
     rows = annotation.groupBy(F.col("z").alias("__z"), F.col("y").alias("__y")).agg(F.min("labels").alias("__labels"))
     widest = rows.agg(F.max(F.size("__labels"))).first()[0] or 0
-    from .sized_join import sized_join
-
     placed = cells.withColumn("__z", whole["z"]).withColumn("__y", whole["y"]).withColumn("__x", whole["x"])
     joined = sized_join(placed, rows, ["__z", "__y"], "left", row_bytes=4 * widest + 32)
     label = F.when(F.col("__x") >= 0, F.try_element_at("__labels", F.col("__x") + 1))

@@ -88,8 +88,9 @@ def _solve(nodes: DataFrame, n: int, fragment_rows: int, stashes: list[Stash]) -
         upper = _double(quotient, m) if m > 0.8 * n and parts > 1 else _solve(quotient, m, fragment_rows, stashes)
     if upper is None:
         return done.select("scope", "id", F.when(F.col("state") == "cycle", "cycle").otherwise("root").alias("state"), F.when(F.col("state") == "cycle", F.array("id")).otherwise(F.col("path")).alias("path"))
-    above = upper.select("scope", F.col("id").alias("exit_id"), F.col("state").alias("above_state"), F.col("path").alias("above_path"))
-    joined = sized_join(done, above, ["scope", "exit_id"], "left")
+    solved = Stash(upper.select("scope", F.col("id").alias("exit_id"), F.col("state").alias("above_state"), F.col("path").alias("above_path")), "solved")
+    stashes.append(solved)
+    joined = sized_join(done, solved.df, ["scope", "exit_id"], "left", row_bytes=_path_bytes(solved.df, "above_path"))
     circular = (F.col("state") == "cycle") | F.coalesce(F.col("above_state") == "cycle", F.lit(False))
     return joined.select(
         "scope", "id", F.when(circular, "cycle").otherwise("root").alias("state"),
@@ -97,6 +98,11 @@ def _solve(nodes: DataFrame, n: int, fragment_rows: int, stashes: list[Stash]) -
     )
 
 
+def _path_bytes(df: DataFrame, path: str) -> int:
+    """Bytes of a row with the longest path, so that long paths are broadcast in small numbers only."""
+    return 8 * (df.agg(F.max(F.size(path))).first()[0] or 0) + 64
+
+
 def _double(nodes: DataFrame, n: int) -> DataFrame:
     """The same result by pointer doubling, for a quotient that contraction hardly makes smaller: log2(n) rounds of joins.
 
@@ -111,7 +117,8 @@ def _double(nodes: DataFrame, n: int) -> DataFrame:
                 break
             above = now.select("scope", F.col("id").alias("up"), F.col("up").alias("next"), *[F.col(c).alias(f"above_{c}") for c in path])
             longer = [F.concat(F.coalesce("above_path", F.array().cast("array<long>")), "path").alias("path")] if with_path else []
-            now = sized_join(now, above, ["scope", "up"], "left").select("scope", "id", F.col("next").alias("up"), *longer)
+            size = _path_bytes(above, "above_path") if with_path else None
+            now = sized_join(now, above, ["scope", "up"], "left", row_bytes=size).select("scope", "id", F.col("next").alias("up"), *longer)
         return now
 
     rounds = int(np.ceil(np.log2(max(n, 2)))) + 2

@@ -52,9 +52,10 @@ def number_rows(df: DataFrame, key: str, order_by: list[str] | None = None) -> t
 
     With ``order_by`` rows are numbered in that order (range partitions of the order columns, which do not depend on the key, so no
     partition is hot); else in the order of the input partitions. The partition-wise numbers are written once, so that a
-    lost executor cannot change them. Null is a key of its own; a name clash with the added columns is the caller's to avoid.
+    lost executor cannot change them. Null is a key of its own. Columns named __nth, __part or row_no are replaced.
     Only (key, partition) counts are shuffled: a hot key has one count per partition.
     """
+    df = df.drop("__nth", "__part", "row_no")
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     schema = T.StructType([*df.schema.fields, T.StructField("__nth", T.LongType())])

@@ -36,10 +36,12 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else one of our own (tests only)."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else the warehouse, or one of our own on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):  # a cluster's machines share the warehouse, not their temporary folders
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="spark-stratavox-", dir=os.environ.get("TMPDIR", "/tmp")))
     return f"file://{_OWN_FOLDER[0]}"
