@@ -126,7 +126,7 @@ def keep_fraction(records: DataFrame, targets: DataFrame, source: list[str]) ->
         usable = usable.filter(F.col(c).isNotNull())
     one = usable.groupBy(*source).agg(F.max(F.struct("keep_permille", "keep_side")).alias("t")).select(*source, "t.keep_permille", "t.keep_side")
     aims = Stash(one.withColumn("sid", F.monotonically_increasing_id()), "targets").df
-    good = records.filter(F.col("value").isNotNull() & ~F.isnan("value")).join(aims, source)
+    good = records.select(*source, "row_id", "value").filter(F.col("value").isNotNull() & ~F.isnan("value")).join(aims, source)
     signed = F.when(F.col("keep_side") == "high", -F.col("value")).otherwise(F.col("value"))
     written = Stash(good.select("sid", "row_id", signed.cast("double").alias("v")), "records").df
     values = written.select("sid", "v")

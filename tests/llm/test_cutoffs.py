@@ -37,7 +37,7 @@ def test_cutoffs_match_sorting(spark, seed):
     rows = records(seed, 900)
     rng = random.Random(seed)
     targets = [(s, "m", rng.choice(["high", "low"]), rng.choice([0, 1, 5, 100, 333, 500, 999, 1000]), "x") for s in ("hot", "s0", "s1", "s2", "s3", "none")]
-    cutoffs, kept = keep_fraction(spark.createDataFrame(rows, RECORDS).drop("keep_side"), spark.createDataFrame(targets, TARGETS), ["src", "kind"])
+    cutoffs, kept = keep_fraction(spark.createDataFrame(rows, RECORDS), spark.createDataFrame(targets, TARGETS), ["src", "kind"])
     want, want_kept = brute(rows, targets)
     assert {r["src"]: (r["n"], r["k"], r["cutoff"], r["n_kept"]) for r in cutoffs.collect()} == want
     got = [r["row_id"] for r in kept.collect()]
@@ -53,7 +53,7 @@ def test_every_rank_of_awkward_values(spark):
 
 
 def test_empty_tables_and_bad_targets(spark):
-    empty = spark.createDataFrame([], RECORDS).drop("keep_side")
+    empty = spark.createDataFrame([], RECORDS)
     targets = spark.createDataFrame([("a", "m", "high", 5, ""), ("a", "m", None, 5, ""), (None, "m", "low", 5, ""), ("b", "m", "low", None, "")], TARGETS)
     cutoffs, kept = keep_fraction(empty, targets, ["src", "kind"])
     assert [(r["src"], r["n"], r["cutoff"]) for r in cutoffs.collect()] == [("a", 0, None)] and kept.count() == 0
