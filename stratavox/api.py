@@ -121,7 +121,10 @@ def analyze_summaries(
     only_leafs: bool = True, t_test: bool = False, false_discovery: bool = False, negative_binomial: bool = False,
     raw_path: str | None = None, means_path: str | None = None, matrix_path: str | None = None, samples_path: str | None = None, analyzed_path: str | None = None,
 ) -> dict[int, dict[str, DataFrame]] | None:
-    """Per channel the tables raw, means, matrix, samples and tests (and levels of the negative-binomial comparison), optionally written; None when nothing matches."""
+    """Per channel the tables raw, means, matrix, samples, tests, analyzed (and levels of the negative-binomial comparison), optionally written; None when nothing matches.
+
+    ``analyzed`` holds a row per region with ``p: a vs. b``, ``p-corr: a vs. b`` and ``factor:a-vs-b:measure`` columns.
+    """
     factors = [f.lower() for f in factors]
     if "channel" in factors:
         raise ValueError("A factor may not be named channel")
@@ -156,7 +159,11 @@ def analyze_summaries(
         if negative_binomial:
             counts = own.filter("testable").select(F.col("__region").alias("region_id"), "sample", F.col(stat_column.lower()).alias("n"))
             tables["levels"] = deseq.compare_levels(counts, tables["samples"], factors)
-        for name, path in (("raw", raw_path), ("means", means_path), ("matrix", matrix_path), ("samples", samples_path), ("tests", analyzed_path)):
+        rows = own.select("row_ord", F.col("__region").alias("region_id"), *[F.col(k) for k in keys if k.lower() != "region_id"]).dropDuplicates(["row_ord"])
+        if t_test or false_discovery:
+            rows = rows.join(stats.analyzed_wide(tables["tests"], ["row_ord"]), "row_ord", "left")
+        tables["analyzed"] = stats.levels_wide(rows, tables["levels"]) if negative_binomial else rows
+        for name, path in (("raw", raw_path), ("means", means_path), ("matrix", matrix_path), ("samples", samples_path), ("analyzed", analyzed_path)):
             if path:
                 sinks.write_csv(tables[name], sinks.channel_path(path, channel, len(channels) > 1), order="row_ord" if "row_ord" in tables[name].columns else None)
         result[channel] = tables

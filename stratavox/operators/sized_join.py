@@ -12,15 +12,15 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", row_bytes: int | None = None) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", row_bytes: int | None = None, rows: int | None = None) -> DataFrame:
     """``big`` joined with ``small``, which is unique on ``on``.
 
-    ``small`` is counted first. Up to the limit it is broadcast. Beyond that both sides are shuffled; a key of ``big`` may
+    ``small`` is counted first (unless the caller has: ``rows``). Up to the limit it is broadcast. Beyond that both sides are shuffled; a key of ``big`` may
     hold a third of its rows, so its rows are spread over ``SALTS`` salts and ``small`` is repeated once per salt. Null keys
     match nothing (``left`` keeps such rows of ``big``).
     """
     limit = BROADCAST_ROWS if row_bytes is None else min(BROADCAST_ROWS, BROADCAST_BYTES // max(row_bytes, 1))
-    if small.limit(limit + 1).count() <= limit:
+    if (small.limit(limit + 1).count() if rows is None else rows) <= limit:
         return big.join(F.broadcast(small), on, how)
     salt = "__salt"
     salted = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

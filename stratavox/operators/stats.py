@@ -55,3 +55,28 @@ def benjamini_hochberg(tests: DataFrame, families: list[str], p: str = "p", test
     later = own.orderBy(F.col("__rank").desc()).rowsBetween(W.unboundedPreceding, 0)
     corrected = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(later))
     return ranked.withColumn(name, F.when(F.col("__valid"), corrected).otherwise(-1.0)).drop("__valid", "__m", "__rank")
+
+
+def analyzed_wide(tests: DataFrame, keys: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """A row per region with ``p: a vs. b`` and ``p-corr: a vs. b`` per pair of groups, of ``tests`` with p and p_corr. Pairs come in sorted order."""
+    if pairs is None:
+        pairs = [tuple(r) for r in tests.select("group_a", "group_b").distinct().orderBy("group_a", "group_b").collect()]
+    label = F.concat("group_a", F.lit(" vs. "), "group_b")
+    names = [f"{a} vs. {b}" for a, b in pairs]
+    wide = tests.withColumn("__pair", label).groupBy(*keys).pivot("__pair", names).agg(F.first("p").alias("p"), F.first("p_corr").alias("c"))
+    columns = [c for name in names for c in (F.col(f"`{name}_p`").alias(f"p: {name}"), F.col(f"`{name}_c`").alias(f"p-corr: {name}"))]
+    return wide.select(*keys, *columns)
+
+
+LEVEL_MEASURES = {"baseMean": "base_mean", "log2FoldChange": "log2_fold_change", "lfcSE": "lfc_se", "stat": "stat", "pvalue": "pvalue", "padj": "padj"}
+
+
+def levels_wide(regions: DataFrame, levels: DataFrame, contrasts: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """``regions`` (with region_id) with ``factor:a-vs-b:measure`` columns of a negative-binomial comparison; -1 for regions that it left out, NaN where it is undefined."""
+    if contrasts is None:
+        contrasts = [tuple(r) for r in levels.select("factor", "level_a", "level_b").distinct().orderBy("factor", "level_a", "level_b").collect()]
+    names = [f"{f}:{a}-vs-{b}" for f, a, b in contrasts]
+    label = F.concat("factor", F.lit(":"), "level_a", F.lit("-vs-"), "level_b")
+    wide = levels.withColumn("__contrast", label).groupBy("region_id").pivot("__contrast", names).agg(*[F.first(F.coalesce(c, F.lit(NAN))).alias(m) for m, c in LEVEL_MEASURES.items()])
+    columns = [F.coalesce(F.col(f"`{n}_{m}`"), F.lit(-1.0)).alias(f"{n}:{m}") for n in names for m in LEVEL_MEASURES]
+    return regions.join(wide, "region_id", "left").select(*[regions[c] for c in regions.columns], *columns)

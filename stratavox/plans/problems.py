@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.atlas import outline_tree
 from ..operators.latest import current_cells
 from ..operators.links import descendants, hierarchies, latest_links
 from ..operators.orphans import atlas_references, orphan_references, orphan_report
 from ..operators.skew import hot_keys, key_counts, ordered_profile
 from ..operators.spatial import near_pairs, regions_of_points
 from ..sources.tables import table
+from .reference import TREE_SQL
 
 NEAR = 0.75
 HOT_PERMILLE = 40
@@ -26,7 +28,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_regions(spark: SparkSession, folder: str) -> DataFrame:
     cells = current_cells(table(spark, folder, "cells", *_POSITION))
-    return regions_of_points(cells, "cell_ord", table(spark, folder, "annotation")).withColumnRenamed("id", "cell_ord")
+    return regions_of_points(cells, "cell_ord", table(spark, folder, "annotation")).select(F.col("id").alias("cell_ord"), F.col("voxel_region").alias("region_id"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,6 +65,12 @@ def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("scope").alias("atlas_name"), F.col("ancestor_id").cast("int").alias("ancestor_id"), F.col("id").cast("int").alias("id"), F.col("distance").cast("int").alias("distance"))
 
 
+def p4_outline(spark: SparkSession, folder: str) -> DataFrame:
+    tree = outline_tree(table(spark, folder, "atlas_outline")).withColumn("atlas", F.lit("outline"))
+    solved = hierarchies(tree, "atlas", "region_id", "parent_id")
+    return solved.select(F.col("id").cast("int").alias("id"), F.col("root_id").cast("int").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.array_join("path", "/").alias("path"))
+
+
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     refs = atlas_references(
         table(spark, folder, "cells", "cell_ord", "region_id", "loaded_at"), table(spark, folder, "summaries", "summary_row", "id", "loaded_at"),
@@ -79,7 +87,7 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(*_references(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_regions, p3_found, p3_region_counts, p3_region_profile, p4_found, p4_paths, p4_descendants, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_regions, p3_found, p3_region_counts, p3_region_profile, p4_found, p4_paths, p4_descendants, p4_outline, p6_found, p6_report)}
 
 #: DuckDB may answer isnan() from Parquet statistics, which leave NaN out; the SQL compares the text instead.
 _CURRENT = """current_cells AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_name, channel, det_no
@@ -109,7 +117,7 @@ SQL = {
       SELECT k.cell_ord AS cell_ord_a, s.cell_ord AS cell_ord_b FROM known k JOIN spread s USING (image_name, bz, by_, bx)
       WHERE k.cell_ord < s.cell_ord AND (k.z - s.z) ** 2 + (k.y - s.y) ** 2 + (k.x - s.x) ** 2 <= 0.5625""",
     "p2_regions": f"""WITH {_CURRENT} SELECT c.cell_ord, CAST(CASE WHEN c.z IS NULL OR c.y IS NULL OR c.x IS NULL OR coalesce(CAST(c.z AS VARCHAR) = 'nan', false) OR coalesce(CAST(c.y AS VARCHAR) = 'nan', false) OR coalesce(CAST(c.x AS VARCHAR) = 'nan', false) THEN NULL
-        WHEN round_even(c.x, 0) < 0 THEN 0 ELSE coalesce(a.labels[TRY_CAST(round_even(c.x, 0) AS INT) + 1], 0) END AS INT) AS voxel_region
+        WHEN round_even(c.x, 0) < 0 THEN 0 ELSE coalesce(a.labels[TRY_CAST(round_even(c.x, 0) AS INT) + 1], 0) END AS INT) AS region_id
       FROM current_cells c LEFT JOIN annotation a ON a.z = CASE WHEN coalesce(CAST(c.z AS VARCHAR) = 'nan', false) THEN NULL ELSE TRY_CAST(round_even(c.z, 0) AS INT) END
         AND a.y = CASE WHEN coalesce(CAST(c.y AS VARCHAR) = 'nan', false) THEN NULL ELSE TRY_CAST(round_even(c.y, 0) AS INT) END""",
     "p3_found": "SELECT region_id FROM cells WHERE region_id IS NOT NULL GROUP BY region_id HAVING count(*) * 25 >= (SELECT count(*) FROM cells)",
@@ -125,6 +133,7 @@ SQL = {
       FROM valid v LEFT JOIN walk w ON w.atlas_name = v.atlas_name AND w.id = v.id""",
     "p4_descendants": f"""WITH RECURSIVE {_LINKS}, opened AS (SELECT atlas_name, id, depth, unnest(up) AS ancestor_id, generate_subscripts(up, 1) - 1 AS place FROM walk)
       SELECT atlas_name, ancestor_id, id, CAST(depth - place AS INT) AS distance FROM opened WHERE depth > place""",
+    "p4_outline": f"WITH RECURSIVE {TREE_SQL} SELECT region_id AS id, 1 AS root_id, CAST(depth AS INT) AS depth, path FROM tree",
     "p6_found": f"WITH {_REFS} SELECT * FROM found",
     "p6_report": f"WITH {_REFS} SELECT ref_table, load_month, reason, count(*) AS n_refs, count(DISTINCT ref_row) AS n_rows, count(DISTINCT ref_id) AS n_ids FROM found GROUP BY ALL",
 }

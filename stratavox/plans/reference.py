@@ -25,11 +25,12 @@ def _cells(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, folder: str) -> DataFrame:
-    return atlas.outline_tree(table(spark, folder, "atlas_outline"))
+    """The outline's tree, written once per query: its windows would else be repeated in every branch of a plan."""
+    return Stash(atlas.outline_tree(table(spark, folder, "atlas_outline")), "tree").df
 
 
-def _placed(spark: SparkSession, folder: str) -> DataFrame:
-    return atlas.resolve_leaves(_cells(spark, folder, "region_id"), _tree(spark, folder))
+def _placed(spark: SparkSession, folder: str, tree: DataFrame | None = None) -> DataFrame:
+    return atlas.resolve_leaves(_cells(spark, folder, "region_id"), _tree(spark, folder) if tree is None else tree)
 
 
 def _one(spark: SparkSession, name: str, value: float | None) -> DataFrame:
@@ -40,7 +41,7 @@ def _one(spark: SparkSession, name: str, value: float | None) -> DataFrame:
 
 
 def tree_from_outline(spark, folder):
-    return _tree(spark, folder).drop("path")
+    return atlas.outline_tree(table(spark, folder, "atlas_outline")).drop("path")
 
 
 def tree_closure(spark, folder):
@@ -145,7 +146,8 @@ def region_counts(spark, folder):
 
 
 def region_rollup(spark, folder):
-    return regions.roll_up(regions.leaf_counts(_placed(spark, folder)), _tree(spark, folder))
+    tree = _tree(spark, folder)
+    return regions.roll_up(regions.leaf_counts(_placed(spark, folder, tree)), tree)
 
 
 def region_outside(spark, folder):
@@ -161,8 +163,9 @@ def volume_consistency(spark, folder):
     return regions.volume_mismatches(tree, regions.node_volumes(tree, table(spark, folder, "region_volumes")))
 
 
-def _summary(spark, folder):
-    return regions.region_summary(_placed(spark, folder), _tree(spark, folder), table(spark, folder, "region_volumes"))
+def _summary(spark, folder, tree=None):
+    tree = _tree(spark, folder) if tree is None else tree
+    return regions.region_summary(_placed(spark, folder, tree), tree, table(spark, folder, "region_volumes"))
 
 
 def region_summary(spark, folder):
@@ -176,12 +179,13 @@ def region_density(spark, folder):
 def image_region_rollup(spark, folder):
     """Roll-up of every image and channel in one job."""
     cells = current_cells(table(spark, folder, "cells", *KEY_COLUMNS, "region_id"))
-    keys = ["image_name", "channel"]
-    return regions.roll_up(regions.leaf_counts(atlas.resolve_leaves(cells, _tree(spark, folder)), keys), _tree(spark, folder), keys)
+    keys, tree = ["image_name", "channel"], _tree(spark, folder)
+    return regions.roll_up(regions.leaf_counts(atlas.resolve_leaves(cells, tree), keys), tree, keys)
 
 
 def level_export(spark, folder):
-    return _rounded(regions.level_layout(_summary(spark, folder), _tree(spark, folder)), "total_volume_mm3", "cell_density_mm3")
+    tree = _tree(spark, folder)
+    return _rounded(regions.level_layout(_summary(spark, folder, tree), tree), "total_volume_mm3", "cell_density_mm3")
 
 
 def merged_groups(spark, folder):
@@ -281,6 +285,13 @@ def bh_fdr(spark, folder):
     return corrected.select("channel", "id", "group_a", "group_b", F.round("p_corr", 4).alias("p_corr"))
 
 
+def analyzed_wide(spark, folder):
+    flagged = samples.with_leaf_flag(_tests(spark, folder).filter("channel = 561"), _tree(spark, folder))
+    corrected = stats.benjamini_hochberg(flagged, ["group_a", "group_b"], testable=F.col("testable"))
+    wide = stats.analyzed_wide(corrected, ["id"])
+    return wide.select("id", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in wide.columns[1:]])
+
+
 def _counts(spark, folder):
     leaves = samples.with_leaf_flag(_obs(spark, folder).filter("channel = 561"), _tree(spark, folder)).filter("testable AND total_cells IS NOT NULL")
     return leaves.select(F.col("id").alias("region_id"), "sample", F.col("total_cells").alias("n"), "condition_name")
@@ -308,7 +319,7 @@ _NAMES = (
     "tree_from_outline tree_closure tree_preorder_depth tree_validation_report leaf_resolution locate_voxels filter_fixed filter_percentile filter_mean filter_peak "
     "filter_chain filter_removed hist_peak hist_linear hist_log hist_trimmed measure_summary region_counts region_rollup region_outside other_volume volume_consistency "
     "region_summary region_density image_region_rollup level_export merged_groups collate_long exclude_groups sample_metadata exclude_regions include_regions only_leafs group_n raw_wide "
-    "group_means_wide stat_matrix group_moments welch_t welch_p bh_fdr deseq_size_factors deseq_base_mean deseq_wald invgamma_pdf"
+    "group_means_wide stat_matrix group_moments welch_t welch_p bh_fdr analyzed_wide deseq_size_factors deseq_base_mean deseq_wald invgamma_pdf"
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -316,7 +327,7 @@ QUERIES = {name: globals()[name] for name in _NAMES}
 
 _CELLS = """cell AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_name, channel, det_no ORDER BY loaded_at DESC NULLS LAST, cell_ord DESC) AS rn FROM cells) WHERE rn = 1)"""
 _LEVELS = [f"nullif(trim(regionlevel_{k:02d}), '')" for k in range(1, 8)]
-_TREE = f"""o AS (SELECT ord, id AS region_id, trim(abbreviation) AS acronym, coalesce({", ".join(_LEVELS)}, '') AS name,
+TREE_SQL = f"""o AS (SELECT ord, id AS region_id, trim(abbreviation) AS acronym, coalesce({", ".join(_LEVELS)}, '') AS name,
     coalesce({", ".join(f"CASE WHEN {x} IS NOT NULL THEN {k} END" for k, x in enumerate(_LEVELS))}, 6) AS indent, lower(trim(coalesce(is_leaf, ''))) = 'leaf' AS marked_leaf FROM atlas_outline),
   up AS (SELECT c.ord, max(p.ord) AS parent_ord FROM o c JOIN o p ON p.ord < c.ord AND p.indent < c.indent GROUP BY c.ord),
   linked AS (SELECT o.*, p.region_id AS parent_id FROM o LEFT JOIN up USING (ord) LEFT JOIN o p ON p.ord = up.parent_ord),
@@ -336,7 +347,7 @@ _VOLUME = """given AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
   normal AS (SELECT parent_id, sum(voxels) AS voxels, sum(mm3) AS mm3 FROM readv WHERE NOT is_other GROUP BY parent_id),
   volume AS (SELECT r.region_id, r.parent_id, CAST(CASE WHEN r.is_other THEN p.voxels - coalesce(n.voxels, 0) ELSE r.voxels END AS BIGINT) AS volume_voxels,
     CASE WHEN r.is_other THEN p.mm3 - coalesce(n.mm3, 0) ELSE r.mm3 END AS volume_mm3 FROM readv r LEFT JOIN readv p ON p.region_id = r.parent_id LEFT JOIN normal n ON n.parent_id = r.parent_id)"""
-_SUMMARY = f"""{_CELLS}, {_TREE}, {_PLACED}, {_ROLL}, {_VOLUME},
+_SUMMARY = f"""{_CELLS}, {TREE_SQL}, {_PLACED}, {_ROLL}, {_VOLUME},
   summary AS (SELECT t.ord, t.region_id, t.acronym, t.name, v.volume_voxels, v.volume_mm3, r.n_cells, CASE WHEN v.volume_mm3 = 0 THEN 0 ELSE r.n_cells / v.volume_mm3 END AS cells_per_mm3,
     CASE WHEN v.volume_voxels = 0 THEN 0 ELSE r.n_cells / v.volume_voxels END AS cells_per_voxel FROM tree t JOIN volume v USING (region_id) JOIN rolled r USING (region_id))"""
 
@@ -371,13 +382,17 @@ _P = f"""{_WELCH}, span AS (SELECT *, pi() / 2 - atan(abs(t) / sqrt(df)) AS a0 F
     FROM span, (SELECT unnest(range(401)) AS k) GROUP BY channel, id, group_a, group_b),
   tested AS (SELECT t.channel, t.id, t.group_a, t.group_b, CASE WHEN a.p IS NOT NULL THEN a.p WHEN CAST(t.t AS VARCHAR) IN ('inf', '-inf') THEN 0 ELSE 'nan'::DOUBLE END AS p FROM tests t LEFT JOIN area a USING (channel, id, group_a, group_b))"""
 
-_DESEQ = f"""{_TREE}, {_META}, cnt AS (SELECT id AS region_id, sample, total_cells AS n FROM obs WHERE channel = 561 AND total_cells IS NOT NULL AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)),
+_BH = f"""{_P}, flagged AS (SELECT *, CAST(p AS VARCHAR) <> 'nan' AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf) AS ok FROM tested),
+  ranked AS (SELECT *, count(*) OVER (PARTITION BY channel, group_a, group_b, ok) AS m, row_number() OVER (PARTITION BY channel, group_a, group_b, ok ORDER BY p) AS rk FROM flagged),
+  corrected AS (SELECT *, CASE WHEN ok THEN round(least(1, min(p * m / rk) OVER (PARTITION BY channel, group_a, group_b, ok ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) ELSE -1 END AS p_corr FROM ranked)"""
+
+_DESEQ = f"""{TREE_SQL}, {_META}, cnt AS (SELECT id AS region_id, sample, total_cells AS n FROM obs WHERE channel = 561 AND total_cells IS NOT NULL AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)),
   logs AS (SELECT region_id, count(*) FILTER (n > 0) AS held, avg(CASE WHEN n > 0 THEN ln(n) END) AS mean_log FROM cnt GROUP BY region_id),
   whole AS (SELECT * FROM logs WHERE held = (SELECT count(DISTINCT sample) FROM cnt)),
   usable AS (SELECT * FROM whole UNION ALL SELECT * FROM logs WHERE held > 0 AND NOT EXISTS (SELECT 1 FROM whole)),
   sf AS (SELECT sample, exp(median(ln(n) - mean_log)) AS size_factor FROM cnt JOIN usable USING (region_id) WHERE n > 0 GROUP BY sample)"""
 
-_R = f"WITH RECURSIVE {_TREE}"
+_R = f"WITH RECURSIVE {TREE_SQL}"
 _OBS_SQL = "SELECT sample, channel, id, total_cells FROM obs"
 
 SQL = {
@@ -388,8 +403,8 @@ SQL = {
       SELECT 'duplicate_id' AS rule, region_id FROM both_ WHERE n > 1 UNION ALL SELECT 'leaf_mark', region_id FROM both_ WHERE is_leaf <> marked_leaf
       UNION ALL SELECT 'other_id', region_id FROM both_ WHERE is_other AND region_id <> parent_id + 20000 UNION ALL SELECT 'other_acronym', region_id FROM both_ WHERE is_other AND acronym <> parent_acronym || '-other'
       UNION ALL SELECT 'second_root', region_id FROM both_ WHERE parent_id IS NULL AND ord > (SELECT min(ord) FROM both_)""",
-    "leaf_resolution": f"WITH RECURSIVE {_CELLS}, {_TREE}, {_PLACED} SELECT cell_ord, leaf_id, placement FROM placed",
-    "locate_voxels": f"""WITH RECURSIVE {_CELLS}, {_TREE}, spot AS (SELECT cell_ord, CASE WHEN {_OK.format("z")} AND {_OK.format("y")} AND {_OK.format("x")} THEN true END AS known, TRY_CAST(round_even(z, 0) AS INT) AS iz, TRY_CAST(round_even(y, 0) AS INT) AS iy, TRY_CAST(round_even(x, 0) AS INT) AS ix FROM cell),
+    "leaf_resolution": f"WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED} SELECT cell_ord, leaf_id, placement FROM placed",
+    "locate_voxels": f"""WITH RECURSIVE {_CELLS}, {TREE_SQL}, spot AS (SELECT cell_ord, CASE WHEN {_OK.format("z")} AND {_OK.format("y")} AND {_OK.format("x")} THEN true END AS known, TRY_CAST(round_even(z, 0) AS INT) AS iz, TRY_CAST(round_even(y, 0) AS INT) AS iy, TRY_CAST(round_even(x, 0) AS INT) AS ix FROM cell),
       located AS (SELECT cell_ord, CASE WHEN known THEN CASE WHEN ix < 0 THEN 0 ELSE coalesce(a.labels[ix + 1], 0) END END AS voxel_region FROM spot LEFT JOIN annotation a ON a.z = iz AND a.y = iy)
       SELECT cell_ord, voxel_region, CASE WHEN voxel_region = 0 THEN 0 WHEN m.of_leaf THEN m.leaf_id END AS leaf_id FROM located LEFT JOIN leafmap m ON m.region_id = voxel_region""",
     "filter_fixed": f"WITH {_CELLS} SELECT cell_ord FROM cell WHERE {_OK.format('r_xy')} AND r_xy > 2 AND {_OK.format('center_intensity')} AND center_intensity <= 500",
@@ -410,16 +425,16 @@ SQL = {
         f"round(quantile_cont({c}, 0.05), 4) AS q05, round(quantile_cont({c}, 0.95), 4) AS q95, round(quantile_cont({c}, 0.99), 4) AS q99 FROM cell WHERE {_OK.format(c)}"
         for c in measures.MEASURES
     ),
-    "region_counts": f"WITH RECURSIVE {_CELLS}, {_TREE}, {_PLACED}, {_ROLL} SELECT region_id, n FROM counted",
-    "region_rollup": f"WITH RECURSIVE {_CELLS}, {_TREE}, {_PLACED}, {_ROLL} SELECT region_id, n_cells FROM rolled",
-    "region_outside": f"WITH RECURSIVE {_CELLS}, {_TREE}, {_PLACED} SELECT placement, count(*) AS n FROM placed GROUP BY placement",
-    "other_volume": f"WITH RECURSIVE {_TREE}, {_VOLUME} SELECT region_id, volume_voxels, volume_mm3 FROM volume",
-    "volume_consistency": f"""WITH RECURSIVE {_TREE}, {_VOLUME}, child AS (SELECT parent_id AS region_id, sum(volume_voxels) AS child_voxels, sum(volume_mm3) AS child_mm3 FROM volume GROUP BY parent_id),
+    "region_counts": f"WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED}, {_ROLL} SELECT region_id, n FROM counted",
+    "region_rollup": f"WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED}, {_ROLL} SELECT region_id, n_cells FROM rolled",
+    "region_outside": f"WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED} SELECT placement, count(*) AS n FROM placed GROUP BY placement",
+    "other_volume": f"WITH RECURSIVE {TREE_SQL}, {_VOLUME} SELECT region_id, volume_voxels, volume_mm3 FROM volume",
+    "volume_consistency": f"""WITH RECURSIVE {TREE_SQL}, {_VOLUME}, child AS (SELECT parent_id AS region_id, sum(volume_voxels) AS child_voxels, sum(volume_mm3) AS child_mm3 FROM volume GROUP BY parent_id),
       judged AS (SELECT v.region_id, v.volume_voxels AS voxels, CAST(c.child_voxels AS BIGINT) AS child_voxels, abs(v.volume_mm3 - c.child_mm3) > 1e-9 * greatest(abs(v.volume_mm3), abs(c.child_mm3)) AS mm3_differs FROM volume v JOIN child c USING (region_id))
       SELECT * FROM judged WHERE voxels <> child_voxels OR mm3_differs""",
     "region_summary": f"WITH RECURSIVE {_SUMMARY} SELECT ord, region_id, acronym, name, volume_voxels, round(volume_mm3, 6) AS volume_mm3, n_cells, round(cells_per_mm3, 6) AS cells_per_mm3, round(cells_per_voxel, 6) AS cells_per_voxel FROM summary",
     "region_density": f"WITH RECURSIVE {_SUMMARY} SELECT region_id, round(cells_per_mm3, 6) AS cells_per_mm3, round(cells_per_voxel, 6) AS cells_per_voxel FROM summary",
-    "image_region_rollup": f"""WITH RECURSIVE {_CELLS}, {_TREE}, {_PLACED} SELECT p.image_name, p.channel, w.ancestor_id AS region_id, count(*) AS n_cells
+    "image_region_rollup": f"""WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED} SELECT p.image_name, p.channel, w.ancestor_id AS region_id, count(*) AS n_cells
       FROM placed p JOIN walk w ON w.region_id = p.leaf_id WHERE p.placement = 'leaf' GROUP BY ALL""",
     "level_export": f"""WITH RECURSIVE {_SUMMARY} SELECT s.ord, s.region_id AS id, s.acronym AS abbreviation, CASE WHEN t.is_leaf THEN 'TRUE' ELSE 'FALSE' END AS leaf, coalesce(t.parent_id, -1) AS parent_id,
       CASE WHEN t.is_other THEN t.parent_id ELSE s.region_id END AS original_id, CASE WHEN t.is_other THEN p.acronym ELSE s.acronym END AS original_abbreviation, s.volume_voxels AS total_voxels,
@@ -435,24 +450,24 @@ SQL = {
     "exclude_groups": f"""WITH {_META}, low AS (SELECT image_name AS sample, lower(coalesce(condition_name, '')) AS condition_name, lower(coalesce(genotype, '')) AS genotype, lower(coalesce(sex, '')) AS sex FROM meta)
       SELECT *, condition_name || '-' || genotype || '-' || sex AS group_label FROM low WHERE NOT (condition_name = 'saline' AND sex = 'f') AND NOT (genotype = 'ko')""",
     "sample_metadata": f"WITH {_META} SELECT DISTINCT sample, group_label AS condition_name FROM obs",
-    "exclude_regions": f"WITH RECURSIVE {_TREE}, {_META} {_OBS_SQL} WHERE id NOT IN (SELECT region_id FROM walk WHERE ancestor_id = 907)",
-    "include_regions": f"""WITH RECURSIVE {_TREE}, {_META}, sib AS (SELECT region_id FROM tree WHERE parent_id = (SELECT parent_id FROM tree WHERE region_id = 182) AND region_id <> 182)
+    "exclude_regions": f"WITH RECURSIVE {TREE_SQL}, {_META} {_OBS_SQL} WHERE id NOT IN (SELECT region_id FROM walk WHERE ancestor_id = 907)",
+    "include_regions": f"""WITH RECURSIVE {TREE_SQL}, {_META}, sib AS (SELECT region_id FROM tree WHERE parent_id = (SELECT parent_id FROM tree WHERE region_id = 182) AND region_id <> 182)
       {_OBS_SQL} WHERE id NOT IN (SELECT w.region_id FROM walk w JOIN sib ON sib.region_id = w.ancestor_id)""",
-    "only_leafs": f"WITH RECURSIVE {_TREE}, {_META} {_OBS_SQL} WHERE id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)",
+    "only_leafs": f"WITH RECURSIVE {TREE_SQL}, {_META} {_OBS_SQL} WHERE id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)",
     "group_n": f"WITH {_META} SELECT channel, id, group_label, count(*) AS n_samples, round(avg(total_cells), 6) AS mean_value FROM obs GROUP BY ALL",
     "raw_wide": f"WITH {_META} PIVOT (SELECT id, sample || ':total_cells' AS label, CAST(total_cells AS DOUBLE) AS v FROM obs WHERE channel = 561) ON label USING any_value(v) GROUP BY id",
     "group_means_wide": f"""WITH {_META} PIVOT (SELECT i.id, g.group_label || ':N' AS label, CAST(count(o.id) AS DOUBLE) AS v FROM (SELECT DISTINCT id FROM obs WHERE channel = 561) i
         CROSS JOIN (SELECT DISTINCT group_label FROM obs WHERE channel = 561) g LEFT JOIN obs o ON o.channel = 561 AND o.id = i.id AND o.group_label = g.group_label GROUP BY ALL
       UNION ALL SELECT id, group_label || ':total_cells', round(avg(total_cells), 6) FROM obs WHERE channel = 561 GROUP BY ALL) ON label USING any_value(v) GROUP BY id""",
-    "stat_matrix": f"""WITH RECURSIVE {_TREE}, {_META} PIVOT (SELECT id AS "RegionID", sample, total_cells FROM obs WHERE channel = 561 AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)) ON sample USING any_value(total_cells) GROUP BY "RegionID" """,
+    "stat_matrix": f"""WITH RECURSIVE {TREE_SQL}, {_META} PIVOT (SELECT id AS "RegionID", sample, total_cells FROM obs WHERE channel = 561 AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)) ON sample USING any_value(total_cells) GROUP BY "RegionID" """,
     "group_moments": f'WITH {_MOMENTS} SELECT channel, id, "group", n, round(mean, 6) AS mean, round(variance, 6) AS variance FROM moments',
     "deseq_size_factors": f"WITH RECURSIVE {_DESEQ} SELECT sample, round(size_factor, 6) AS size_factor FROM sf",
     "deseq_base_mean": f"WITH RECURSIVE {_DESEQ} SELECT region_id, round(avg(n / size_factor), 6) AS base_mean FROM cnt JOIN sf USING (sample) GROUP BY region_id",
     "welch_t": f"WITH {_WELCH} SELECT channel, id, group_a, group_b, round(t, 6) AS t, round(df, 6) AS df FROM tests",
     "welch_p": f"WITH {_P} SELECT channel, id, group_a, group_b, round(p, 4) AS p FROM tested",
-    "bh_fdr": f"""WITH RECURSIVE {_TREE}, {_P}, flagged AS (SELECT *, CAST(p AS VARCHAR) <> 'nan' AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf) AS ok FROM tested),
-      ranked AS (SELECT *, count(*) OVER (PARTITION BY channel, group_a, group_b, ok) AS m, row_number() OVER (PARTITION BY channel, group_a, group_b, ok ORDER BY p) AS rk FROM flagged)
-      SELECT channel, id, group_a, group_b, CASE WHEN ok THEN round(least(1, min(p * m / rk) OVER (PARTITION BY channel, group_a, group_b, ok ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) ELSE -1 END AS p_corr FROM ranked""",
+    "bh_fdr": f"WITH RECURSIVE {TREE_SQL}, {_BH} SELECT channel, id, group_a, group_b, p_corr FROM corrected",
+    "analyzed_wide": f"""WITH RECURSIVE {TREE_SQL}, {_BH} PIVOT (SELECT id, 'p: ' || group_a || ' vs. ' || group_b AS label, round(p, 4) AS v FROM corrected WHERE channel = 561
+      UNION ALL SELECT id, 'p-corr: ' || group_a || ' vs. ' || group_b, p_corr FROM corrected WHERE channel = 561) ON label USING any_value(v) GROUP BY id""",
 }
 
 

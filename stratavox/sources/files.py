@@ -140,3 +140,29 @@ def read_cells_yaml(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "z double, y double, x double, type int, metadata map<string, double>")
+
+
+def discover(spark: SparkSession, root: str, suffix: str, exclude: tuple[str, ...] = ()) -> list[str]:
+    """Files below ``root`` whose name ends with ``suffix`` and matches none of the ``exclude`` patterns (as good*, bad*), in name order."""
+    from fnmatch import fnmatch
+
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    walk = base.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(base, True)
+    found = []
+    while walk.hasNext():
+        path = walk.next().getPath()
+        if path.getName().endswith(suffix) and not any(fnmatch(path.getName(), p) for p in exclude):
+            found.append(path.toString())
+    return sorted(found)
+
+
+def without_outputs(spark: SparkSession, jobs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The (input, output) jobs whose output does not exist yet, so that a repeated run does only what is missing."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def missing(output: str) -> bool:
+        path = jvm.org.apache.hadoop.fs.Path(output)
+        return not path.getFileSystem(conf).exists(path)
+
+    return [job for job in jobs if missing(job[1])]

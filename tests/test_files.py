@@ -178,9 +178,19 @@ def test_analyze_by_command_line(spark, study):
     raw = (study / "raw_561.csv").read_text().splitlines()
     assert raw[0] == "ID,Abbreviation,s1:total cells,s2:total cells,s3:total cells,s4:total cells" and raw[1] == "1,root,1.0,2.0,13.0,14.0" and len(raw) == 5
     tests = (study / "tests.csv").read_text().splitlines()
-    assert len(tests) == 5
+    assert len(tests) == 5 and tests[0] == "region_id,ID,Abbreviation,p: ctl vs. drug,p-corr: ctl vs. drug"
+    assert [line.split(",")[4] == "-1.0" for line in tests[1:]] == [True, True, False, False]
     assert cli.parse_group(["Condition=Ctl", "Sex=F"]) == {"condition": "ctl", "sex": "f"}
     with pytest.raises(ValueError):
         cli.parse_group(["Condition"])
     with pytest.raises(ValueError, match="overwrite"):
         sinks.channel_path("a/b.csv", 561, True)
+
+
+def test_discovery_and_what_is_missing(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("a/one.yml", "a/b/two.yml", "a/good_x.yml", "a/other.txt"):
+        (tmp_path / name).write_text("")
+    found = files.discover(spark, str(tmp_path), ".yml", ("good*", "bad*"))
+    assert [f.rsplit("/", 1)[1] for f in found] == ["two.yml", "one.yml"]
+    assert files.without_outputs(spark, [("x", str(tmp_path / "a")), ("y", str(tmp_path / "new"))]) == [("y", str(tmp_path / "new"))]

@@ -64,6 +64,13 @@ def test_levels_recover_simulated_changes(spark):
     assert factors["a5"] / factors["a0"] == pytest.approx(2.5, rel=0.2)
 
 
+def test_wide_levels_mark_what_was_left_out(spark):
+    regions = spark.createDataFrame([(1, "a"), (2, "b")], "region_id int, name string")
+    levels = spark.createDataFrame([("f", "x", "y", 1, 2.0, 0.5, 0.1, 5.0, 0.01, None)], "factor string, level_a string, level_b string, region_id int, base_mean double, log2_fold_change double, lfc_se double, stat double, pvalue double, padj double")
+    wide = {r["region_id"]: r for r in stats.levels_wide(regions, levels).collect()}
+    assert wide[1]["f:x-vs-y:baseMean"] == 2.0 and math.isnan(wide[1]["f:x-vs-y:padj"]) and wide[2]["f:x-vs-y:padj"] == -1 and wide[2]["name"] == "b"
+
+
 def test_nothing_to_compare(spark):
     counts, _ = simulated(spark, regions=3, per=2)
     one = spark.createDataFrame([("a0", "a"), ("a1", "a")], "sample string, kind string")
