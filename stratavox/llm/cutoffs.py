@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sized_join import sized_join
 from ..session import Stash
 
 #: Records are written anew once the brackets hold at most this share of what the last writing holds.
@@ -64,18 +65,28 @@ def _narrow(state: DataFrame) -> DataFrame:
 def order_statistics(records: DataFrame, ranks: DataFrame | None = None, permille: DataFrame | None = None) -> DataFrame:
     """The k-th smallest value of each source: sid, n, k, cutoff, n_kept (records at or below the cutoff, ties included).
 
-    records: sid long, v double (no null or NaN). Give either ``ranks`` (sid, k) or ``permille`` (sid, permille; k = ceil(permille * n / 1000)).
+    records: sid long, v double (no null or NaN; infinite values are the lowest and highest records). Give either ``ranks`` (sid, k) or ``permille`` (sid, permille; k = ceil(permille * n / 1000)).
     Sources without records or with k = 0 are left out.
 
     Passes go on until every bracket has closed; each pass at least drops the value at one end, and in practice all but a small part.
-    A pass is one scan with map-side aggregation per source, so a source may hold any share of the records. Per-source states stay
+    A pass is one scan with map-side aggregation per source, so a source may hold any share of the records; the brackets are broadcast when
+    their number is small, else joined with salts. Per-source states stay
     tables; only their number and the size of the brackets come to the driver. Once brackets are small, what lies in them is written
     anew and only that is scanned.
     """
-    start = records.groupBy("sid").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    wanted = start.join(ranks, "sid") if ranks is not None else start.join(permille, "sid").withColumn("k", target_rank(F.col("n"), F.col("permille")))
+    v = F.col("v")
+    finite = F.when(F.abs(v) < float("inf"), v)
+    start = records.groupBy("sid").agg(
+        F.count("*").alias("n_all"), F.count_if(v == float("-inf")).alias("n_lowest"), F.count(finite).alias("n"), F.sum(finite).alias("total"), F.min(finite).alias("lo"), F.max(finite).alias("hi")
+    )
+    wanted = start.join(ranks, "sid") if ranks is not None else start.join(permille, "sid").withColumn("k", target_rank(F.col("n_all"), F.col("permille")))
+    wanted = Stash(wanted.filter((F.col("k") > 0) & (F.col("k") <= F.col("n_all"))).select(*start.columns, "k"), "wanted").df
+    # infinite values need no search: they are the lowest and the highest records
+    lowest = wanted.filter(F.col("k") <= F.col("n_lowest")).select("sid", F.col("n_all").alias("n"), "k", F.lit(float("-inf")).alias("cutoff"), F.col("n_lowest").alias("n_kept"))
+    highest = wanted.filter(F.col("k") > F.col("n_lowest") + F.col("n")).select("sid", F.col("n_all").alias("n"), "k", F.lit(float("inf")).alias("cutoff"), F.col("n_all").alias("n_kept"))
+    searched = wanted.withColumn("k", F.col("k") - F.col("n_lowest")).filter((F.col("k") > 0) & (F.col("k") <= F.col("n")))
     n, k = F.col("n"), F.col("k")
-    first = wanted.filter((k > 0) & (k <= n)).select(
+    first = searched.select(
         "sid", "n", "k", "total", "lo", ((k - F.lit(0.5)) * (F.col("total") - n * F.col("lo"))).alias("f_lo"), (n * (F.lit(0.5) - k)).alias("g_lo"), F.expr("0L").alias("n_below"), F.lit(0.0).alias("s_below"),
         "hi", ((n - k + F.lit(0.5)) * (n * F.col("hi") - F.col("total"))).alias("f_hi"), (n * (n - k + F.lit(0.5))).alias("g_hi"), n.alias("n_upto"),
     )
@@ -91,14 +102,15 @@ def order_statistics(records: DataFrame, ranks: DataFrame | None = None, permill
         if not left["sources"]:
             break
         trial = _trial_cuts(going)
-        inside = stored.join(trial.select("sid", "lo", "hi", "t1", "t2", "t3"), "sid").filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        brackets = trial.select("sid", "lo", "hi", "t1", "t2", "t3")
+        inside = sized_join(stored, brackets, ["sid"], rows=left["sources"]).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         if rows_stored is None or left["rows"] <= CONTRACT * rows_stored:
             if rows_stored is not None:
                 fresh = Stash(inside.select("sid", "v"), "inside")
                 if held:
                     held.drop()
                 held, stored = fresh, fresh.df
-                inside = stored.join(trial.select("sid", "lo", "hi", "t1", "t2", "t3"), "sid")
+                inside = sized_join(stored, brackets, ["sid"], rows=left["sources"])
             rows_stored = left["rows"]
         sums = []
         for i in (1, 2, 3):
@@ -106,10 +118,11 @@ def order_statistics(records: DataFrame, ranks: DataFrame | None = None, permill
             sums += [F.count_if(low).alias(f"m{i}"), F.sum(F.when(low, F.col("v")).otherwise(0.0)).alias(f"s{i}"), F.max(F.when(low, F.col("v"))).alias(f"p{i}"), F.min(F.when(~low, F.col("v"))).alias(f"u{i}")]
         narrowed = _narrow(trial.join(inside.groupBy("sid").agg(*sums), "sid"))
         state = Stash(narrowed, "brackets")
-    result = done[0]
+    found = done[0]
     for part in done[1:]:
-        result = result.unionByName(part)
-    return result
+        found = found.unionByName(part)
+    back = found.join(wanted.select("sid", "n_all", "n_lowest"), "sid").select("sid", F.col("n_all").alias("n"), (F.col("k") + F.col("n_lowest")).alias("k"), "cutoff", (F.col("n_kept") + F.col("n_lowest")).alias("n_kept"))
+    return back.unionByName(lowest).unionByName(highest)
 
 
 def keep_fraction(records: DataFrame, targets: DataFrame, source: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +139,7 @@ def keep_fraction(records: DataFrame, targets: DataFrame, source: list[str]) ->
         usable = usable.filter(F.col(c).isNotNull())
     one = usable.groupBy(*source).agg(F.max(F.struct("keep_permille", "keep_side")).alias("t")).select(*source, "t.keep_permille", "t.keep_side")
     aims = Stash(one.withColumn("sid", F.monotonically_increasing_id()), "targets").df
-    good = records.select(*source, "row_id", "value").filter(F.col("value").isNotNull() & ~F.isnan("value")).join(aims, source)
+    good = sized_join(records.select(*source, "row_id", "value").filter(F.col("value").isNotNull() & ~F.isnan("value")), aims, source)
     signed = F.when(F.col("keep_side") == "high", -F.col("value")).otherwise(F.col("value"))
     written = Stash(good.select("sid", "row_id", signed.cast("double").alias("v")), "records").df
     values = written.select("sid", "v")
@@ -136,5 +149,6 @@ def keep_fraction(records: DataFrame, targets: DataFrame, source: list[str]) ->
         *source, "keep_side", "keep_permille", F.coalesce("n_all", F.expr("0L")).alias("n"), F.coalesce("k", F.expr("0L")).alias("k"),
         F.when(F.col("keep_side") == "high", -F.col("cutoff")).otherwise(F.col("cutoff")).alias("cutoff"), F.coalesce("n_kept", F.expr("0L")).alias("n_kept"),
     )
-    kept = written.join(found.select("sid", "cutoff"), "sid").filter(F.col("v") <= F.col("cutoff")).join(aims.select("sid", *source), "sid").select(*source, "row_id")
+    limits = found.select("sid", "cutoff").join(aims.select("sid", *source), "sid")
+    kept = sized_join(written, limits, ["sid"]).filter(F.col("v") <= F.col("cutoff")).select(*source, "row_id")
     return cutoffs, kept

@@ -11,7 +11,7 @@ from ..operators.latest import current_cells
 from ..sources.tables import table
 from .cutoffs import keep_fraction
 from .leaks import leaked_passages
-from .lookalikes import consistent_text, look_alike_pairs, look_classes
+from .lookalikes import CYRILLIC, GREEK, consistent_text, look_alike_pairs, look_classes
 from .packing import container_report, pack_documents, token_counts
 from .quantiles import daily, merge_sketches, percentiles, sketches
 
@@ -131,7 +131,29 @@ _SHARE = """SELECT image_name, channel, '{0}' AS measure FROM current_cells WHER
   HAVING quantile_disc({0}, {2}) > {3}"""
 _RANGE = "AND {0} > 1e-9 AND {0} < 10000"
 
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+_ALIKE = "".join({**CYRILLIC, **GREEK}), "".join({**CYRILLIC, **GREEK}.values())
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: A text with invisible characters removed, and width, blanks and look-alike letters levelled.
+_IGNORED = r"[\x{AD}\x{34F}\x{61C}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+_LEVELLED = f"regexp_replace(regexp_replace(@, '{_IGNORED}', '', 'g'), '" + r"[\t\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]" + "', ' ', 'g')"
+for _old, _new in [*zip(*_WIDE), *zip(*_ALIKE)]:
+    _LEVELLED = f"replace({_LEVELLED}, '{_old}', {_quoted(_new)})"
+_WORDS = "regexp_extract_all(lower(strip_accents(" + _LEVELLED + ")), '[\\p{L}\\p{N}]+')"
+
 SQL = {
+    "p8_found": f"""WITH item AS (SELECT item_id, {_WORDS.replace("@", "text")} AS w FROM eval_items WHERE text IS NOT NULL),
+      doc AS (SELECT doc_id, {_WORDS.replace("@", "text")} AS w FROM documents WHERE text IS NOT NULL),
+      passage AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM item)),
+      place AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM doc))
+      SELECT DISTINCT item_id, doc_id FROM place JOIN passage USING (p)""",
+    "p9_found": f"""WITH k AS (SELECT doc_id, text, nfc_normalize({_LEVELLED.replace("@", "text")}) AS shown FROM documents)
+      SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.shown = b.shown AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p1_found": f"{_RANKED} SELECT s.measure, s.cell_ord FROM signed s JOIN cut c USING (image_name, measure) WHERE s.v <= c.v",
     "p1_cutoffs": f"""{_RANKED}, kept AS (SELECT image_name, measure, count(*) AS n_kept FROM signed s JOIN cut c USING (image_name, measure) WHERE s.v <= c.v GROUP BY ALL),
       sized AS (SELECT image_name, measure, count(*) AS n FROM signed GROUP BY ALL)

@@ -14,7 +14,7 @@ def records(seed, n, sources=5):
     rows = []
     for i in range(n):
         src = "hot" if rng.random() < 0.5 else f"s{rng.randrange(sources)}"
-        value = rng.choice([rng.gauss(0, 1), float(rng.randrange(5)), 1e30 * rng.random(), -1e-12, 65535.0, None, math.nan])
+        value = rng.choice([rng.gauss(0, 1), float(rng.randrange(5)), 1e30 * rng.random(), -1e-12, 65535.0, math.inf, None, math.nan])
         rows.append((rng.choice([src, src, src, None]), "m", i, value, "x"))
     return rows
 
@@ -45,7 +45,7 @@ def test_cutoffs_match_sorting(spark, seed):
 
 
 def test_every_rank_of_awkward_values(spark):
-    values = [0.0, -0.0, 1e-300, 1e300, -1e300, 5.0, 5.0, 5.0, 5.000000000000001, 1.0]
+    values = [math.inf, -math.inf, -math.inf, 0.0, -0.0, 1e-300, 1e300, -1e300, 5.0, 5.0, 5.0, 5.000000000000001, 1.0]
     rows = [(k, v) for k in range(len(values)) for v in values]
     ranks = [(k, k + 1) for k in range(len(values))]
     got = {r["sid"]: r["cutoff"] for r in order_statistics(spark.createDataFrame(rows, "sid long, v double"), ranks=spark.createDataFrame(ranks, "sid long, k long")).collect()}
