@@ -7,6 +7,8 @@ is empty (tests on one machine) a folder of our own is used.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -14,6 +16,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: list[str] = []
+_WRITTEN: dict[str, Stash] = {}
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes what this process has written for itself; nothing can read it any more."""
+    for stash in list(_WRITTEN.values()):
+        with contextlib.suppress(Exception):  # the session may be gone already; the folder is then cleared by its owner
+            stash.drop()
 
 
 def local_session(cpus: str = "8", **conf: str) -> SparkSession:
@@ -52,11 +63,14 @@ class Stash:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
+        self.conf = self.spark._jsc.hadoopConfiguration()
         self.path = f"{shared_folder(self.spark)}/stratavox-{label}-{uuid.uuid4().hex[:12]}"
         df.write.parquet(self.path)
+        _WRITTEN[self.path] = self
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(self.conf).delete(path, True)
+        _WRITTEN.pop(self.path, None)
