@@ -105,9 +105,7 @@ def top_hierarchy(points: DataFrame, group: str, task_rows: int = TASK_ROWS, sam
     # a target grows with the rows only where so many leaves could not be told apart by the sample
     per_leaf = max(task_rows, 16.0 / share)
     tree = fit_tree(sample, weight, per_leaf)
-    for _ in range(8):
-        if share == 1.0:
-            break
+    while share < 1.0:
         counts = space.mapInPandas(_leaf_counts(tree), "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
         # at most OVERFULL-th of all leaves can be overfull, so what comes to the driver is bounded by the tree's size
         over = {r["leaf"]: r["n"] for r in counts.filter(F.col("n") > OVERFULL * per_leaf).collect()}
@@ -156,7 +154,7 @@ def _rows_of_leaves(tree: SpaceTree, wanted: set[int]):
     return rows_of
 
 
-def near_pairs(points: DataFrame, id_col: str, group: str, distance: float, fit_on: DataFrame | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def near_pairs(points: DataFrame, id_col: str, group: str, distance: float, fit_on: DataFrame | None = None, task_rows: int = TASK_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Pairs of different points of one ``group`` at a Euclidean distance of at most ``distance`` (included) over z, y, x.
 
     Result: id_a, id_b (long, id_a < id_b), distance; every pair once. Points with a null or NaN position or a null group are near nothing.
@@ -173,7 +171,7 @@ def near_pairs(points: DataFrame, id_col: str, group: str, distance: float, fit_
         ok = F.col(c).isNotNull() & ~F.isnan(c)
         usable = ok if usable is None else usable & ok
     usable = usable & F.col(group).isNotNull()
-    tree = points.sparkSession.sparkContext.broadcast(top_hierarchy((points if fit_on is None else fit_on).filter(usable), group, task_rows))
+    tree = points.sparkSession.sparkContext.broadcast(top_hierarchy((points if fit_on is None else fit_on).filter(usable), group, task_rows, sample_rows))
     half = distance or 1.0  # a square without area has no triangles; the distance test is exact in any case
     square = ear_clip(np.array([[-half, -half], [-half, half], [half, half], [half, -half]], dtype=float))
 

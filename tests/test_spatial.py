@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from stratavox.operators.bvh import Hierarchy, ear_clip, in_triangle, space_order
-from stratavox.operators.spatial import fit_tree, near_pairs, regions_of_points
+from stratavox.operators.spatial import fit_tree, near_pairs, regions_of_points, top_hierarchy
 
 POINTS = "n long, im string, z double, y double, x double, leaf string"
 
@@ -92,3 +92,24 @@ def test_tree_places_unknown_groups():
     assert rank[0] < rank[1] < rank[2] < rank[3]
     rows, leaves = tree.leaves_of(np.column_stack([rank, np.zeros((4, 3))]), np.column_stack([rank, np.zeros((4, 3))]))
     assert sorted(rows.tolist()) == [0, 1, 2, 3] and len(leaves) == 4
+
+
+def test_overfull_leaves_are_split_again(spark, monkeypatch):
+    from stratavox.operators import spatial
+
+    rng = random.Random(12)
+    rows = [(i, "a", rng.random() * 1000, rng.random() * 1000, rng.random() * 1000, "x") for i in range(3000)]
+    rows += [(3000 + i, "a", 500 + rng.random(), 500 + rng.random(), 500 + rng.random(), "x") for i in range(1500)]
+    rows += [(4500 + i, "b", 7.0, 7.0, 7.0, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, POINTS).repartition(3)
+    calls = []
+
+    def unlucky(sample, weight, per_leaf):
+        calls.append(per_leaf)
+        return fit_tree(sample, weight, per_leaf if len(calls) > 1 else 1e9)
+
+    monkeypatch.setattr(spatial, "fit_tree", unlucky)
+    assert top_hierarchy(df.withColumnRenamed("im", "g"), "g", task_rows=50, sample_rows=600).leaves > 20 and len(calls) >= 2
+    calls.clear()
+    got = near_pairs(df, "n", "im", 0.05, task_rows=50, sample_rows=600).collect()
+    assert sorted((r["id_a"], r["id_b"]) for r in got) == brute(rows, 0.05)
