@@ -179,7 +179,7 @@ def compare_levels(counts: DataFrame, metadata: DataFrame, factors: list[str]) -
     """factor, level_a, level_b, region_id, base_mean, log2_fold_change, lfc_se, stat, pvalue, padj for every pair of levels of every factor with two or more.
 
     counts: region_id, sample, n (rounded half-even here; one row per region and sample). metadata: sample and the factors. Regions without any count are left
-    out; callers give them -1. pvalue and padj are NaN for Cook's outliers. Design: the sum of the factors. Outliers in cells of seven or more samples are
+    out (callers give them -1), and so are samples without any. pvalue and padj are NaN for Cook's outliers. Design: the sum of the factors. Outliers in cells of seven or more samples are
     replaced by the trimmed mean and the region is fitted again.
 
     What the driver sees: one row per sample (the design) and one row per region (base mean and dispersion, for the trend).
@@ -189,6 +189,7 @@ def compare_levels(counts: DataFrame, metadata: DataFrame, factors: list[str]) -
     held = Stash(rounded.join(positive, "region_id"), "counts").df
     sizes = size_factors(held)
     design = metadata.select("sample", *factors).join(sizes, "sample").toPandas().sort_values("sample", ignore_index=True)
+    held = held.join(F.broadcast(counts.sparkSession.createDataFrame(design[["sample"]])) if len(design) else sizes.select("sample"), "sample", "left_semi")
     shape = "factor string, level_a string, level_b string, region_id int, base_mean double, log2_fold_change double, lfc_se double, stat double, pvalue double, padj double"
     levels = {f: sorted(design[f].unique()) for f in factors}
     x, names = design_matrix(design, factors)

@@ -378,8 +378,8 @@ _WELCH = f"""{_MOMENTS}, pairs AS (SELECT a.channel, a.id, a."group" AS group_a,
     CASE WHEN na < 2 OR nb < 2 OR va + vb = 0 THEN 'nan'::DOUBLE ELSE (va + vb) ** 2 / (va ** 2 / greatest(na - 1, 1) + vb ** 2 / greatest(nb - 1, 1)) END AS df FROM pairs)"""
 #: Student's t tail by Simpson's rule: with t = sqrt(df) / tan(angle) the density is a power of the sine, and angle = a0 u^4 makes it smooth at 0.
 _P = f"""{_WELCH}, span AS (SELECT *, pi() / 2 - atan(abs(t) / sqrt(df)) AS a0 FROM tests WHERE CAST(df AS VARCHAR) <> 'nan'),
-  area AS (SELECT channel, id, group_a, group_b, any_value(2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) / 1200) * sum((CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * 4 * (k / 400.0) ** 3 * a0 * sin(a0 * (k / 400.0) ** 4) ** (df - 1)) AS p
-    FROM span, (SELECT unnest(range(401)) AS k) GROUP BY channel, id, group_a, group_b),
+  area AS (SELECT channel, id, group_a, group_b, any_value(2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) / 12000) * sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * 4 * (k / 4000.0) ** 3 * a0 * sin(a0 * (k / 4000.0) ** 4) ** (df - 1)) AS p
+    FROM span, (SELECT unnest(range(4001)) AS k) GROUP BY channel, id, group_a, group_b),
   tested AS (SELECT t.channel, t.id, t.group_a, t.group_b, CASE WHEN a.p IS NOT NULL THEN a.p WHEN CAST(t.t AS VARCHAR) IN ('inf', '-inf') THEN 0 ELSE 'nan'::DOUBLE END AS p FROM tests t LEFT JOIN area a USING (channel, id, group_a, group_b))"""
 
 _BH = f"""{_P}, flagged AS (SELECT *, CAST(p AS VARCHAR) <> 'nan' AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf) AS ok FROM tested),
