@@ -187,9 +187,9 @@ def compare_levels(counts: DataFrame, metadata: DataFrame, factors: list[str]) -
     rounded = counts.select("region_id", "sample", F.rint(F.col("n").cast("double")).alias("n")).join(metadata.select("sample"), "sample", "left_semi")
     positive = rounded.groupBy("region_id").agg(F.sum("n").alias("s")).filter("s > 0").select("region_id")
     held = Stash(rounded.join(positive, "region_id"), "counts").df
-    sizes = size_factors(held)
+    sizes = Stash(size_factors(held), "sizes").df
+    held = held.join(sizes.select("sample"), "sample", "left_semi")
     design = metadata.select("sample", *factors).join(sizes, "sample").toPandas().sort_values("sample", ignore_index=True)
-    held = held.join(F.broadcast(counts.sparkSession.createDataFrame(design[["sample"]])) if len(design) else sizes.select("sample"), "sample", "left_semi")
     shape = "factor string, level_a string, level_b string, region_id int, base_mean double, log2_fold_change double, lfc_se double, stat double, pvalue double, padj double"
     levels = {f: sorted(design[f].unique()) for f in factors}
     x, names = design_matrix(design, factors)

@@ -60,6 +60,9 @@ def test_levels_recover_simulated_changes(spark):
     changed = [got[r]["padj"] for r in got if effect[r]]
     same = [got[r]["pvalue"] for r in got if not effect[r]]
     assert max(changed) < 0.01 and np.mean(np.array(same) < 0.05) < 0.25
+    silent = counts.unionByName(spark.createDataFrame([(r, "b9", 0.0) for r in range(60)], counts.schema))
+    more = deseq.compare_levels(silent, meta.unionByName(spark.createDataFrame([("b9", "b")], meta.schema)), ["kind"])
+    assert {r["region_id"]: round(r["log2_fold_change"], 6) for r in more.collect()} == {k: round(r["log2_fold_change"], 6) for k, r in got.items()}
     factors = {r["sample"]: r["size_factor"] for r in deseq.size_factors(counts).collect()}
     assert factors["a5"] / factors["a0"] == pytest.approx(2.5, rel=0.2)
 
