@@ -62,7 +62,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(
         {
             "scope": pdf["scope"], "id": ids, "parent_id": pdf["parent_id"].astype("Int64"),
-            "exit_id": pd.array(np.where(leaves, parents[top], 0), dtype="Int64").copy() if leaves.all() else pd.Series(parents[top]).astype("Int64").where(leaves),
+            "exit_id": pd.Series(parents[top]).astype("Int64").where(leaves),
             "state": np.where(circular, "cycle", np.where(leaves, "exit", "root")), "path": [list(f) if p is None else p for p, f in zip(paths, frags)],
         }
     )
@@ -129,7 +129,7 @@ def _double(nodes: DataFrame, n: int) -> DataFrame:
     return paths.unionByName(circular.select("scope", "id", F.lit("cycle").alias("state"), F.array("id").alias("path")))
 
 
-def hierarchies(links: DataFrame, scope: str, id_col: str, parent_col: str, no_parent: tuple[int, ...] = (-1,), fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def hierarchies(links: DataFrame, scope: str, id_col: str, parent_col: str, no_parent: tuple[int, ...] = (-1,), fragment_rows: int = FRAGMENT_ROWS, paths: bool = True) -> DataFrame:
     """Full hierarchies of all forests: scope, id, parent_id (as given), state, root_id, depth, path.
 
     ``links`` has one row per (scope, id); of repeated rows the one with the smallest parent counts. A link ends at null, at an id in
@@ -140,18 +140,18 @@ def hierarchies(links: DataFrame, scope: str, id_col: str, parent_col: str, no_p
 
     Scale: no task holds more than about ``fragment_rows`` nodes, whatever the size of a scope: scopes are cut into ranges of ids. Each
     level passes on only the nodes that other partitions point to; the number of levels follows the logarithm of the size, not the depth.
-    The result's size is the sum of depths, which is what full paths hold.
+    The result's size is the sum of depths, which is what full paths hold; with ``paths`` off only states are worked out (root_id, depth and path are null).
     """
     nodes = links.filter(F.col(id_col).isNotNull()).select(F.coalesce(F.col(scope).cast("string"), F.lit("\0")).alias("scope"), F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("given_parent"))
     nodes = nodes.groupBy("scope", "id").agg(F.min("given_parent").alias("given_parent"))
     base = Stash(nodes, "links")
-    held = base.df.withColumn("parent_id", F.when(~F.col("given_parent").isin(*no_parent), F.col("given_parent")) if no_parent else F.col("given_parent")).withColumn("frag", F.array("id"))
+    held = base.df.withColumn("parent_id", F.when(~F.col("given_parent").isin(*no_parent), F.col("given_parent")) if no_parent else F.col("given_parent")).withColumn("frag", F.array("id") if paths else F.array().cast("array<long>"))
     stashes: list[Stash] = [base]
     solved = _solve(held.drop("given_parent"), max(base.df.count(), 1), fragment_rows, stashes)
-    rooted = F.col("state") == "root"
+    rooted = (F.col("state") == "root") & F.lit(paths)
     return solved.join(base.df, ["scope", "id"]).select(
         F.when(F.col("scope") != "\0", F.col("scope")).alias("scope"), "id", F.col("given_parent").alias("parent_id"), "state",
-        F.when(rooted, F.col("path")[0]).alias("root_id"), F.when(rooted, F.size("path") - 1).alias("depth"), F.when(rooted, F.col("path")).alias("path"),
+        F.when(rooted, F.try_element_at("path", F.lit(1))).alias("root_id"), F.when(rooted, F.size("path") - 1).alias("depth"), F.when(rooted, F.col("path")).alias("path"),
     )
 
 

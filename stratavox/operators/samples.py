@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .atlas import closure
@@ -112,8 +111,3 @@ def group_means_wide(obs: DataFrame, keys: list[str], columns: list[str], groups
 def sample_groups(obs: DataFrame, factors: list[str]) -> DataFrame:
     """Sample metadata of an analysis: sample and factors, each sample once."""
     return obs.select("sample", *factors).distinct()
-
-
-def sample_order(obs: DataFrame) -> DataFrame:
-    """sample, sample_ord: samples by group, then name."""
-    return obs.select("group_label", "sample").distinct().withColumn("sample_ord", F.row_number().over(W.orderBy("group_label", "sample"))).select("sample", "sample_ord")

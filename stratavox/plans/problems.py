@@ -45,12 +45,12 @@ def p3_region_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profile.withColumn("total", F.round("total", 2))
 
 
-def _atlas_forests(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchies(latest_links(table(spark, folder, "atlas_nodes")), "atlas_name", "id", "parent_id")
+def _atlas_forests(spark: SparkSession, folder: str, paths: bool = True) -> DataFrame:
+    return hierarchies(latest_links(table(spark, folder, "atlas_nodes")), "atlas_name", "id", "parent_id", paths=paths)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _atlas_forests(spark, folder).filter("state = 'cycle'").select(F.col("scope").alias("atlas_name"), F.col("id").cast("int").alias("id"))
+    return _atlas_forests(spark, folder, paths=False).filter("state = 'cycle'").select(F.col("scope").alias("atlas_name"), F.col("id").cast("int").alias("id"))
 
 
 def p4_paths(spark: SparkSession, folder: str) -> DataFrame:

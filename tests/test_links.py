@@ -53,7 +53,10 @@ def forest(seed, n):
 @pytest.mark.parametrize("fragment", [15, 40, 100_000])
 def test_random_forests(spark, fragment):
     rows = forest(fragment, 120)
-    assert solve(spark, rows, fragment) == brute(rows)
+    want = brute(rows)
+    assert solve(spark, rows, fragment) == want
+    states = hierarchies(spark.createDataFrame(rows, SCHEMA), "s", "i", "p", fragment_rows=fragment, paths=False).collect()
+    assert {(r["scope"], r["id"]): r["state"] for r in states} == {k: v[1] for k, v in want.items()} and all(r["path"] is None for r in states)
 
 
 def test_a_deep_chain_and_a_circle_over_partitions(spark):
