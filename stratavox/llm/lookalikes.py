@@ -128,7 +128,7 @@ def look_classes(docs: DataFrame, id_col: str, text: str | Column) -> DataFrame:
     Documents with a null text are classes of their own; empty texts are equal to each other. One pass over the texts; only keys
     and ids are shuffled, with map-side aggregation, so a text that a third of all documents share costs one row per task.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), look_keys(text).alias("k")).select("id", "k.coarse", "k.exact")
+    keyed = Stash(docs.select(F.col(id_col).cast("long").alias("id"), look_keys(text).alias("k")).select("id", "k.coarse", "k.exact"), "looks").df
     own = F.coalesce("coarse", F.col("id").cast("string").cast("binary"))
     texts = keyed.groupBy(own.alias("coarse"), "exact").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     classes = texts.groupBy("coarse").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_texts"))
