@@ -75,11 +75,16 @@ def _tables() -> tuple[dict, dict]:
     return _PerCharacter(_shown), _PerCharacter(lambda c: "" if _ignorable(c) else _blank(c) or "".join(CYRILLIC.get(x) or GREEK.get(x) or x for x in c))
 
 
+def _ascii_blanks(text: str) -> str:
+    """What the tables make of a text of ASCII characters only."""
+    return text.replace("\t", " ").replace("\r", "\n").replace("\x0b", "\n").replace("\x0c", "\n")
+
+
 def shown_form(text: str) -> str:
     """Equal for texts that show the same characters: width, composition, invisible characters, kinds of blank and look-alike
     letters are levelled; case, accents, superscripts and dashes stay."""
-    if text.isascii() and "\t" not in text and "\r" not in text:
-        return text
+    if text.isascii():
+        return _ascii_blanks(text)
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_tables()[0]).replace("\r\n", "\n"))
 
 
@@ -87,7 +92,7 @@ def consistent_form(text: str) -> str:
     """The consistent form for comparisons: compatibility normalisation, full case folding, mapped blanks, nothing invisible, plain
     letters for look-alikes, composed."""
     if text.isascii():
-        return text.casefold().replace("\t", " ").replace("\r", "\n")
+        return _ascii_blanks(text.casefold())
     plain = unicodedata.normalize("NFKD", text).translate(_tables()[1])
     folded = unicodedata.normalize("NFKD", plain.casefold()).translate(_tables()[1])
     return unicodedata.normalize("NFC", folded)

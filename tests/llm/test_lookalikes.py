@@ -1,6 +1,6 @@
 import unicodedata
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from stratavox.llm.lookalikes import consistent_form, consistent_text, look_alike_pairs, look_classes, shown_form
@@ -29,6 +29,15 @@ def test_forms_are_stable_and_shown_refines_consistent(text):
     assert shown_form(unicodedata.normalize("NFD", text)) == shown_form(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(max_codepoint=127), max_size=40))
+@example("page one\x0cpage two\x0bend")
+@example("a\tb\r\nc")
+def test_a_plain_text_has_the_forms_of_its_copy_with_an_invisible_character(text):
+    assert shown_form(text) == shown_form(text + "\u200b")
+    assert consistent_form(text) == consistent_form(text + "\u200b")
+
+
 def test_pairs_and_classes(spark):
     texts = [*SAME, *OTHER, SAME[0], None, None, "", "x" * 200_000, "x" * 199_999 + "х"]
     df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], DOCS).repartition(3)
