@@ -27,6 +27,9 @@ GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
 }
+# Look-alikes in comparisons, where case does not count: also the small letters of mapped capitals (к as К). Letters whose two cases look like
+# different Latin letters (Ν as N, ν as v; Ӏ as I, ӏ as l) keep both readings, since one reading would make n of every v and i of every l.
+ANY_CASE = {c.lower(): v.lower() for c, v in {**CYRILLIC, **GREEK}.items() if c != c.lower()} | CYRILLIC | GREEK
 # Ranges of default-ignorable code points (Unicode DerivedCoreProperties).
 IGNORABLE = [
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
@@ -72,7 +75,7 @@ def _shown(ch: str) -> str:
 
 @cache
 def _tables() -> tuple[dict, dict]:
-    return _PerCharacter(_shown), _PerCharacter(lambda c: "" if _ignorable(c) else _blank(c) or "".join(CYRILLIC.get(x) or GREEK.get(x) or x for x in c))
+    return _PerCharacter(_shown), _PerCharacter(lambda c: "" if _ignorable(c) else _blank(c) or ANY_CASE.get(c, c))
 
 
 def _ascii_blanks(text: str) -> str:
@@ -90,7 +93,7 @@ def shown_form(text: str) -> str:
 
 def consistent_form(text: str) -> str:
     """The consistent form for comparisons: compatibility normalisation, full case folding, mapped blanks, nothing invisible, plain
-    letters for look-alikes, composed."""
+    letters for look-alikes in either case (``ANY_CASE``), composed."""
     if text.isascii():
         return _ascii_blanks(text.casefold())
     plain = unicodedata.normalize("NFKD", text).translate(_tables()[1])

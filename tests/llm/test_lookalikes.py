@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from stratavox.llm.lookalikes import consistent_form, consistent_text, look_alike_pairs, look_classes, shown_form
+from stratavox.llm.lookalikes import CYRILLIC, GREEK, consistent_form, consistent_text, look_alike_pairs, look_classes, shown_form
 
 DOCS = "doc_id long, text string, id string, coarse string"
 BASE = "The café opens: scope = x² — ok"
@@ -38,6 +38,19 @@ def test_a_plain_text_has_the_forms_of_its_copy_with_an_invisible_character(text
     assert consistent_form(text) == consistent_form(text + "\u200b")
 
 
+def test_cyrillic_and_greek_texts_that_differ_in_case_only_have_one_consistent_form():
+    for text in ("Код: Вектор Ткани, объём Һ Ԁ", "Все Клетки Мозга Находятся Там", "Αβ Βα Εκτίμηση Ζώα Ηχώ Ικτίς Κάπα Μέρος Τιμή Υψος Χάος Ρω Ος", *CYRILLIC, *GREEK):
+        if not set(text) & set("ΝνӀӏ"):
+            assert len({consistent_form(t) for t in (text, text.upper(), text.lower(), text.swapcase(), text.casefold(), "\u200b" + text.title())}) == 1, text
+    assert shown_form("к") != shown_form("k") and shown_form("К") == "K"
+    assert consistent_form("n") != consistent_form("v") and consistent_form("i") != consistent_form("l")
+
+
+def test_every_look_alike_of_a_latin_letter_is_compared_as_that_letter():
+    # the lunate sigma is decomposed to σ before letters are read
+    assert all(consistent_form(x) == v.casefold() for x, v in {**CYRILLIC, **GREEK}.items() if x not in "Ϲϲ")
+
+
 def test_pairs_and_classes(spark):
     texts = [*SAME, *OTHER, SAME[0], None, None, "", "x" * 200_000, "x" * 199_999 + "х"]
     df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], DOCS).repartition(3)
