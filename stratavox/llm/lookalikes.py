@@ -133,14 +133,16 @@ def look_keys(texts: pd.Series) -> pd.DataFrame:
 def look_classes(docs: DataFrame, id_col: str, text: str | Column) -> DataFrame:
     """Every document with its class of equal consistent form: id, class_id (smallest id), n_docs, n_texts (different texts, within the class).
 
-    Documents with a null text are classes of their own; empty texts are equal to each other. One pass over the texts; only keys
+    Documents with a null text are classes of their own, with a null class_id if their id is null too; empty texts are equal to each other. One pass over the texts; only keys
     and ids are shuffled, with map-side aggregation, so a text that a third of all documents share costs one row per task.
     """
     keyed = Stash(docs.select(F.col(id_col).cast("long").alias("id"), look_keys(text).alias("k")).select("id", "k.coarse", "k.exact"), "looks").df
     own = F.coalesce("coarse", F.col("id").cast("string").cast("binary"))
     texts = keyed.groupBy(own.alias("coarse"), "exact").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     classes = texts.groupBy("coarse").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_texts"))
-    return keyed.withColumn("coarse", own).join(classes, "coarse").select("id", "class_id", "n_docs", "n_texts")
+    # a row with neither text nor id has no key and meets no class
+    one = [F.coalesce(c, F.lit(1).cast("long")).alias(c) for c in ("n_docs", "n_texts")]
+    return keyed.withColumn("coarse", own).join(classes, "coarse", "left").select("id", "class_id", *one)
 
 
 def look_alike_pairs(docs: DataFrame, id_col: str, text: str | Column) -> DataFrame:

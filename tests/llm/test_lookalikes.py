@@ -64,3 +64,10 @@ def test_pairs_and_classes(spark):
         assert (classes[i]["class_id"], classes[i]["n_docs"]) == (min(mates), len(mates))
     assert look_alike_pairs(df.limit(0), "doc_id", "text").count() == 0 and look_classes(df.limit(0), "doc_id", "text").count() == 0
     assert [r[0] for r in df.filter("doc_id = 0 or text is null").orderBy("doc_id").select(consistent_text("text")).collect()][1:] == [None, None]
+
+
+def test_rows_without_id_or_text_are_kept(spark):
+    rows = [(1, "a"), (2, "A"), (3, None), (None, None), (None, None), (None, "a"), (None, "b")]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS).repartition(3)
+    got = [tuple(r) for r in look_classes(df, "doc_id", "text").collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 3, 2), (2, 1, 3, 2), (None, 1, 3, 2), (3, 3, 1, 1), (None, None, 1, 1), (None, None, 1, 1), (None, None, 1, 1)], key=str)
