@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookalikes import CYRILLIC, GREEK, IGNORABLE, _PerCharacter
@@ -73,7 +73,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """Passages of a block of items and their q-grams."""
 
-    ids: np.ndarray
+    #: nullable integers
+    ids: pd.api.extensions.ExtensionArray
     texts: list[bytes]
     #: per passage: item, first and last + 1 character, edits allowed, least number of shared q-grams
     item: np.ndarray
@@ -91,9 +92,14 @@ class ItemIndex:
     maybe: np.ndarray
 
 
+def _whole(ids: list) -> pd.api.extensions.ExtensionArray:
+    """Ids, whole numbers or their text, as exact nullable integers."""
+    return pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64")
+
+
 def index_items(items: pd.DataFrame, words: int = WORDS, edit_share: float = EDIT_SHARE) -> ItemIndex:
-    """Index of item_id, text. Items with fewer than ``words`` words have no passage."""
-    rows = [(int(i), word_text(t)) for i, t in zip(items["item_id"], items["text"]) if isinstance(t, str)]
+    """Index of item_id, text. Items with fewer than ``words`` words have no passage. An id may be null, and be written as text."""
+    rows = [(i, word_text(t)) for i, t in zip(items["item_id"], items["text"]) if isinstance(t, str)]
     ids, texts, passages, hashes, owner, at = [], [], [], [], [], []
     first = [0]
     for item_id, text in rows:
@@ -122,7 +128,7 @@ def index_items(items: pd.DataFrame, words: int = WORDS, edit_share: float = EDI
     first = np.array(first)
     least = np.minimum.reduceat(table[:, 4], first[:-1]) if len(ids) else np.zeros(0, dtype=np.int64)
     joined = lambda parts: np.concatenate(parts)[order] if parts else np.zeros(0, dtype=np.int64)
-    return ItemIndex(np.array(ids, dtype=np.int64), texts, *table.T, first, least, grams, np.append(starts, len(h)), joined(owner), joined(at), maybe)
+    return ItemIndex(_whole(ids), texts, *table.T, first, least, grams, np.append(starts, len(h)), joined(owner), joined(at), maybe)
 
 
 def _align(patterns: np.ndarray, lengths: np.ndarray, data: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
@@ -231,7 +237,8 @@ def leaked_passages(docs: DataFrame, items: DataFrame, words: int = WORDS, edit_
 
     A passage is any ``words`` consecutive words of an item; it is held where a part of the document's words equals it but for
     edit_share * its length edits. n_passages counts the item's passages held, n_exact those held word for word.
-    Items with fewer words, and null texts, take part in nothing. Repeated items or documents give a row each.
+    Items with fewer words, and null texts, take part in nothing. Repeated items or documents give a row each. A null item_id or doc_id
+    stays null in the result: what such an item or document shares is reported as that of any other.
 
     Documents are scanned once per block of items and not shuffled; the items are a test set, and a block of them, of bounded size, is broadcast.
     """
@@ -241,7 +248,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, words: int = WORDS, edit_
     shape = "item_id long, doc_id long, n_passages int, least_edits int, n_exact int"
     result = None
     for block in range(blocks):
-        own = items.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)).select("item_id", "text").toPandas()
+        own = items.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)).select(_as_text("item_id"), "text").toPandas()
         held = spark.sparkContext.broadcast(index_items(own, words, edit_share))
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -258,11 +265,16 @@ def leaked_passages(docs: DataFrame, items: DataFrame, words: int = WORDS, edit_
                         ids, texts, chars = [], [], 0
                 yield _named(search(texts, index), ids)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, shape)
+        part = docs.select(_as_text("doc_id"), "text").mapInPandas(scan, shape)
         result = part if result is None else result.unionAll(part)
     return result
 
 
-def _named(found: pd.DataFrame, ids: list[int]) -> pd.DataFrame:
-    found["doc_id"] = np.array(ids, dtype=np.int64)[found["doc"].to_numpy()] if len(found) else np.zeros(0, dtype=np.int64)
+def _as_text(name: str) -> Column:
+    """An id as text, since a null among integers makes pandas read a batch's ids as floats, which lose digits beyond 2^53."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def _named(found: pd.DataFrame, ids: list[str | None]) -> pd.DataFrame:
+    found["doc_id"] = _whole([ids[k] for k in found["doc"]])
     return found[["item_id", "doc_id", "n_passages", "least_edits", "n_exact"]]

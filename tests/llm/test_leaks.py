@@ -94,3 +94,13 @@ def test_a_very_long_text(spark):
     text = "na " * 400_000 + passage + " no" * 400_000
     got = leaked_passages(spark.createDataFrame([(1, text, 0)], DOCS), spark.createDataFrame([(2, passage, "")], ITEMS)).collect()
     assert [(r["item_id"], r["doc_id"], r["n_exact"]) for r in got] == [(2, 1, 1)]
+
+
+def test_null_ids_stay_null_and_long_ids_exact(spark):
+    rng = random.Random(9)
+    a, b = sentence(rng, 13), sentence(rng, 13)
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, a, 0), (None, f"x {a} y {b}", 0), (2, None, 0), (None, None, 0)], DOCS).coalesce(1)
+    items = spark.createDataFrame([(big + 2, a, ""), (None, b, ""), (None, None, "")], ITEMS).coalesce(1)
+    got = [(r["item_id"], r["doc_id"], r["n_exact"]) for r in leaked_passages(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([(big + 2, big, 1), (big + 2, None, 1), (None, None, 1)], key=str)
