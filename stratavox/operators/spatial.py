@@ -7,11 +7,11 @@ shared by two triangles is made one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stash
@@ -22,8 +22,10 @@ SAMPLE_ROWS = 60_000
 TASK_ROWS = 20_000
 #: A leaf that exact counts show to hold more than so many times TASK_ROWS is split again.
 OVERFULL = 4
-#: Bound on the triangles that are broadcast at once; more are worked off in blocks of slices.
+#: Bound on the triangles that are broadcast; more are joined with the points slice by slice.
 BLOCK_TRIANGLES = 400_000
+#: Points of a slice that are meant for one task of that join.
+SLICE_POINTS = 250_000
 
 
 class SpaceTree:
@@ -293,58 +295,78 @@ def regions_of_points(points: DataFrame, id_col: str, annotation: DataFrame, blo
     that slice are searched through a hierarchy and tested exactly, borders included. A point on a border shared by two
     regions belongs to the one that contains its rounded position: every point gets one region, however many triangles it touches.
 
-    Points are not shuffled. The triangles follow the size of the volume, not the number of points; they are counted, and broadcast in
-    blocks of slices of at most about ``block`` triangles, each block against the points of its slices only.
+    The triangles follow the size of the volume, not the number of points; they are counted. Up to ``block`` of them are broadcast, and points are not
+    shuffled. More never pass through the driver: points and triangles of a slice meet in tasks of their own (``_regions_by_slice``).
     """
     spark = points.sparkSession
     stash = Stash(slice_triangles(annotation), "triangles")
-    counts = sorted((r["z"], r["n"]) for r in stash.df.groupBy("z").agg(F.count("*").alias("n")).collect())
-    blocks: list[tuple[int, int]] = []
-    begin, held = None, 0
-    for z, n in counts:
-        if begin is not None and held + n > block:
-            blocks.append((begin, z - 1))
-            begin, held = None, 0
-        begin, held = (z if begin is None else begin), held + n
-    if begin is not None:
-        blocks.append((begin, counts[-1][0]))
     known = F.col("z").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull() & ~F.isnan("z") & ~F.isnan("y") & ~F.isnan("x")
     rows = points.select(F.col(id_col).cast("long").alias("id"), "z", "y", "x")
-    level = F.rint("z")
-    covered = F.lit(False)
-    parts = []
-    for first, last in blocks:
-        tri = stash.df.filter(F.col("z").between(first, last)).toPandas()
-        order = space_order(tri["z"].to_numpy(dtype=float), tri[["y1", "x1"]].to_numpy())
-        tri = tri.iloc[order]
-        corners = tri[["y1", "x1", "y2", "x2", "y3", "x3"]].to_numpy().reshape(-1, 3, 2)
-        z = tri["z"].to_numpy(dtype=float)
-        held_by = spark.sparkContext.broadcast((z, corners, tri["region_id"].to_numpy()))
-        inside = known & level.between(first, last)
-        covered = covered | inside
-        parts.append(rows.filter(inside).mapInPandas(_locate(held_by), "id long, voxel_region int"))
-    rest = rows.filter(~F.coalesce(covered, F.lit(False))).select("id", F.when(known, F.lit(0)).cast("int").alias("voxel_region"))
-    for part in parts:
-        rest = rest.unionAll(part)
-    return rest
+    if stash.df.count() > block:
+        return _regions_by_slice(rows, known, stash.df)
+    tri = stash.df.toPandas()
+    if not len(tri):
+        return rows.select("id", F.when(known, F.lit(0)).cast("int").alias("voxel_region"))
+    held_by = spark.sparkContext.broadcast(_triangles(tri))
+    inside = known & F.rint("z").between(int(tri["z"].min()), int(tri["z"].max()))
+    rest = rows.filter(~F.coalesce(inside, F.lit(False))).select("id", F.when(known, F.lit(0)).cast("int").alias("voxel_region"))
+    return rest.unionAll(rows.filter(inside).mapInPandas(_locate(held_by), "id long, voxel_region int"))
+
+
+def _regions_by_slice(rows: DataFrame, known: Column, triangles: DataFrame) -> DataFrame:
+    """The regions of ``rows`` by a shuffle on the slice. Points of a slice are dealt to as many tasks as hold SLICE_POINTS each, and the
+    slice's triangles are repeated for each of them, so neither a hot slice nor the volume has to fit into one task; an image slice has to.
+
+    Only one row per slice (its number of tasks) is broadcast. Points on no labelled slice are outside and not shuffled.
+    """
+    placed = rows.withColumn("slice", F.when(known, F.rint("z")))
+    labelled = triangles.select(F.col("z").cast("double").alias("slice")).distinct()
+    sizes = placed.filter("slice is not null").groupBy("slice").agg(F.count("*").alias("n"))
+    dealt = Stash(labelled.join(sizes, "slice").select("slice", F.ceil(F.col("n") / SLICE_POINTS).cast("int").alias("tasks")), "slices").df
+    sent = placed.join(F.broadcast(dealt), "slice", "left")
+    rest = sent.filter("tasks is null").select("id", F.when(known, F.lit(0)).cast("int").alias("voxel_region"))
+    salted = sent.filter("tasks is not null").withColumn("task", F.pmod(F.xxhash64("id", "z", "y", "x"), F.col("tasks")).cast("int"))
+    corners = triangles.withColumn("slice", F.col("z").cast("double")).join(F.broadcast(dealt), "slice")
+    repeated = corners.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+
+    def search(points: pd.DataFrame, tri: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": points["id"], "voxel_region": _region_search(*_triangles(tri))(points[["z", "y", "x"]].to_numpy().copy())})
+
+    met = salted.drop("tasks").groupBy("slice", "task").cogroup(repeated.groupBy("slice", "task"))
+    return rest.unionAll(met.applyInPandas(search, "id long, voxel_region int"))
+
+
+def _triangles(tri: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slice, corners and region of triangles, in an order that suits a hierarchy."""
+    tri = tri.iloc[space_order(tri["z"].to_numpy(dtype=float), tri[["y1", "x1"]].to_numpy())]
+    corners = tri[["y1", "x1", "y2", "x2", "y3", "x3"]].to_numpy().reshape(-1, 3, 2)
+    return tri["z"].to_numpy(dtype=float), corners, tri["region_id"].to_numpy()
+
+
+def _region_search(z: np.ndarray, corners: np.ndarray, region: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The region of each of the positions z, y, x (which are changed) among triangles."""
+    tree = Hierarchy(np.column_stack([z, corners.min(axis=1)]), np.column_stack([z, corners.max(axis=1)]))
+
+    def search(where: np.ndarray) -> np.ndarray:
+        whole = np.rint(where)
+        found = np.zeros(len(where), dtype=np.int32)
+        # a border lies between voxels: on a half coordinate several regions may touch, and the rounded position decides
+        where[:, 1:] = np.where((np.abs(where - whole) == 0.5)[:, 1:].any(axis=1)[:, None], whole[:, 1:], where[:, 1:])
+        for part in np.array_split(np.arange(len(where)), max(1, len(where) // 4096)):
+            at = np.column_stack([whole[part, 0], where[part, 1:]])
+            query, triangle = tree.touching(at, at)
+            q = part[query]
+            met = in_triangle(where[q, 1:], corners[triangle])
+            found[q[met]] = region[triangle[met]]
+        return found
+
+    return search
 
 
 def _locate(held_by):
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, corners, region = held_by.value
-        tree = Hierarchy(np.column_stack([z, corners.min(axis=1)]), np.column_stack([z, corners.max(axis=1)]))
+        search = _region_search(*held_by.value)
         for pdf in batches:
-            where = pdf[["z", "y", "x"]].to_numpy().copy()
-            whole = np.rint(where)
-            found = np.zeros(len(pdf), dtype=np.int32)
-            # a border lies between voxels: on a half coordinate several regions may touch, and the rounded position decides
-            where[:, 1:] = np.where((np.abs(where - whole) == 0.5)[:, 1:].any(axis=1)[:, None], whole[:, 1:], where[:, 1:])
-            for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 4096)):
-                at = np.column_stack([whole[part, 0], where[part, 1:]])
-                query, triangle = tree.touching(at, at)
-                q = part[query]
-                met = in_triangle(where[q, 1:], corners[triangle])
-                found[q[met]] = region[triangle[met]]
-            yield pd.DataFrame({"id": pdf["id"], "voxel_region": found})
+            yield pd.DataFrame({"id": pdf["id"], "voxel_region": search(pdf[["z", "y", "x"]].to_numpy().copy())})
 
     return locate

@@ -83,6 +83,23 @@ def test_regions_match_rounding(spark):
     assert {r["voxel_region"] for r in empty} == {0, None}
 
 
+def test_a_large_volume_does_not_pass_through_the_driver(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(z, y, [rng.choice([0, 7, 8]) for _ in range(5)]) for z in (0, 1, 3) for y in range(5)] + [(4, y, [0] * 5) for y in range(5)]
+    annotation = spark.createDataFrame(rows, "z int, y int, labels array<int>")
+    points = [(i, "a", rng.choice([1, 1, 1, 0.5, 2, 3, 4, -1, 1e300, math.nan]), rng.randint(0, 16) / 4, rng.randint(0, 16) / 4, "x") for i in range(300)] + [(7, "a", 1.0, 2.0, 2.0, "x")] * 3
+    df = spark.createDataFrame([(i, im, float(z), y, x, leaf) for i, im, z, y, x, leaf in points], POINTS).repartition(3)
+    ordered = lambda got: sorted(((r["id"], r["voxel_region"]) for r in got), key=str)
+    want = ordered(regions_of_points(df, "n", annotation).collect())
+
+    def refuse(self):
+        raise AssertionError("triangles sent to the driver")
+
+    monkeypatch.setattr("stratavox.operators.spatial.SLICE_POINTS", 20)
+    monkeypatch.setattr(type(df), "toPandas", refuse)
+    assert ordered(regions_of_points(df, "n", annotation, block=10).collect()) == want and len(want) == len(points)
+
+
 def test_tree_places_unknown_groups():
     import pandas as pd
 
