@@ -10,13 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Stash
-from .sized_join import BROADCAST_ROWS
+from .sized_join import sized_join
 
 CHUNK_ROWS = 50_000
 
@@ -47,13 +47,16 @@ def _running_number(key: str):
     return number
 
 
-def number_rows(df: DataFrame, key: str, order_by: list[str] | None = None) -> tuple[DataFrame, Stash]:
+def number_rows(df: DataFrame, key: str, order_by: list[str] | None = None, over: int = 0) -> tuple[DataFrame, Stash]:
     """``df`` with ``row_no``, the exact number from 0 of each row among the rows of its key, and the table behind it.
 
     With ``order_by`` rows are numbered in that order (range partitions of the order columns, which do not depend on the key, so no
     partition is hot); else in the order of the input partitions. The partition-wise numbers are written once, so that a
     lost executor cannot change them. Null is a key of its own. Columns named __nth, __part or row_no are replaced.
     Only (key, partition) counts are shuffled: a hot key has one count per partition.
+
+    Keys of at most ``over`` rows get no number (row_no is null): who cuts keys into chunks of ``over`` rows has nothing to cut there. So
+    offsets exist for the large keys alone, however many small keys there are.
     """
     df = df.drop("__nth", "__part", "row_no")
     if order_by:
@@ -62,13 +65,15 @@ def number_rows(df: DataFrame, key: str, order_by: list[str] | None = None) -> t
     written = Stash(df.mapInArrow(_running_number(key), schema).withColumn("__part", F.spark_partition_id()), "numbered")
     rows = written.df
     counts = rows.groupBy("__part", key).agg(F.count("*").alias("__n"))
-    before = W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.col(key).alias("__key"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    # a (partition, key) pair holds at most one partition's rows, so the join stays even when the offsets are too many to broadcast
-    small = offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(offsets) if small else offsets, (rows["__part"] == offsets["__part"]) & rows[key].eqNullSafe(offsets["__key"]))
-    numbered = joined.select(*[rows[c] for c in df.columns], (F.col("__nth") + F.col("__offset")).alias("row_no"))
-    return numbered, written
+    own = W.partitionBy(key)
+    before = own.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    # a struct around the key compares null with null
+    offsets = counts.select("__part", F.struct(F.col(key).alias("k")).alias("__key"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), F.sum("__n").over(own).alias("__all"))
+    offsets = Stash(offsets.filter(F.col("__all") > over).drop("__all"), "offsets", {"rows": F.count("*")})
+    keyed = rows.withColumn("__key", F.struct(F.col(key).alias("k")))
+    # a (partition, key) pair holds at most one partition's rows, so none is hot where the offsets are too many to broadcast
+    joined = sized_join(keyed, offsets.df, ["__part", "__key"], "left", rows=offsets.seen["rows"])
+    return joined.select(*df.columns, (F.col("__nth") + F.col("__offset")).alias("row_no"), "__part", "__nth"), written
 
 
 def key_counts(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -76,11 +81,16 @@ def key_counts(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFra
 
     No row is shuffled: numbering needs (key, partition) counts only, and a chunk's count is aggregated map-side. An empty table gives no rows.
     """
-    rows, _ = number_rows(df.select(key), key)
-    chunks = rows.groupBy(key, F.floor(F.col("row_no") / chunk_rows).alias("__chunk")).agg(F.count("*").alias("__n"))
+    rows, _ = number_rows(df.select(key), key, over=chunk_rows)
+    chunks = rows.groupBy(key, _chunk(chunk_rows).alias("__chunk")).agg(F.count("*").alias("__n"))
     return chunks.groupBy(key).agg(F.sum("__n").alias("n_rows"), F.count("*").alias("n_chunks"))
 
 
+def _chunk(chunk_rows: int) -> Column:
+    """The chunk of a numbered row; a key that has no numbers is one chunk."""
+    return F.coalesce(F.floor(F.col("row_no") / chunk_rows), F.lit(0))
+
+
 def ordered_profile(df: DataFrame, key: str, order_by: list[str], value: str, label: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per key, over its rows in ``order_by`` order: counts and results that depend on the order.
 
@@ -91,10 +101,10 @@ def ordered_profile(df: DataFrame, key: str, order_by: list[str], value: str, la
     last) is one row. The states of a key are then merged in order: only what crosses a chunk's border is added. A key has
     rows / chunk_rows states, so that merge is small. ``order_by`` must be unique for a defined result.
     """
-    rows, _ = number_rows(df.select(key, *dict.fromkeys([*order_by, value, label])), key, order_by)
+    rows, _ = number_rows(df.select(key, *dict.fromkeys([*order_by, value, label])), key, order_by, chunk_rows)
     good = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     cut = rows.select(
-        F.col(key).alias("__key"), F.floor(F.col("row_no") / chunk_rows).alias("__chunk"), "row_no",
+        F.col(key).alias("__key"), _chunk(chunk_rows).alias("__chunk"), F.struct("__part", "__nth").alias("row_no"),
         F.when(good, F.col(value).cast("double")).alias("__v"), F.struct(F.col(label)).alias("__l"),
     )
     w = W.partitionBy("__key", "__chunk").orderBy("row_no")

@@ -1,8 +1,8 @@
 """Session helpers: a local session for tests, the shared folder, and written intermediate tables.
 
 An intermediate table that several jobs read (or that must be the same on every read) is written as Parquet into the folder
-that ``spark.checkpoint.dir`` names, which all executors share; losing an executor then loses nothing. Only where the setting
-is empty (tests on one machine) a folder of our own is used.
+that ``spark.checkpoint.dir`` names, which all executors share; losing an executor then loses nothing. Where the setting is empty, a
+session on one machine (tests) gets a folder of its own, and a cluster must have a warehouse that is no folder of each machine.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN_FOLDER: list[str] = []
 _WRITTEN: dict[str, Stash] = {}
@@ -47,25 +47,55 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else the warehouse, or one of our own on one machine."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session. Where it is unset, a local session gets a folder of its own, and a
+    cluster its warehouse; ValueError if that is a folder of each machine, where executors could not read one another's files."""
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):  # a cluster's machines share the warehouse, not their temporary folders
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="spark-stratavox-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return f"file://{_OWN_FOLDER[0]}"
+    if spark.sparkContext.master.startswith("local"):
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="spark-stratavox-", dir=os.environ.get("TMPDIR", "/tmp")))
+        return f"file://{_OWN_FOLDER[0]}"
+    return cluster_folder(spark.conf.get("spark.sql.warehouse.dir"))
+
+
+def cluster_folder(warehouse: str) -> str:
+    """The warehouse, which must lie on storage that all machines share."""
+    if not warehouse or warehouse.startswith(("file:", "/")):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share; the warehouse is a folder of each machine")
+    return warehouse.rstrip("/")
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes, at its end, the intermediate tables written inside, for callers who have used up their result by then.
+
+    A result is a plan over such tables, so they cannot go earlier; without this they go when the process ends.
+    """
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in set(_WRITTEN) - before:
+            _WRITTEN[path].drop()
 
 
 class Stash:
-    """A DataFrame written once to the shared folder. ``df`` reads it; ``drop`` deletes it when nothing reads it any more."""
+    """A DataFrame written once to the shared folder. ``df`` reads it; ``drop`` deletes it when nothing reads it any more.
+
+    ``seen`` holds the aggregates ``observe`` (by name) over the rows, taken while they are written.
+    """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, observe: dict[str, Column] | None = None):
         self.spark = df.sparkSession
         self.conf = self.spark._jsc.hadoopConfiguration()
         self.path = f"{shared_folder(self.spark)}/stratavox-{label}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(self.path)
+        if observe:
+            taken = Observation()
+            df.observe(taken, *[c.alias(name) for name, c in observe.items()]).write.parquet(self.path)
+            self.seen = taken.get
+        else:
+            df.write.parquet(self.path)
         _WRITTEN[self.path] = self
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
