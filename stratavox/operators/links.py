@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from ..session import Stash
 from .sized_join import sized_join
 
-#: Rows meant for one task while contracting; a forest of at most so many nodes is solved in one task.
-FRAGMENT_ROWS = 20_000
+#: Nodes and ids of their paths meant for one task while contracting; a forest of at most so many is solved in one task.
+FRAGMENT_ROWS = 50_000
+FRAGMENT_IDS = 4_000_000
+#: Ids of paths that a task holds at once before it passes rows on.
+SLICE_IDS = 1_000_000
 
 _SHAPE = "scope string, id long, parent_id long, exit_id long, state string, path array<long>"
 
@@ -27,7 +30,7 @@ _SHAPE = "scope string, id long, parent_id long, exit_id long, state string, pat
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Follows parents inside one partition. In: scope, id, parent_id, frag (ids from the chain's top to the node itself).
 
-    Out: exit_id (a parent outside the partition, or null), state 'exit', 'root' or 'cycle', path (fragment from its top to the node).
+    Out: exit_id (a parent outside the partition, or null), state 'exit', 'root' or 'cycle', path (fragment from its top to the node), in slices.
     """
     parts = [b for b in batches if len(b)]
     if not parts:
@@ -41,56 +44,87 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     place = pd.MultiIndex.from_arrays([scope, ids])
     up = place.get_indexer(pd.MultiIndex.from_arrays([scope, parents]))
     up[~linked] = -1
+    frags = pdf["frag"].to_numpy()
+    length = np.array([len(f) for f in frags], dtype=np.int64)
     # nodes from the top down; a node whose chain never ends inside is on a circle or below one
     waiting = np.bincount(up[up >= 0], minlength=n)
     order = np.argsort(up, kind="stable")
     begin = np.searchsorted(up[order], np.arange(n))
-    paths: list = [None] * n
     exits = np.full(n, -1, dtype=np.int64)
-    frags = pdf["frag"].to_numpy()
-    ready = np.flatnonzero(up < 0).tolist()
-    for i in ready:
-        paths[i], exits[i] = list(frags[i]), i
-    while ready:
-        i = ready.pop()
-        for j in order[begin[i] : begin[i] + waiting[i]].tolist():
-            paths[j], exits[j] = paths[i] + list(frags[j]), exits[i]
-            ready.append(j)
+    ready = np.flatnonzero(up < 0)
+    exits[ready] = ready
+    while len(ready):
+        counts = waiting[ready]
+        below = order[np.repeat(begin[ready] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        exits[below] = exits[up[below]]
+        length[below] += length[up[below]]
+        ready = below
     circular = exits < 0
     top = np.where(circular, 0, exits)
     leaves = linked[top] & ~circular
-    yield pd.DataFrame(
+    shown = pd.DataFrame(
         {
-            "scope": pdf["scope"], "id": ids, "parent_id": pdf["parent_id"].astype("Int64"),
-            "exit_id": pd.Series(parents[top]).astype("Int64").where(leaves),
-            "state": np.where(circular, "cycle", np.where(leaves, "exit", "root")), "path": [list(f) if p is None else p for p, f in zip(paths, frags)],
+            "scope": pdf["scope"], "id": ids, "parent_id": pdf["parent_id"].astype("Int64"), "exit_id": pd.Series(parents[top]).astype("Int64").where(leaves),
+            "state": np.where(circular, "cycle", np.where(leaves, "exit", "root")),
         }
     )
 
+    def path(i: int) -> np.ndarray:
+        if circular[i]:
+            return np.asarray(frags[i])
+        pieces = []
+        while i >= 0:
+            pieces.append(frags[i])
+            i = up[i]
+        return np.concatenate(pieces[::-1])
+
+    piece = np.cumsum(length) // SLICE_IDS
+    for rows in np.split(np.arange(n), np.flatnonzero(np.diff(piece)) + 1):
+        yield shown.iloc[rows].assign(path=[path(i) for i in rows.tolist()])
+
+
+def _parts(rows: int, ids: int, fragment_rows: int) -> int:
+    """Partitions of so many nodes with so many ids in their fragments: they follow the bytes."""
+    return max(1, -(-rows // fragment_rows), -(-ids // FRAGMENT_IDS))
+
+
+def _paired(quotient: DataFrame, level: int) -> DataFrame:
+    """``quotient`` with ``mate``: its parent for some nodes, itself for the others.
+
+    Every node draws a coin (a hash, another one on each level); a node with tails whose parent has heads goes with its parent. Nodes of one mate
+    lie in one partition, so a chain contracts whatever its ids: of nodes with one child a quarter is expected to go, and nodes without children
+    always go, so a quarter of any forest is expected to go on each level.
+    """
+    heads = lambda c: F.pmod(F.xxhash64("scope", c, F.lit(level)), F.lit(2)) == 1
+    joins = F.col("parent_id").isNotNull() & ~heads("id") & heads("parent_id")
+    return quotient.withColumn("mate", F.when(joins, F.col("parent_id")).otherwise(F.col("id")))
 
-def _solve(nodes: DataFrame, n: int, fragment_rows: int, stashes: list[Stash]) -> DataFrame:
+
+def _solve(nodes: DataFrame, n: int, ids: int, fragment_rows: int, level: int = 0) -> DataFrame:
     """scope, id, state ('root' or 'cycle'), path (from the root to the node; of a circular node: itself) for nodes scope, id, parent_id, frag."""
-    parts = -(-n // fragment_rows)
-    # a range of (scope, id) keeps a forest together where it fits; a large one is cut into ranges of ids
-    laid = nodes.repartitionByRange(parts, "scope", "id") if parts > 1 else nodes.coalesce(1)
-    level = Stash(laid.mapInPandas(_contract, _SHAPE), "fragments")
-    stashes.append(level)
-    done = level.df
+    parts = _parts(n, ids, fragment_rows)
+    if parts == 1:
+        laid = nodes.coalesce(1)
+    elif level == 0:
+        # a range of (scope, id) keeps a forest together where it fits; a large one is cut into ranges of ids
+        laid = nodes.repartitionByRange(parts, "scope", "id")
+    else:
+        laid = _paired(nodes, level).repartition(parts, "scope", "mate").drop("mate")
+    done = Stash(laid.mapInPandas(_contract, _SHAPE), "fragments").df
     targets = done.filter("state = 'exit'").select("scope", F.col("exit_id").alias("id")).distinct()
-    entries = Stash(done.join(targets, ["scope", "id"], "left_semi"), "quotient")
-    stashes.append(entries)
-    m = entries.df.count()
-    upper = None
-    if m:
-        # a node on or below a local circle links to itself in the quotient, so what leads to it turns out circular as well
-        onward = F.when(F.col("state") == "cycle", F.col("id")).otherwise(F.col("exit_id"))
-        quotient = entries.df.select("scope", "id", onward.alias("parent_id"), F.col("path").alias("frag"))
-        upper = _double(quotient, m) if m > 0.8 * n and parts > 1 else _solve(quotient, m, fragment_rows, stashes)
-    if upper is None:
+    entries = Stash(done.join(targets, ["scope", "id"], "left_semi"), "quotient", {"n": F.count("*"), "ids": F.sum(F.size("path"))})
+    m = entries.seen["n"]
+    if not m:
         return done.select("scope", "id", F.when(F.col("state") == "cycle", "cycle").otherwise("root").alias("state"), F.when(F.col("state") == "cycle", F.array("id")).otherwise(F.col("path")).alias("path"))
-    solved = Stash(upper.select("scope", F.col("id").alias("exit_id"), F.col("state").alias("above_state"), F.col("path").alias("above_path")), "solved")
-    stashes.append(solved)
-    joined = sized_join(done, solved.df, ["scope", "exit_id"], "left", row_bytes=_path_bytes(solved.df, "above_path"))
+    # a node on or below a local circle links to itself in the quotient, so what leads to it turns out circular as well
+    onward = F.when(F.col("state") == "cycle", F.col("id")).otherwise(F.col("exit_id"))
+    quotient = entries.df.select("scope", "id", onward.alias("parent_id"), F.col("path").alias("frag"))
+    upper = _solve(quotient, m, entries.seen["ids"] or 0, fragment_rows, level + 1)
+    above = upper.select("scope", F.col("id").alias("exit_id"), F.col("state").alias("above_state"), F.col("path").alias("above_path"))
+    solved = Stash(above, "solved", {"longest": F.max(F.size("above_path"))})
+    entries.drop()
+    # long paths are broadcast in small numbers only
+    joined = sized_join(done, solved.df, ["scope", "exit_id"], "left", row_bytes=8 * (solved.seen["longest"] or 0) + 64, rows=m)
     circular = (F.col("state") == "cycle") | F.coalesce(F.col("above_state") == "cycle", F.lit(False))
     return joined.select(
         "scope", "id", F.when(circular, "cycle").otherwise("root").alias("state"),
@@ -98,37 +132,6 @@ def _solve(nodes: DataFrame, n: int, fragment_rows: int, stashes: list[Stash]) -
     )
 
 
-def _path_bytes(df: DataFrame, path: str) -> int:
-    """Bytes of a row with the longest path, so that long paths are broadcast in small numbers only."""
-    return 8 * (df.agg(F.max(F.size(path))).first()[0] or 0) + 64
-
-
-def _double(nodes: DataFrame, n: int) -> DataFrame:
-    """The same result by pointer doubling, for a quotient that contraction hardly makes smaller: log2(n) rounds of joins.
-
-    The first pass follows links alone and finds the circular nodes; the second builds the paths of the others, which end.
-    """
-
-    def doubled(now: DataFrame, rounds: int, with_path: bool) -> DataFrame:
-        path = ["path"] if with_path else []
-        for _ in range(rounds):
-            now = Stash(now, "doubling").df
-            if not now.filter("up is not null").limit(1).count():
-                break
-            above = now.select("scope", F.col("id").alias("up"), F.col("up").alias("next"), *[F.col(c).alias(f"above_{c}") for c in path])
-            longer = [F.concat(F.coalesce("above_path", F.array().cast("array<long>")), "path").alias("path")] if with_path else []
-            size = _path_bytes(above, "above_path") if with_path else None
-            now = sized_join(now, above, ["scope", "up"], "left", row_bytes=size).select("scope", "id", F.col("next").alias("up"), *longer)
-        return now
-
-    rounds = int(np.ceil(np.log2(max(n, 2)))) + 2
-    links = nodes.select("scope", "id", F.col("parent_id").alias("up"))
-    circular = Stash(doubled(links, rounds, False).filter("up is not null").select("scope", "id"), "circular").df
-    ending = nodes.join(circular, ["scope", "id"], "left_anti").select("scope", "id", F.col("parent_id").alias("up"), F.col("frag").alias("path"))
-    paths = doubled(ending, rounds, True).select("scope", "id", F.lit("root").alias("state"), "path")
-    return paths.unionByName(circular.select("scope", "id", F.lit("cycle").alias("state"), F.array("id").alias("path")))
-
-
 def hierarchies(links: DataFrame, scope: str, id_col: str, parent_col: str, no_parent: tuple[int, ...] = (-1,), fragment_rows: int = FRAGMENT_ROWS, paths: bool = True) -> DataFrame:
     """Full hierarchies of all forests: scope, id, parent_id (as given), state, root_id, depth, path.
 
@@ -139,15 +142,17 @@ def hierarchies(links: DataFrame, scope: str, id_col: str, parent_col: str, no_p
     gives an empty result.
 
     Scale: no task holds more than about ``fragment_rows`` nodes, whatever the size of a scope: scopes are cut into ranges of ids. Each
-    level passes on only the nodes that other partitions point to; the number of levels follows the logarithm of the size, not the depth.
+    level passes on only the nodes that other partitions point to. Where ids tell nothing about who lies near whom, the first level passes on
+    nearly all; further levels are cut by pairs of child and parent (``_paired``), so each is expected to drop a quarter at least. So the
+    number of levels follows the logarithm of the size, not the depth.
     The result's size is the sum of depths, which is what full paths hold; with ``paths`` off only states are worked out (root_id, depth and path are null).
     """
     nodes = links.filter(F.col(id_col).isNotNull()).select(F.coalesce(F.col(scope).cast("string"), F.lit("\0")).alias("scope"), F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("given_parent"))
     nodes = nodes.groupBy("scope", "id").agg(F.min("given_parent").alias("given_parent"))
-    base = Stash(nodes, "links")
+    base = Stash(nodes, "links", {"n": F.count("*")})
     held = base.df.withColumn("parent_id", F.when(~F.col("given_parent").isin(*no_parent), F.col("given_parent")) if no_parent else F.col("given_parent")).withColumn("frag", F.array("id") if paths else F.array().cast("array<long>"))
-    stashes: list[Stash] = [base]
-    solved = _solve(held.drop("given_parent"), max(base.df.count(), 1), fragment_rows, stashes)
+    n = base.seen["n"]
+    solved = _solve(held.drop("given_parent"), n, n, fragment_rows)
     rooted = (F.col("state") == "root") & F.lit(paths)
     return solved.join(base.df, ["scope", "id"]).select(
         F.when(F.col("scope") != "\0", F.col("scope")).alias("scope"), "id", F.col("given_parent").alias("parent_id"), "state",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Stash
 from .sized_join import sized_join
 
 
@@ -25,10 +26,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     * Repeated references give one row; empty tables give an empty result (all references are missing if there is no parent).
 
     Scale: keys are reduced to distinct ones by map-side aggregation before any shuffle, so a key that a third of all rows refer to
-    costs one row per task. Only suspect keys (missing, or with a limit in time) meet the referring rows again, by
-    ``sized_join``: broadcast when their number is proven small, else a salted shuffle.
+    costs one row per task. Distinct keys and suspect keys (missing, or with a limit in time) are written once, so the referring rows are
+    read twice. Only suspects meet them again, by ``sized_join``: broadcast when their number is proven small, else a shuffle with salted hot keys.
     """
-    keys = refs.select("ref_id").filter(F.col("ref_id").isNotNull()).distinct()
+    keys = Stash(refs.select("ref_id").filter(F.col("ref_id").isNotNull()).distinct(), "keys").df
     held = parents.filter(F.col("id").isNotNull()).select(F.col("id").alias("ref_id"), "added_at", "retired_at")
     missing = keys.join(held.select("ref_id").distinct(), "ref_id", "left_anti")
     spans = held.groupBy("ref_id").agg(
@@ -36,7 +37,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         F.max(F.coalesce(F.col("added_at").isNotNull() | F.col("retired_at").isNotNull(), F.lit(False))).alias("limited"),
     )
     limited = keys.join(spans.filter("limited").drop("limited"), "ref_id")
-    suspects = missing.withColumn("spans", F.lit(None).cast(limited.schema["spans"].dataType)).unionByName(limited)
+    either = missing.withColumn("spans", F.lit(None).cast(limited.schema["spans"].dataType)).unionByName(limited)
+    suspects = Stash(either, "suspects", {"n": F.count("*"), "most": F.max(F.size("spans"))})
     at = F.col("loaded_at")
     begun = lambda s: s["added_at"].isNull() | (s["added_at"] <= at)
     alive = lambda s: begun(s) & (s["retired_at"].isNull() | (at < s["retired_at"]))
@@ -47,7 +49,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .otherwise("deleted")
     )
     rows = refs.filter(F.col("ref_id").isNotNull()).select("ref_table", "ref_row", "ref_id", "loaded_at")
-    found = sized_join(rows, suspects, ["ref_id"]).withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    found = sized_join(rows, suspects.df, ["ref_id"], row_bytes=24 * (suspects.seen["most"] or 0) + 16, rows=suspects.seen["n"]).withColumn("reason", reason).filter(F.col("reason").isNotNull())
     return found.select("ref_table", "ref_row", "ref_id", F.date_format("loaded_at", "yyyy-MM").alias("load_month"), "reason").distinct()
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from stratavox.operators import links as L
@@ -64,12 +65,27 @@ def test_a_deep_chain_and_a_circle_over_partitions(spark):
     assert solve(spark, rows, 30) == brute(rows)
 
 
-def test_doubling_alone(spark):
-    rows = forest(5, 80)
-    want = brute(rows)
-    base = spark.createDataFrame([(s or "\0", i, None if p == -1 else p, [i]) for s, i, p, _ in rows if i is not None], "scope string, id long, parent_id long, frag array<long>")
-    got = {(None if r["scope"] == "\0" else r["scope"], r["id"]): (r["state"], r["path"] if r["state"] == "root" else None) for r in L._double(base, 80).collect()}
-    assert got == {k: (v[1], v[4]) for k, v in want.items()}
+def test_scattered_ids_shrink_on_every_level(spark, monkeypatch):
+    rng = random.Random(3)
+    ids = rng.sample(range(10**9), 400)
+    rows = [("a", i, ids[k - 1] if k else None, "x") for k, i in enumerate(ids)] + [("c", i, ids[(k + 1) % 60], "x") for k, i in enumerate(ids[:60])]
+    sizes = []
+    solve_level = L._solve
+
+    def watched(nodes, n, *rest):
+        sizes.append(n)
+        return solve_level(nodes, n, *rest)
+
+    monkeypatch.setattr(L, "_solve", watched)
+    assert solve(spark, rows, 60) == brute(rows)
+    assert len(sizes) > 3 and all(b < a for a, b in zip(sizes[1:], sizes[2:])) and sizes[-1] <= 60
+
+
+def test_long_paths_leave_a_task_in_slices(monkeypatch):
+    monkeypatch.setattr(L, "SLICE_IDS", 50)
+    pdf = pd.DataFrame({"scope": "a", "id": range(40), "parent_id": pd.array([None, *range(39)], dtype="Int64"), "frag": [[i] for i in range(40)]})
+    slices = list(L._contract(iter([pdf])))
+    assert len(slices) > 5 and [list(p) for s in slices for p in s["path"]] == [list(range(i + 1)) for i in range(40)]
 
 
 def test_descendants_null_ids_and_empty(spark):
