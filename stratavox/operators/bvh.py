@@ -5,9 +5,14 @@ Boxes have any number of dimensions; a discrete group (an image, a slice) is sim
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 BUCKET = 8
+#: Queries searched at once, and candidates that they may have in memory.
+QUERIES = 4096
+CANDIDATES = 2_000_000
 
 
 def _spread(values: np.ndarray) -> np.ndarray:
@@ -48,6 +53,21 @@ class Hierarchy:
 
     def touching(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, box) index pairs whose closed boxes touch."""
+        return self._descend(low, high, None)
+
+    def touching_parts(self, low: np.ndarray, high: np.ndarray, limit: int = CANDIDATES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of ``touching`` in parts of whole queries, with about ``limit`` candidates in memory: where boxes are dense, parts get small."""
+        todo = [np.arange(i, min(i + QUERIES, len(low))) for i in range(0, len(low), QUERIES)][::-1]
+        while todo:
+            part = todo.pop()
+            found = self._descend(low[part], high[part], limit if len(part) > 1 else None)
+            if found is None:
+                todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+            elif len(found[0]):
+                yield part[found[0]], found[1]
+
+    def _descend(self, low: np.ndarray, high: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """The touching pairs, or None where more than ``limit`` candidates would be open at once."""
         nothing = np.zeros(0, dtype=np.int64)
         if not len(low) or not self.levels:
             return nothing, nothing
@@ -57,6 +77,8 @@ class Hierarchy:
             met = ((at_low[node] <= high[query]) & (low[query] <= at_high[node])).all(axis=1)
             query, node = query[met], node[met]
             fan = 2 if depth else BUCKET
+            if limit is not None and fan * len(query) > limit:
+                return None
             below = len(self.levels[depth - 1][0]) if depth else len(self.low)
             query, node = np.repeat(query, fan), (node[:, None] * fan + np.arange(fan)).ravel()
             inside = node < below

@@ -27,8 +27,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_regions(spark: SparkSession, folder: str) -> DataFrame:
-    cells = current_cells(table(spark, folder, "cells", *_POSITION))
-    return regions_of_points(cells, "cell_ord", table(spark, folder, "annotation")).select(F.col("id").alias("cell_ord"), F.col("voxel_region").alias("region_id"))
+    raw = table(spark, folder, "cells", *_POSITION)
+    return regions_of_points(current_cells(raw), "cell_ord", table(spark, folder, "annotation"), fit_on=raw).select(F.col("id").alias("cell_ord"), F.col("voxel_region").alias("region_id"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

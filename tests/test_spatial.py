@@ -34,11 +34,35 @@ def test_pairs_match_brute_force(spark, task_rows, spread, d):
 
 
 def test_points_at_one_place_and_empty(spark):
-    rows = [(i, "a", 1.0, 1.0, 1.0, "x") for i in range(30)]
+    rows = [(i, "a", 1.0, 1.0, 1.0, "x") for i in range(30)] + [(None, "a", 1.0, 1.0, 1.0, "x")]
     assert near_pairs(spark.createDataFrame(rows, POINTS), "n", "im", 0.5, task_rows=4).count() == 435
     assert near_pairs(spark.createDataFrame([], POINTS), "n", "im", 0.5).count() == 0
 
 
+def test_points_at_one_place_are_dealt_to_several_tasks(spark):
+    rows = [(i, "a", 1.0, 1.0, 1.0, "x") for i in range(300)] + [(300 + i, "a", 1.0, 1.0, 1.0 + i / 16, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, POINTS)
+    top = top_hierarchy(df.withColumnRenamed("im", "g"), "g", task_rows=10)
+    first, blocks = top.deal(40)
+    assert top.rows.sum() == 340 and blocks.max() >= 7 and first[-1] + blocks[-1] == blocks.sum()
+    got = [(r["id_a"], r["id_b"]) for r in near_pairs(df, "n", "im", 0.5, task_rows=10, block_rows=16).collect()]
+    assert len(got) == len(set(got)) and sorted(got) == brute(rows, 0.5)
+
+
+@pytest.mark.parametrize("block", [7, 60])
+def test_blocks_of_a_leaf_lose_no_pair(spark, block):
+    rows = cloud(block, 400, 5)
+    got = near_pairs(spark.createDataFrame(rows, POINTS).repartition(3), "n", "im", 0.75, block_rows=block).collect()
+    assert sorted((r["id_a"], r["id_b"]) for r in got) == brute(rows, 0.75)
+
+
+def test_dense_searches_come_in_parts():
+    low = np.zeros((500, 2))
+    tree = Hierarchy(low, low + 1)
+    parts = list(tree.touching_parts(low[:50], low[:50], limit=3000))
+    assert len(parts) > 5 and max(len(q) for q, _ in parts) <= 3000 and sum(len(q) for q, _ in parts) == 25_000
+
+
 def test_hierarchy_finds_all_touching_boxes():
     rng = np.random.default_rng(3)
     low = rng.random((200, 3))
@@ -76,28 +100,32 @@ def test_regions_match_rounding(spark):
         return volume[z][y][x] if 0 <= z < 3 and 0 <= y < 6 and 0 <= x < 7 else 0
 
     want = {p[0]: label(*p[2:5]) for p in points}
-    for block in (10, 100_000):
-        got = regions_of_points(spark.createDataFrame(points, POINTS), "n", annotation, block=block).collect()
+    for task_rows in (5, 100_000):
+        got = regions_of_points(spark.createDataFrame(points, POINTS), "n", annotation, task_rows=task_rows).collect()
         assert len(got) == len(points) and {r["id"]: r["voxel_region"] for r in got} == want
     empty = regions_of_points(spark.createDataFrame(points, POINTS), "n", annotation.limit(0)).collect()
     assert {r["voxel_region"] for r in empty} == {0, None}
 
 
-def test_a_large_volume_does_not_pass_through_the_driver(spark, monkeypatch):
+def test_hot_slices_and_repeated_points_are_dealt_to_tasks_without_the_driver(spark, monkeypatch):
     rng = random.Random(12)
     rows = [(z, y, [rng.choice([0, 7, 8]) for _ in range(5)]) for z in (0, 1, 3) for y in range(5)] + [(4, y, [0] * 5) for y in range(5)]
     annotation = spark.createDataFrame(rows, "z int, y int, labels array<int>")
     points = [(i, "a", rng.choice([1, 1, 1, 0.5, 2, 3, 4, -1, 1e300, math.nan]), rng.randint(0, 16) / 4, rng.randint(0, 16) / 4, "x") for i in range(300)] + [(7, "a", 1.0, 2.0, 2.0, "x")] * 3
+    points += [(1000 + i, "a", 1.0, 2.5, 2.5, "x") for i in range(100)] + [(None, "a", 1.0, 2.0, 2.0, "x"), (2**60 + 1, "a", 1.0, 2.0, 2.0, "x")]
     df = spark.createDataFrame([(i, im, float(z), y, x, leaf) for i, im, z, y, x, leaf in points], POINTS).repartition(3)
-    ordered = lambda got: sorted(((r["id"], r["voxel_region"]) for r in got), key=str)
-    want = ordered(regions_of_points(df, "n", annotation).collect())
+    volume = {(z, y): labels for z, y, labels in rows}
+    label = lambda z, y, x: None if math.isnan(z) else volume.get((round(z), round(y)), [0] * 9)[round(x)] if z < 9 else 0
+    want = sorted(((p[0], label(*p[2:5])) for p in points), key=str)
 
     def refuse(self):
-        raise AssertionError("triangles sent to the driver")
+        raise AssertionError("rows sent to the driver")
 
-    monkeypatch.setattr("stratavox.operators.spatial.SLICE_POINTS", 20)
     monkeypatch.setattr(type(df), "toPandas", refuse)
-    assert ordered(regions_of_points(df, "n", annotation, block=10).collect()) == want and len(want) == len(points)
+    monkeypatch.setattr(type(df), "collect", refuse)
+    for task_rows in (4, 20_000):
+        got = regions_of_points(df, "n", annotation, task_rows=task_rows).toArrow().to_pylist()
+        assert sorted(((r["id"], r["voxel_region"]) for r in got), key=str) == want
 
 
 def test_tree_places_unknown_groups():
