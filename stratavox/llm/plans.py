@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.latest import current_cells
+from ..operators.measures import MEASURES as RANGES
+from ..session import Stash
 from ..sources.tables import table
 from .cutoffs import keep_fraction
 from .leaks import leaked_passages
 from .lookalikes import CYRILLIC, GREEK, consistent_text, look_alike_pairs, look_classes
-from .packing import container_report, pack_documents, token_counts
+from .packing import container_report, pack_documents, packing_violations, token_counts
 from .quantiles import daily, merge_sketches, percentiles, sketches
 
 #: Where the public vocabulary lies; the file is a parameter of the operator.
 VOCABULARY = os.environ.get("STRATAVOX_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-DOMAIN = {"r_xy_max_std": (1e-9, 100.0), "r_xy": (1e-9, 1e4), "r_z": (1e-9, 1e4)}
+DOMAIN = {name: limits for name, limits in RANGES.items() if limits}
 MEASURES = ["center_intensity", "r_xy", "r_z"]
 
 
@@ -69,20 +71,24 @@ def p5_days_combined(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles(merge_sketches(days, ["channel"]), ["channel"], [50, 95, 99])
 
 
-def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    counts = token_counts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", VOCABULARY)
-    return pack_documents(_kept(counts)).withColumnRenamed("id", "doc_id")
-
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Token counts, written once as their number, the placement and its check read them, and the placement."""
+    counts = Stash(token_counts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", VOCABULARY), "tokens", {"n": F.count("*")})
+    return counts.df, pack_documents(counts.df, n_docs=counts.seen["n"])
 
-def _kept(counts: DataFrame) -> DataFrame:
-    """Token counts written once, as the number of documents and their placement both read them."""
-    from ..session import Stash
 
-    return Stash(counts, "tokens").df
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)[1].withColumnRenamed("id", "doc_id")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
-    return container_report(p7_containers(spark, folder))
+    return container_report(_packed(spark, folder)[1])
+
+
+def p7_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules that the placement breaks; none are expected."""
+    counts, placed = _packed(spark, folder)
+    return packing_violations(Stash(placed, "placed").df, counts)
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +118,7 @@ def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_cutoffs, p5_found, p5_percentiles, p5_daily, p5_days_combined, p7_containers, p7_report, p8_found, p8_leaks, p9_found, p9_classes, p9_texts)
+    for f in (p1_found, p1_cutoffs, p5_found, p5_percentiles, p5_daily, p5_days_combined, p7_containers, p7_report, p7_violations, p8_found, p8_leaks, p9_found, p9_classes, p9_texts)
 }
 
 #: DuckDB may answer isnan() from Parquet statistics, which leave NaN out; the SQL compares the text instead.

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from stratavox.llm.packing import balance_groups, container_report, pack_documents, pack_lengths, token_counts
+from stratavox.llm.packing import TIERS, balance_groups, container_report, pack_documents, pack_lengths, packing_violations, token_counts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -46,6 +46,54 @@ def test_little_is_left_unused():
     assert used.max() <= 2048 and 1 - lengths.sum() / (2048 * len(used)) < 0.01
 
 
+def test_every_tier_is_packed_on_its_own():
+    lengths = np.array([1500, 1500, 700, 600, 540, 300, 200, 100, 48])
+    # the long windows take 540 and 500 = 300 + 200 from the next tiers; 700 and 600 open windows of 1,024 that share a container
+    container, offset = pack_lengths(lengths)
+    assert container[0] != container[1] and container[2] == container[3] and offset[2] in (0, 700, 748, 1024 - 300)
+    used = np.bincount(container, weights=lengths)
+    assert len(used) == 3 and used.max() <= 2048 and used.sum() == lengths.sum()
+    rng = np.random.default_rng(4)
+    many = np.minimum(np.maximum(rng.lognormal(6.2, 0.8, 6_000).astype(int), 1), 2048)
+    placed = {tiers: pack_lengths(many, 2048, tiers)[0] for tiers in (TIERS, (2048,), (7, 300, 2048), (64, 512, 2048))}
+    assert len({tuple(p) for p in placed.values()}) == 4
+    for container in placed.values():
+        used = np.bincount(container, weights=many)
+        assert used.max() <= 2048 and 1 - many.sum() / (2048 * len(used)) < 0.01
+    # a window of the longest tier takes from a shorter tier only what that tier holds
+    long = many > 1024
+    assert len(set(placed[TIERS][long])) == long.sum()
+
+
+def test_odd_tiers_and_lengths():
+    for lengths in ([], [1], [2048], [2048, 1], [5] * 900):
+        for tiers in (TIERS, (), (5,), (5000, 3)):
+            container, offset = pack_lengths(np.array(lengths, dtype=np.int64), 2048, tiers)
+            used = np.bincount(container, weights=lengths) if lengths else np.zeros(0)
+            assert used.sum() == sum(lengths) and (used <= 2048).all() and (not lengths or len(used) == -(-sum(lengths) // 2045) or len(lengths) < 3)
+
+
+def test_violations_are_found(spark):
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([10, 3000, 0, 2048, 500])], "id long, n_tokens long")
+    good = pack_documents(counts)
+    assert packing_violations(good, counts).count() == 0
+    rows = [r.asDict() for r in good.collect()]
+
+    def broken(change):
+        bad = [change(dict(r)) for r in rows]
+        return {(r["rule"], r["id"]) for r in packing_violations(spark.createDataFrame([r for r in bad if r], good.schema), counts).collect()}
+
+    box = {r["id"]: r["container_id"] for r in rows}
+    assert broken(lambda r: None if r["id"] == 0 else r) >= {("lost", 0)}
+    assert broken(lambda r: {**r, "n_tokens": 4} if r["id"] == 4 else r) >= {("lost", 4)}
+    assert broken(lambda r: {**r, "container_id": None} if r["id"] == 4 else r) >= {("unplaced", 4)}
+    assert broken(lambda r: {**r, "container_id": box[3], "start": 2048} if r["id"] == 4 else r) >= {("overfull", box[3])}
+    assert broken(lambda r: {**r, "start": r["start"] + 1} if r["id"] == 4 else r) >= {("overlap", box[4])}
+    assert broken(lambda r: {**r, "id": 77} if r["id"] == 4 else r) >= {("unknown", 77), ("lost", 4)}
+    assert broken(lambda r: {**r, "step_group": 9} if r["id"] == 4 else r) >= {("torn", box[4])}
+    assert packing_violations(good.unionByName(good.filter("id = 4")), counts).filter("rule = 'split'").count() == 1
+
+
 def test_groups_are_balanced():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 2049, 800)
