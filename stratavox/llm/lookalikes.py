@@ -14,9 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sized_join import sized_join
 from ..session import Stash
 
-# Letters of Cyrillic and Greek that are drawn like a Latin letter (Unicode confusables of these three scripts).
+#: Documents of one text that are listed together, and texts that show the same that meet at once.
+CHUNK_DOCS = 1000
+CHUNK_TEXTS = 500
+
+# Letters of Cyrillic and Greek that are drawn like a Latin letter. The rule: upright letters whose shape in common text fonts is that of one
+# Latin letter of the same kind (capital for capital, small for small), as in the public table of confusable characters, reduced to letters of these three
+# scripts; letters that merely resemble one (ρ and p, ι and i, ѵ and v, α and a) stay what they are.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
     "Т": "T", "У": "Y", "Ү": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ӏ": "I",
@@ -85,10 +92,10 @@ def _ascii_blanks(text: str) -> str:
 
 def shown_form(text: str) -> str:
     """Equal for texts that show the same characters: width, composition, invisible characters, kinds of blank and look-alike
-    letters are levelled; case, accents, superscripts and dashes stay."""
+    letters are levelled; case, accents, superscripts and dashes stay. Every blank counts: carriage return and line feed are two line breaks, not one."""
     if text.isascii():
         return _ascii_blanks(text)
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_tables()[0]).replace("\r\n", "\n"))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_tables()[0]))
 
 
 def consistent_form(text: str) -> str:
@@ -108,56 +115,98 @@ def _per_distinct(series: pd.Series, form) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def consistent_text(texts: pd.Series) -> pd.Series:
-    """Column function: the consistent form; null stays null."""
+def _consistent(texts: pd.Series) -> pd.Series:
     return _per_distinct(texts, consistent_form)
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.BinaryType()) for c in ("coarse", "fine", "exact")]))
-def look_keys(texts: pd.Series) -> pd.DataFrame:
-    """Column function: 128-bit keys of the consistent form, of what is shown, and of the text itself; null for a null text."""
-    import xxhash
+@F.pandas_udf(T.StringType())
+def _shown_texts(texts: pd.Series) -> pd.Series:
+    return _per_distinct(texts, shown_form)
+
+
+def _with_plain(text: str | Column, plain, other) -> Column:
+    """``plain`` of ASCII texts, which stays in the JVM, and ``other`` (a Python function, which gets no ASCII text) of the rest; null stays null."""
+    t = F.col(text) if isinstance(text, str) else text
+    ascii_only = F.length(t) == F.octet_length(t)
+    blanks = F.translate(plain(t), "\t\r\x0b\x0c", " \n\n\n")
+    return F.when(ascii_only, blanks).otherwise(other(F.when(~ascii_only, t)))
+
+
+def consistent_text(text: str | Column) -> Column:
+    """The consistent form of a text column; null stays null."""
+    return _with_plain(text, F.lower, _consistent)
+
+
+def shown_text(text: str | Column) -> Column:
+    """What the texts of a column show; null stays null."""
+    return _with_plain(text, lambda t: t, _shown_texts)
+
+
+def _key(text: Column) -> Column:
+    """A 128-bit key of a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
 
-    def keys(text: str) -> tuple[bytes, bytes, bytes]:
-        def digest(x: str) -> bytes:
-            return xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
+def _class_keys(docs: DataFrame, id_col: str, text: str | Column) -> DataFrame:
+    """id, coarse (key of the consistent form), exact (key of the text), written once; both null for a null text. The texts themselves go no further."""
+    t = F.col(text) if isinstance(text, str) else text
+    return Stash(docs.select(F.col(id_col).cast("long").alias("id"), _key(consistent_text(t)).alias("coarse"), _key(t).alias("exact")), "looks").df
 
-        return digest(consistent_form(text)), digest(shown_form(text)), digest(text)
 
-    codes, values = pd.factorize(texts)
-    made = [keys(v) for v in values]
-    none = (None, None, None)
-    return pd.DataFrame([made[c] if c >= 0 else none for c in codes], columns=["coarse", "fine", "exact"])
+def _classes(texts: DataFrame) -> DataFrame:
+    """coarse, class_id (smallest id), n_docs, n_texts of the classes of different texts coarse, exact, first, n."""
+    return texts.groupBy("coarse").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_texts"))
 
 
 def look_classes(docs: DataFrame, id_col: str, text: str | Column) -> DataFrame:
     """Every document with its class of equal consistent form: id, class_id (smallest id), n_docs, n_texts (different texts, within the class).
 
-    Documents with a null text are classes of their own, with a null class_id if their id is null too; empty texts are equal to each other. One pass over the texts; only keys
-    and ids are shuffled, with map-side aggregation, so a text that a third of all documents share costs one row per task.
+    Documents with a null text are classes of their own, with a null class_id if their id is null too; empty texts are equal to each other. One pass over
+    the texts; only keys and ids are shuffled. Classes are made with map-side aggregation, so a text that a third of all documents share costs one row per task;
+    documents meet them again by ``sized_join``, which spreads the rows of a large class. A class of one document needs no join.
     """
-    keyed = Stash(docs.select(F.col(id_col).cast("long").alias("id"), look_keys(text).alias("k")).select("id", "k.coarse", "k.exact"), "looks").df
-    own = F.coalesce("coarse", F.col("id").cast("string").cast("binary"))
-    texts = keyed.groupBy(own.alias("coarse"), "exact").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    classes = texts.groupBy("coarse").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_texts"))
-    # a row with neither text nor id has no key and meets no class
-    one = [F.coalesce(c, F.lit(1).cast("long")).alias(c) for c in ("n_docs", "n_texts")]
-    return keyed.withColumn("coarse", own).join(classes, "coarse", "left").select("id", "class_id", *one)
+    keyed = _class_keys(docs, id_col, text)
+    texts = keyed.filter("coarse is not null").groupBy("coarse", "exact").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    shared = Stash(_classes(texts).filter("n_docs > 1"), "classes", {"n": F.count("*")})
+    one = F.expr("1L")
+    joined = sized_join(keyed, shared.df, ["coarse"], "left", row_bytes=64, rows=shared.seen["n"])
+    return joined.select("id", F.when(F.col("n_docs").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_docs", one).alias("n_docs"), F.coalesce("n_texts", one).alias("n_texts"))
 
 
-def look_alike_pairs(docs: DataFrame, id_col: str, text: str | Column) -> DataFrame:
+def look_alike_pairs(docs: DataFrame, id_col: str, text: str | Column, chunk_docs: int = CHUNK_DOCS, chunk_texts: int = CHUNK_TEXTS) -> DataFrame:
     """Pairs (id_a < id_b) of documents whose texts are different strings but show the same characters.
 
-    Documents of one consistent form are candidates; the exact check compares what is shown, which tells case, accents, superscripts and
-    dashes apart. Copies of one string do not pair with each other. Null texts pair with nothing.
+    Documents of a class of one consistent form with several texts (as in ``look_classes``) are candidates; only their texts are read again, for the exact
+    check of what is shown, which tells case, accents, superscripts and dashes apart. Copies of one string do not pair with each other. Null texts
+    and null ids pair with nothing.
 
-    Only keys and ids are shuffled. Texts are first reduced to distinct ones by map-side aggregation and paired as texts, those of one class with
-    each other; documents are then joined to the pairs of texts. So copies of one text never meet, however many there are, and every joined row is a result.
+    Only keys and ids are shuffled. Texts are reduced to distinct ones by map-side aggregation and paired as texts, then expanded to their documents, so
+    copies of one text never meet, however many there are. Nothing is joined in one piece that can grow: the texts that show the same are dealt to
+    blocks of about ``chunk_texts``, which meet block by block, and the documents of a text to lists of about ``chunk_docs``, which meet list by list.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), look_keys(text).alias("k")).select("id", "k.coarse", "k.fine", "k.exact").filter("exact is not null")
-    written = Stash(keyed, "looks").df
-    texts = written.groupBy("coarse", "fine", "exact").agg(F.lit(1).alias("one")).drop("one")
-    pairs = texts.join(texts.withColumnRenamed("exact", "exact_b"), ["coarse", "fine"]).filter(F.col("exact") < F.col("exact_b")).select("exact", "exact_b")
-    first = written.select("id", "exact").join(pairs, "exact").select("id", "exact_b")
-    both = first.join(written.select(F.col("id").alias("other"), F.col("exact").alias("exact_b")), "exact_b").filter(F.col("id") != F.col("other"))
-    return both.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+    keyed = _class_keys(docs, id_col, text)
+    several = Stash(keyed.filter("coarse is not null").groupBy("coarse", "exact").agg(F.expr("1L").alias("n"), F.min("id").alias("first")).transform(_classes).filter("n_texts > 1").select("coarse"), "several", {"n": F.count("*")})
+    candidates = sized_join(keyed.filter("id is not null"), several.df, ["coarse"], row_bytes=48, rows=several.seen["n"]).select("id", "exact").distinct()
+    wanted = Stash(candidates, "candidates", {"n": F.count("*")})
+    ids = wanted.df.select(F.col("id").alias("__id")).distinct()
+    again = sized_join(docs.select(F.col(id_col).cast("long").alias("__id"), (F.col(text) if isinstance(text, str) else text).alias("__text")).filter("__text is not null"), ids, ["__id"], row_bytes=16, rows=wanted.seen["n"])
+    checked = Stash(again.select(F.col("__id").alias("id"), _key(F.col("__text")).alias("exact"), _key(shown_text("__text")).alias("fine")).distinct(), "shown").df
+
+    copies = checked.groupBy("fine", "exact").agg(F.count("*").alias("n"))
+    sizes = copies.groupBy("fine").agg(F.count("*").alias("texts")).filter("texts > 1").withColumn("blocks", F.ceil(F.col("texts") / chunk_texts).cast("int"))
+    lists = F.ceil(F.col("n") / chunk_docs).cast("int")
+    texts = Stash(sized_join(copies, sizes, ["fine"], row_bytes=48).select("fine", "exact", lists.alias("lists"), "blocks", F.pmod(F.xxhash64("exact"), F.col("blocks")).cast("int").alias("block")), "texts", {"n": F.count("*")})
+    # block i meets every block j >= i once: on the left it is sent to all j, on the right to all i
+    left = texts.df.select("fine", "exact", "lists", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = texts.df.select("fine", F.col("exact").alias("exact_b"), F.col("lists").alias("lists_b"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    pairs = left.join(right, ["fine", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("exact") < F.col("exact_b")))
+    spread = pairs.withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).withColumn("list_b", F.explode(F.sequence(F.lit(0), F.col("lists_b") - 1)))
+
+    held = sized_join(checked, texts.df.select("exact", "lists"), ["exact"], row_bytes=32, rows=texts.seen["n"])
+    dealt = held.groupBy("exact", F.pmod(F.xxhash64("id"), F.col("lists")).cast("int").alias("list")).agg(F.collect_list("id").alias("ids"))
+    stored = Stash(dealt, "lists", {"n": F.count("*"), "longest": F.max(F.size("ids"))})
+    size = {"row_bytes": 8 * (stored.seen["longest"] or 0) + 32, "rows": stored.seen["n"]}
+    first = sized_join(spread.select("exact", "list", "exact_b", "list_b"), stored.df, ["exact", "list"], **size)
+    other = stored.df.select(F.col("exact").alias("exact_b"), F.col("list").alias("list_b"), F.col("ids").alias("ids_b"))
+    both = sized_join(first, other, ["exact_b", "list_b"], **size).select(F.explode("ids").alias("id"), "ids_b").select("id", F.explode("ids_b").alias("other"))
+    return both.filter(F.col("id") != F.col("other")).select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..session import Stash
 from ..sources.tables import table
 from .cutoffs import keep_fraction
 from .leaks import leaked_passages
-from .lookalikes import CYRILLIC, GREEK, consistent_text, look_alike_pairs, look_classes
+from .lookalikes import ANY_CASE, CYRILLIC, GREEK, consistent_text, look_alike_pairs, look_classes
 from .packing import container_report, pack_documents, packing_violations, token_counts
 from .quantiles import daily, merge_sketches, percentiles, sketches
 
@@ -150,6 +151,11 @@ _IGNORED = r"[\x{AD}\x{34F}\x{61C}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{
 _LEVELLED = f"regexp_replace(regexp_replace(@, '{_IGNORED}', '', 'g'), '" + r"[\t\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]" + "', ' ', 'g')"
 for _old, _new in [*zip(*_WIDE), *zip(*_ALIKE)]:
     _LEVELLED = f"replace({_LEVELLED}, '{_old}', {_quoted(_new)})"
+#: The comparison form: levelled, without case, in plain letters for look-alikes of either case and for compatibility characters of the first block.
+_COMPARED = "replace(replace(lower(" + _LEVELLED + "), 'ß', 'ss'), 'ς', 'σ')"
+for _old, _new in {**{k: v for k, v in ANY_CASE.items() if k == k.lower()}, **{chr(c): unicodedata.normalize("NFKD", chr(c)).lower() for c in range(0xA1, 0x100) if unicodedata.decomposition(chr(c)).startswith("<")}}.items():
+    _COMPARED = f"replace({_COMPARED}, '{_old}', {_quoted(_new.lower())})"
+_COMPARED = f"translate({_COMPARED}, chr(9) || chr(11) || chr(12) || chr(13), ' ' || chr(10) || chr(10) || chr(10))"
 _WORDS = "regexp_extract_all(lower(strip_accents(" + _LEVELLED + ")), '[\\p{L}\\p{N}]+')"
 
 SQL = {
@@ -160,6 +166,10 @@ SQL = {
       SELECT DISTINCT item_id, doc_id FROM place JOIN passage USING (p)""",
     "p9_found": f"""WITH k AS (SELECT doc_id, text, nfc_normalize({_LEVELLED.replace("@", "text")}) AS shown FROM documents)
       SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.shown = b.shown AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p9_texts": f"""SELECT doc_id, nfc_normalize({_COMPARED.replace("@", "text")}) AS text FROM documents""",
+    "p9_classes": f"""WITH k AS (SELECT doc_id, text, coalesce(nfc_normalize({_COMPARED.replace("@", "text")}), 'null ' || doc_id) AS c FROM documents),
+      d AS (SELECT c, min(doc_id) AS class_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM k GROUP BY c)
+      SELECT k.doc_id, d.class_id, d.n_docs, greatest(d.n_texts, 1) AS n_texts FROM k JOIN d USING (c)""",
     "p1_found": f"{_RANKED} SELECT s.measure, s.cell_ord FROM signed s JOIN cut c USING (image_name, measure) WHERE s.v <= c.v",
     "p1_cutoffs": f"""{_RANKED}, kept AS (SELECT image_name, measure, count(*) AS n_kept FROM signed s JOIN cut c USING (image_name, measure) WHERE s.v <= c.v GROUP BY ALL),
       sized AS (SELECT image_name, measure, count(*) AS n FROM signed GROUP BY ALL)

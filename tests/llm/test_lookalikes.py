@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from stratavox.llm.lookalikes import CYRILLIC, GREEK, consistent_form, consistent_text, look_alike_pairs, look_classes, shown_form
+from stratavox.llm.lookalikes import CYRILLIC, GREEK, consistent_form, consistent_text, look_alike_pairs, look_classes, shown_form, shown_text
 
 DOCS = "doc_id long, text string, id string, coarse string"
 BASE = "The café opens: scope = x² — ok"
@@ -66,6 +66,27 @@ def test_pairs_and_classes(spark):
     assert [r[0] for r in df.filter("doc_id = 0 or text is null").orderBy("doc_id").select(consistent_text("text")).collect()][1:] == [None, None]
 
 
+def test_many_variants_and_many_copies_meet_in_chunks(spark):
+    variants = ["scope " + "".join("о" if b == "1" else "o" for b in f"{k:06b}") for k in range(40)]
+    texts = variants + [variants[0]] * 70 + [variants[1]] * 30 + ["lone"] * 50
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], DOCS).repartition(3)
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and a != b and shown_form(a) == shown_form(b)}
+    got = [tuple(r) for r in look_alike_pairs(df, "doc_id", "text", chunk_docs=8, chunk_texts=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_column_functions_agree_with_the_forms(spark):
+    texts = [*SAME, *OTHER, "A\tB\r\nC\x0bD\x0c", "É\r\n", None, "ß", "\u212a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select("t", consistent_text("t").alias("c"), shown_text("t").alias("s")).collect()
+    for r in rows:
+        assert (r["c"], r["s"]) == ((None, None) if r["t"] is None else (consistent_form(r["t"]), shown_form(r["t"])))
+
+
+def test_every_blank_counts():
+    assert shown_form("a\r\nb") == shown_form("a\u200b\r\nb") == "a\n\nb" != shown_form("a\nb")
+    assert consistent_form("a\r\nb") != consistent_form("a\nb") and shown_form("a\rb") == shown_form("a\u2028b")
+
+
 def test_rows_without_id_or_text_are_kept(spark):
     rows = [(1, "a"), (2, "A"), (3, None), (None, None), (None, None), (None, "a"), (None, "b")]
     df = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS).repartition(3)
