@@ -16,7 +16,7 @@ from .cutoffs import keep_fraction
 from .leaks import leaked_passages
 from .lookalikes import ANY_CASE, CYRILLIC, GREEK, consistent_text, look_alike_pairs, look_classes
 from .packing import container_report, pack_documents, packing_violations, token_counts
-from .quantiles import daily, merge_sketches, percentiles, sketches
+from .quantiles import daily, merge_sketches, percentiles, rank_check, sketches
 
 #: Where the public vocabulary lies; the file is a parameter of the operator.
 VOCABULARY = os.environ.get("STRATAVOX_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -66,6 +66,15 @@ def p5_daily(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles(sketches(daily(_measured(spark, folder), "detected_at"), keys, MEASURES, DOMAIN), keys, [50, 95, 99])
 
 
+def p5_within_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """Each percentile per image and channel, from the combined sketches of its days, against exact ranks."""
+    keys, percents = ["image_name", "channel"], [1, 50, 95, 99]
+    cells = Stash(_measured(spark, folder), "current").df
+    days = sketches(daily(cells, "detected_at"), [*keys, "day"], MEASURES, DOMAIN)
+    found = percentiles(merge_sketches(days, keys), keys, percents, bounds=True)
+    return rank_check(cells, found, keys, percents, DOMAIN)
+
+
 def p5_days_combined(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles per channel from the sketches of images and days alone."""
     days = sketches(daily(_measured(spark, folder), "detected_at"), ["image_name", "channel", "day"], MEASURES, DOMAIN)
@@ -119,7 +128,7 @@ def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_cutoffs, p5_found, p5_percentiles, p5_daily, p5_days_combined, p7_containers, p7_report, p7_violations, p8_found, p8_leaks, p9_found, p9_classes, p9_texts)
+    for f in (p1_found, p1_cutoffs, p5_found, p5_percentiles, p5_daily, p5_days_combined, p5_within_bound, p7_containers, p7_report, p7_violations, p8_found, p8_leaks, p9_found, p9_classes, p9_texts)
 }
 
 #: DuckDB may answer isnan() from Parquet statistics, which leave NaN out; the SQL compares the text instead.
@@ -175,6 +184,8 @@ SQL = {
       sized AS (SELECT image_name, measure, count(*) AS n FROM signed GROUP BY ALL)
       SELECT t.image_name, t.measure, t.keep_side, t.keep_permille, coalesce(s.n, 0) AS n, coalesce(c.k, 0) AS k, CASE WHEN t.keep_side = 'high' THEN -c.v ELSE c.v END AS cutoff,
         coalesce(q.n_kept, 0) AS n_kept FROM keep_targets t LEFT JOIN sized s USING (image_name, measure) LEFT JOIN cut c USING (image_name, measure) LEFT JOIN kept q USING (image_name, measure)""",
+    "p5_within_bound": f"""WITH {_CURRENT}, sized AS ({" UNION ALL ".join(f"SELECT image_name, channel, '{m}' AS measure, count(*) AS n_values FROM current_cells WHERE CAST({m} AS VARCHAR) <> 'nan' {_RANGE.format(m) if m in DOMAIN else ''} GROUP BY image_name, channel" for m in MEASURES)})
+      SELECT image_name, channel, measure, n_values, unnest([1.0, 50.0, 95.0, 99.0])::DOUBLE AS percent, true AS within FROM sized""",
     "p5_found": f"WITH {_CURRENT} "
     + " UNION ALL ".join(
         [_SHARE.format("center_intensity", "", 0.5, 1000), _SHARE.format("r_xy", _RANGE.format("r_xy"), 0.95, 9), _SHARE.format("r_z", _RANGE.format("r_z"), 0.95, 14)]
