@@ -1,13 +1,15 @@
 """Cutoffs that keep a target share of each source's records (problem 1).
 
 Method, cutting-plane order statistic: the k-th smallest value of a source is the only minimum of a convex pinball loss. Each pass
-aggregates losses and subgradients at trial cuts over all records; the tangents at both ends of the bracket meet at the next cut;
-every cut is snapped to the neighbouring record values, so the bracket closes on the exact value.
+aggregates counts and sums of the records between trial cuts, which give losses and subgradients at all of them; the tangents at both ends of
+the bracket meet at the next cut, and more cuts lie around it and along the bracket. The bracket goes where the subgradient changes sign, and
+its ends are snapped to the neighbouring record values, so it closes on the exact value.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.sized_join import sized_join
@@ -15,6 +17,9 @@ from ..session import Stash
 
 #: Records are written anew once the brackets hold at most this share of what the last writing holds.
 CONTRACT = 0.25
+#: Trial cuts of a pass: this many parts along the bracket, and on either side of where the tangents meet.
+SPREAD = 16
+NEAR = 6
 
 
 def target_rank(n: Column, permille: Column) -> Column:
@@ -22,44 +27,50 @@ def target_rank(n: Column, permille: Column) -> Column:
     return F.least(F.greatest(F.expr("0L"), F.floor((permille.cast("long") * n + 999) / 1000).cast("long")), n)
 
 
-def _trial_cuts(state: DataFrame) -> DataFrame:
-    """Three cuts in [lo, hi): where the tangents meet, and half-way to either end."""
+def _trial(state: DataFrame) -> DataFrame:
+    """Of open brackets: sid, lo, hi, t (where the tangents meet) and w (half-way in magnitude, so that far outliers cost few passes)."""
     lo, hi = F.col("lo"), F.col("hi")
     meet = (F.col("f_hi") - F.col("f_lo") + F.col("g_lo") * lo - F.col("g_hi") * hi) / (F.col("g_lo") - F.col("g_hi"))
-    middle = lo + (hi - lo) / 2
-    middle = F.when((middle >= lo) & (middle < hi), middle).otherwise(lo)
-    t = F.when((meet >= lo) & (meet < hi), meet).otherwise(middle)
-    return (
-        state.withColumn("t2", t)
-        .withColumn("t1", F.col("lo") + (F.col("t2") - F.col("lo")) / 2)
-        .withColumn("t3", F.col("t2") + (F.col("hi") - F.col("t2")) / 2)
-        .withColumn("t3", F.when(F.col("t3") < F.col("hi"), F.col("t3")).otherwise(F.col("t2")))
-    )
+    between = lambda c, other: F.when((c >= lo) & (c < hi), c).otherwise(other)
+    size = F.sqrt(F.abs(lo)) * F.sqrt(F.abs(hi))
+    w = F.when((lo < 0) & (hi > 0), F.lit(0.0)).when(lo >= 0, size).otherwise(-size)
+    return state.select("sid", "lo", "hi", between(meet, between(lo / 2 + hi / 2, lo)).alias("t"), between(w, lo).alias("w"))
+
+
+def _piece() -> Column:
+    """How many of the trial cuts lie below v: rising in v, whatever the cuts. The first cut is the lower end, so its value is a piece of its own."""
+    v, lo, hi, t = (F.col(c) for c in ("v", "lo", "hi", "t"))
+    cuts = [lo, t, F.col("w"), *(lo * (1 - k / SPREAD) + hi * (k / SPREAD) for k in range(1, SPREAD))]
+    for j in range(1, NEAR + 1):
+        cuts += [t * (1 - 0.25**j) + hi * 0.25**j, t * (1 - 0.25**j) + lo * 0.25**j]
+    total = F.lit(0)
+    for cut in cuts:
+        total = total + (v > cut).cast("int")
+    return total
 
 
-def _narrow(state: DataFrame) -> DataFrame:
-    """Applies the aggregates at t1, t2, t3 to the bracket. The smallest cut with at least k records at or below it bounds from above, the
-    largest with fewer bounds from below; the loss is linear between neighbouring records, so its values at the snapped ends are exact."""
+def _narrow(state: DataFrame, inside: DataFrame) -> DataFrame:
+    """The brackets of ``state`` after one pass over the records ``inside`` (with sid, v, lo, hi, t, w).
+
+    The subgradient of the loss at a cut with m records at or below it is n (m - k + 1/2); it changes sign in the first piece that brings m to k,
+    whose least and greatest values are the new ends. Losses there follow from the sums below.
+    """
+    pieces = inside.groupBy("sid", _piece().alias("piece")).agg(F.count("*").alias("c"), F.sum("v").alias("s"), F.min("v").alias("least"), F.max("v").alias("most"))
     n, k = F.col("n"), F.col("k")
-    a, b = k - F.lit(0.5), n - k + F.lit(0.5)
-
-    def at(i: int) -> dict[str, Column]:
-        t, m, s = F.col(f"t{i}"), F.col(f"m{i}") + F.col("n_below"), F.col(f"s{i}") + F.col("s_below")
-        loss = a * ((F.col("total") - s) - t * (n - m)) + b * (t * m - s)
-        slope = n * (m - k + F.lit(0.5))
-        return {"t": t, "m": m, "s": s, "loss": loss, "slope": slope, "pred": F.col(f"p{i}"), "succ": F.col(f"u{i}")}
-
-    cuts = [at(1), at(2), at(3)]
-    columns = {c: F.col(c) for c in ("lo", "f_lo", "g_lo", "n_below", "s_below", "hi", "f_hi", "g_hi", "n_upto")}
-    for cut in cuts:  # rising: the last cut below k wins
-        under = cut["m"] < k
-        for name, value in (("lo", cut["succ"]), ("f_lo", cut["loss"] + cut["slope"] * (cut["succ"] - cut["t"])), ("g_lo", cut["slope"]), ("n_below", cut["m"]), ("s_below", cut["s"])):
-            columns[name] = F.when(under, value).otherwise(columns[name])
-    for cut in reversed(cuts):  # falling: the smallest cut with k or more wins
-        over = cut["m"] >= k
-        for name, value in (("hi", cut["pred"]), ("f_hi", cut["loss"] + cut["slope"] * (cut["pred"] - cut["t"])), ("g_hi", cut["slope"]), ("n_upto", cut["m"])):
-            columns[name] = F.when(over, value).otherwise(columns[name])
-    return state.select("sid", "n", "k", "total", *[value.alias(name) for name, value in columns.items()])
+    upto = W.partitionBy("sid").orderBy("piece")
+    m, total = F.col("n_below") + F.sum("c").over(upto), F.col("s_below") + F.sum("s").over(upto)
+    joined = state.select("sid", "n", "k", "total", "n_below", "s_below").join(pieces, "sid").withColumn("m", m).withColumn("upto", total)
+    turn = joined.filter((n * (F.col("m") - k + F.lit(0.5)) > 0) & (n * (F.col("m") - F.col("c") - k + F.lit(0.5)) < 0))
+    below, s_below = F.col("m") - F.col("c"), F.col("upto") - F.col("s")
+
+    def loss(x: Column, count: Column, summed: Column) -> Column:
+        return (k - F.lit(0.5)) * ((F.col("total") - summed) - x * (n - count)) + (n - k + F.lit(0.5)) * (x * count - summed)
+
+    lo, hi = F.col("least"), F.col("most")
+    return turn.select(
+        "sid", "n", "k", "total", lo.alias("lo"), loss(lo, below, s_below).alias("f_lo"), (n * (below - k + F.lit(0.5))).alias("g_lo"), below.alias("n_below"), s_below.alias("s_below"),
+        hi.alias("hi"), loss(hi, F.col("m"), F.col("upto")).alias("f_hi"), (n * (F.col("m") - k + F.lit(0.5))).alias("g_hi"), F.col("m").alias("n_upto"),
+    )
 
 
 def order_statistics(records: DataFrame, ranks: DataFrame | None = None, permille: DataFrame | None = None) -> DataFrame:
@@ -68,11 +79,11 @@ def order_statistics(records: DataFrame, ranks: DataFrame | None = None, permill
     records: sid long, v double (no null or NaN; infinite values are the lowest and highest records). Give either ``ranks`` (sid, k) or ``permille`` (sid, permille; k = ceil(permille * n / 1000)).
     Sources without records or with k = 0 are left out.
 
-    Passes go on until every bracket has closed; each pass at least drops the value at one end, and in practice all but a small part.
-    A pass is one scan with map-side aggregation per source, so a source may hold any share of the records; the brackets are broadcast when
-    their number is small, else joined with salts. Per-source states stay
-    tables; only their number and the size of the brackets come to the driver. Once brackets are small, what lies in them is written
-    anew and only that is scanned.
+    Passes go on until every bracket has closed; each pass at least drops the value at one end and all but a sixteenth of the bracket's width, in
+    practice all but a small part of the records. A pass is one scan with map-side aggregation per source and piece, so a source may hold any
+    share of the records; the brackets are broadcast when their number is small, else joined by a shuffle in which large sources are spread.
+    Per-source states stay tables; only their number and the size of the brackets come to the driver, taken while a state is written. Once
+    brackets are small, what lies in them is written anew and only that is scanned.
     """
     v = F.col("v")
     finite = F.when(F.abs(v) < float("inf"), v)
@@ -90,37 +101,26 @@ def order_statistics(records: DataFrame, ranks: DataFrame | None = None, permill
         "sid", "n", "k", "total", "lo", ((k - F.lit(0.5)) * (F.col("total") - n * F.col("lo"))).alias("f_lo"), (n * (F.lit(0.5) - k)).alias("g_lo"), F.expr("0L").alias("n_below"), F.lit(0.0).alias("s_below"),
         "hi", ((n - k + F.lit(0.5)) * (n * F.col("hi") - F.col("total"))).alias("f_hi"), (n * (n - k + F.lit(0.5))).alias("g_hi"), n.alias("n_upto"),
     )
-    state = Stash(first, "brackets")
-    done: list[DataFrame] = []
-    stored, held = records, None
-    rows_stored: int | None = None
-    while True:
-        closed = state.df.filter(F.col("lo") == F.col("hi")).select("sid", "n", "k", F.col("lo").alias("cutoff"), F.col("n_upto").alias("n_kept"))
-        done.append(closed)
-        going = state.df.filter(F.col("lo") < F.col("hi"))
-        left = going.agg(F.count("*").alias("sources"), F.sum(F.col("n_upto") - F.col("n_below")).alias("rows")).first()
-        if not left["sources"]:
-            break
-        trial = _trial_cuts(going)
-        brackets = trial.select("sid", "lo", "hi", "t1", "t2", "t3")
-        inside = sized_join(stored, brackets, ["sid"], rows=left["sources"]).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        if rows_stored is None or left["rows"] <= CONTRACT * rows_stored:
-            if rows_stored is not None:
-                fresh = Stash(inside.select("sid", "v"), "inside")
-                if held:
-                    held.drop()
-                held, stored = fresh, fresh.df
-                inside = sized_join(stored, brackets, ["sid"], rows=left["sources"])
-            rows_stored = left["rows"]
-        sums = []
-        for i in (1, 2, 3):
-            low = F.col("v") <= F.col(f"t{i}")
-            sums += [F.count_if(low).alias(f"m{i}"), F.sum(F.when(low, F.col("v")).otherwise(0.0)).alias(f"s{i}"), F.max(F.when(low, F.col("v"))).alias(f"p{i}"), F.min(F.when(~low, F.col("v"))).alias(f"u{i}")]
-        narrowed = _narrow(trial.join(inside.groupBy("sid").agg(*sums), "sid"))
-        state = Stash(narrowed, "brackets")
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
+    is_open = F.col("lo") < F.col("hi")
+    sizes = {"sources": F.count_if(is_open), "rows": F.sum(F.when(is_open, F.col("n_upto") - F.col("n_below")).otherwise(0)), "all": F.sum("n")}
+    state = Stash(first, "brackets", sizes)
+    stored, held, rows_stored = records.select("sid", "v").filter(finite.isNotNull()), None, state.seen["all"]
+    while state.seen["sources"]:
+        going = state.df.filter(is_open)
+        brackets = _trial(going)
+        inside = sized_join(stored, brackets, ["sid"], row_bytes=40, rows=state.seen["sources"]).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        if state.seen["rows"] <= CONTRACT * rows_stored:
+            fresh = Stash(inside.select("sid", "v"), "inside")
+            if held:
+                held.drop()
+            held, stored, rows_stored = fresh, fresh.df, state.seen["rows"]
+            inside = sized_join(stored, brackets, ["sid"], row_bytes=40, rows=state.seen["sources"])
+        after = Stash(_narrow(going, inside).unionByName(state.df.filter(~is_open)), "brackets", sizes)
+        state.drop()
+        state = after
+    if held:
+        held.drop()
+    found = state.df.select("sid", "n", "k", F.col("lo").alias("cutoff"), F.col("n_upto").alias("n_kept"))
     back = found.join(wanted.select("sid", "n_all", "n_lowest"), "sid").select("sid", F.col("n_all").alias("n"), (F.col("k") + F.col("n_lowest")).alias("k"), "cutoff", (F.col("n_kept") + F.col("n_lowest")).alias("n_kept"))
     return back.unionByName(lowest).unionByName(highest)
 
