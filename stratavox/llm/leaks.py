@@ -7,26 +7,30 @@ diagonals; what meets the bound is verified by banded alignment.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Stash
 from .lookalikes import CYRILLIC, GREEK, IGNORABLE, _PerCharacter
 
 WORDS = 13
 Q = 12
 #: Edits allowed per character of a passage.
 EDIT_SHARE = 0.03
-#: Characters of evaluation items that are indexed and broadcast at once; more are worked off in blocks, each against all documents.
+#: Characters of evaluation items that are indexed and broadcast at once; more are worked off in blocks, one after another, each against the words of all documents.
 BLOCK_CHARS = 3_000_000
-#: Characters of documents that are searched at once inside a task.
+#: Characters of documents that are searched at once inside a task; longer documents are searched in overlapping slices.
 SLICE_CHARS = 2_000_000
+#: Shared q-grams that are held at once; where there are more, documents are searched in fewer or shorter slices.
+POSTINGS = 16_000_000
 
 _BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 _BYTES = bytes(ord(chr(b).lower()) if b < 128 else b for b in _BYTES)
@@ -155,11 +159,62 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts - starts, counts)
 
 
-def search(texts: list[bytes], index: ItemIndex) -> pd.DataFrame:
+def _slices(text: bytes, size: int, overlap: int) -> Iterator[bytes]:
+    """``text`` in slices that overlap, so that any part of up to ``overlap`` characters lies whole in one of them. A slice that begins or ends within a
+    word has a mark there, which keeps the rest of the word from being read as a word."""
+    if len(text) <= size + overlap:
+        yield text
+        return
+    whole = lambda k: k <= 0 or k >= len(text) or text[k - 1] == 32 or text[k] == 32
+    for begin in range(0, len(text) - overlap, size):
+        end = min(begin + size + overlap, len(text))
+        yield (b"" if whole(begin) else b"\1") + text[begin:end] + (b"" if whole(end) else b"\1")
+
+
+def search(texts: list[bytes], index: ItemIndex, slice_chars: int = SLICE_CHARS) -> pd.DataFrame:
     """doc (position in ``texts``), item_id, n_passages, least_edits, n_exact for documents that hold passages of items."""
     names = ["doc", "item_id", "n_passages", "least_edits", "n_exact"]
-    none = pd.DataFrame({n: np.zeros(0, dtype=np.int64) for n in names})
     if not len(index.ids) or not texts:
+        return pd.DataFrame({n: np.zeros(0, dtype=np.int64) for n in names})
+    overlap = int((index.end - index.begin).max()) + 2 * int(index.edits.max()) + 1
+    found, docs, held, chars = [], [], [], 0
+    for doc, text in enumerate(texts):
+        for piece in _slices(text, slice_chars, overlap):
+            docs.append(doc)
+            held.append(piece)
+            chars += len(piece)
+            if chars >= slice_chars:
+                found.append(_in_parts(held, np.array(docs), index, overlap))
+                docs, held, chars = [], [], 0
+    found.append(_in_parts(held, np.array(docs, dtype=np.int64), index, overlap))
+    # what two slices of a document share counts once
+    rows = pd.concat(found).groupby(["doc", "passage"], as_index=False).agg(edits=("edits", "min"), exact=("exact", "max"))
+    rows = rows.assign(item=index.item[rows["passage"].to_numpy(dtype=np.int64)]).groupby(["doc", "item"], as_index=False).agg(n_passages=("passage", "size"), least_edits=("edits", "min"), n_exact=("exact", "sum"))
+    return rows.assign(item_id=index.ids[rows["item"].to_numpy(dtype=np.int64)])[names]
+
+
+_NOTHING = pd.DataFrame({n: np.zeros(0, dtype=np.int64) for n in ("doc", "passage", "edits", "exact")})
+
+
+def _in_parts(texts: list[bytes], docs: np.ndarray, index: ItemIndex, overlap: int) -> pd.DataFrame:
+    """doc, passage, edits, exact of all ``texts``, which are parts of ``docs``; searched in parts where they share many q-grams with the items."""
+    found = _passages(texts, index)
+    if found is not None:
+        return found.assign(doc=docs[found["doc"].to_numpy(dtype=np.int64)])
+    if len(texts) > 1:
+        half = len(texts) // 2
+        parts = [(texts[:half], docs[:half]), (texts[half:], docs[half:])]
+    elif len(texts[0]) > 4 * (overlap + 2):
+        parts = [([piece], docs) for piece in _slices(texts[0], len(texts[0]) // 2, overlap)]
+    else:  # shorter slices would share about as much
+        return _passages(texts, index, None).assign(doc=docs[0])
+    return pd.concat([_in_parts(t, d, index, overlap) for t, d in parts])
+
+
+def _passages(texts: list[bytes], index: ItemIndex, postings: int | None = POSTINGS) -> pd.DataFrame | None:
+    """doc (position in ``texts``), passage, edits, exact (whether it stands there word for word); None where more than ``postings`` q-grams are shared."""
+    none = _NOTHING
+    if not texts:
         return none
     gap = b"\0" * Q
     data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
@@ -171,6 +226,8 @@ def search(texts: list[bytes], index: ItemIndex) -> pd.DataFrame:
     met = index.grams[gram] == h
     pos, gram = pos[met], gram[met]
     counts = index.starts[gram + 1] - index.starts[gram]
+    if postings is not None and counts.sum() > postings:
+        return None
     posting = _expand(index.starts[gram], counts)
     at = np.repeat(pos, counts)
     item, item_at = index.gram_item[posting], index.gram_at[posting]
@@ -228,8 +285,7 @@ def search(texts: list[bytes], index: ItemIndex) -> pd.DataFrame:
         x = int(rows["passage"].iat[k])
         text = index.texts[index.item[x]][index.begin[x] : index.end[x]]
         exact[k] = b" " + text + b" " in b" " + texts[int(rows["pair"].iat[k]) // len(index.ids)] + b" "
-    rows = rows.assign(exact=exact).groupby("pair", as_index=False).agg(n_passages=("passage", "size"), least_edits=("edits", "min"), n_exact=("exact", "sum"))
-    return rows.assign(doc=rows["pair"] // len(index.ids), item_id=index.ids[rows["pair"] % len(index.ids)])[names]
+    return pd.DataFrame({"doc": rows["pair"] // len(index.ids), "passage": rows["passage"], "edits": rows["edits"], "exact": exact})
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, words: int = WORDS, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -240,41 +296,54 @@ def leaked_passages(docs: DataFrame, items: DataFrame, words: int = WORDS, edit_
     Items with fewer words, and null texts, take part in nothing. Repeated items or documents give a row each. A null item_id or doc_id
     stays null in the result: what such an item or document shares is reported as that of any other.
 
-    Documents are scanned once per block of items and not shuffled; the items are a test set, and a block of them, of bounded size, is broadcast.
+    Documents are not shuffled. Items are indexed in tasks, in blocks of bounded size. One block is broadcast and the documents are scanned once. If
+    there are more, the documents' words are written once, and the blocks are broadcast one after another, each dropped when its results are written.
     """
     spark = docs.sparkSession
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    texts = items.filter("text is not null").select(_as_text("item_id"), "text")
+    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_chars))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "data": [pickle.dumps(index_items(pdf, words, edit_share))]})
+
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    indexed = Stash(dealt.groupBy("block").applyInPandas(build, "block int, data binary"), "items")
+    read = docs.filter("text is not null").select(_as_text("doc_id"), "text")
+    if blocks > 1:
+        read = Stash(read.mapInPandas(_words, "doc_id string, text binary"), "words").df
     shape = "item_id long, doc_id long, n_passages int, least_edits int, n_exact int"
-    result = None
+    parts = []
     for block in range(blocks):
-        own = items.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)).select(_as_text("item_id"), "text").toPandas()
-        held = spark.sparkContext.broadcast(index_items(own, words, edit_share))
-
-        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = held.value
-            for pdf in batches:
-                ids, texts, chars = [], [], 0
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                    if isinstance(text, str):
-                        ids.append(doc_id)
-                        texts.append(word_text(text))
-                        chars += len(texts[-1])
-                    if chars >= SLICE_CHARS:
-                        yield _named(search(texts, index), ids)
-                        ids, texts, chars = [], [], 0
-                yield _named(search(texts, index), ids)
-
-        part = docs.select(_as_text("doc_id"), "text").mapInPandas(scan, shape)
-        result = part if result is None else result.unionAll(part)
-    return result
+        data = indexed.df.filter(F.col("block") == block).select("data").first()
+        if data is None:
+            continue
+        held = spark.sparkContext.broadcast(pickle.loads(data[0]))  # our own index, of bounded size
+        part = read.mapInPandas(_scan(held), shape)
+        if blocks > 1:
+            part = Stash(part, "leaks").df
+            held.unpersist(blocking=False)
+        parts.append(part)
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], shape)
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(text=[word_text(t) for t in pdf["text"]])
+
+
+def _scan(held):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = held.value
+        for pdf in batches:
+            texts = [t if isinstance(t, bytes) else word_text(t) for t in pdf["text"]]
+            found = search(texts, index)
+            found["doc_id"] = _whole(pdf["doc_id"].iloc[found["doc"].to_numpy(dtype=np.int64)].tolist())
+            yield found[["item_id", "doc_id", "n_passages", "least_edits", "n_exact"]]
+
+    return scan
 
 
 def _as_text(name: str) -> Column:
     """An id as text, since a null among integers makes pandas read a batch's ids as floats, which lose digits beyond 2^53."""
     return F.col(name).cast("long").cast("string").alias(name)
-
-
-def _named(found: pd.DataFrame, ids: list[str | None]) -> pd.DataFrame:
-    found["doc_id"] = _whole([ids[k] for k in found["doc"]])
-    return found[["item_id", "doc_id", "n_passages", "least_edits", "n_exact"]]

@@ -3,7 +3,8 @@ import random
 import pandas as pd
 import pytest
 
-from stratavox.llm.leaks import Q, index_items, leaked_passages, search, word_text
+from stratavox.llm import leaks
+from stratavox.llm.leaks import Q, _slices, index_items, leaked_passages, search, word_text
 
 DOCS, ITEMS = "doc_id long, text string, item_id long", "item_id long, text string, suite string"
 VOCAB = [f"{a}{b}" for a in ("ba", "ke", "lo", "mu", "ti", "sor", "vex", "nal") for b in ("d", "rin", "th", "pol", "gun", "s", "7", "")]
@@ -77,6 +78,47 @@ def test_passages_with_edits_match_alignment_everywhere():
     assert (index.bound >= 1).all() and (index.end - index.begin >= Q).all()
 
 
+def test_slices_lose_nothing_at_their_ends():
+    rng = random.Random(11)
+    for text in (word_text(sentence(rng, 700)), word_text(sentence(rng, 30) + " " + "9" * 3000 + " " + sentence(rng, 30))):
+        for size, overlap in ((300, 90), (91, 90), (5000, 10)):
+            pieces = list(_slices(text, size, overlap))
+            assert max(map(len, pieces)) <= size + overlap + 2
+            assert all(any(text[k : k + overlap] in p for p in pieces) for k in range(0, len(text) - overlap, 7))
+            words = set(text.split())
+            assert all(w in words for p in pieces for w in p.split() if b"\1" not in w)
+
+
+def test_slices_and_frequent_grams_give_the_same_result(monkeypatch):
+    rng = random.Random(12)
+    items = pd.DataFrame({"item_id": [1, 2, 3], "text": [sentence(rng, 40), "0" * 300 + " " + sentence(rng, 14), sentence(rng, 13)]})
+    index = index_items(items)
+    texts = [word_text(" ".join([sentence(rng, 50), rng.choice(items["text"]), sentence(rng, 50), "0" * 4000, rng.choice(items["text"])])) for _ in range(12)]
+    want = search(texts, index).to_dict("records")
+    assert len(want) >= 12
+    assert search(texts, index, slice_chars=500).to_dict("records") == want
+    monkeypatch.setattr(leaks, "POSTINGS", 5000)
+    monkeypatch.setattr(leaks._passages, "__defaults__", (5000,))
+    assert search(texts, index).to_dict("records") == want
+
+
+def test_recall_of_edited_passages_is_that_of_exhaustive_alignment():
+    """40 documents with planted passages of up to 4 edits against 6 items: all 240 pairs, every passage aligned at every place."""
+    rng = random.Random(13)
+    items = pd.DataFrame({"item_id": range(6), "text": [sentence(rng, 15) for _ in range(6)]})
+    index = index_items(items)
+    docs = []
+    for _ in range(40):
+        s = list(rng.choice(index.texts).decode())
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(s))
+            s[k : k + 1] = rng.choice([[], [s[k], "q"], ["z"]])
+        docs.append(word_text(sentence(rng, 6) + " " + "".join(s) + " " + sentence(rng, 6)))
+    got = {(r["doc"], r["item_id"]) for r in search(docs, index).to_dict("records")}
+    want = {(d, index.item[k]) for d, text in enumerate(docs) for k in range(len(index.begin)) if edits(index.texts[index.item[k]][index.begin[k] : index.end[k]], text) <= index.edits[k]}
+    assert got == want and len(want) >= 20
+
+
 def test_words_are_read_in_plain_form():
     assert word_text("Ｆｕｌｌ ｗｉｄｔｈ, café café zero​width _x_ аbc x² STRASSE straße") == b"full width cafe cafe zerowidth x abc x2 strasse strasse"
     assert word_text("") == b"" and word_text("--\n__") == b""
