@@ -1,6 +1,7 @@
 """The hierarchical atlas: outline to tree, validation, closure, leaf resolution.
 
-An atlas is a dictionary of a few hundred to a few thousand nodes; its windows run per atlas and hold one atlas at most.
+A table of nodes is one atlas, a dictionary of a few hundred to a few thousand nodes; its windows run over the whole of it. Forests of many atlases are the work of
+``links``. Joins with the dictionary carry no hint: Spark broadcasts it by its measured size, and shuffles where it is large.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def outline_tree(outline: DataFrame) -> DataFrame:
 def tree_problems(regions: DataFrame) -> DataFrame:
     """Violations of an outline tree's rules: rule, region_id. Rules: duplicate_id, leaf_mark, other_id, other_acronym, second_root."""
     parent = regions.select(F.col("region_id").alias("parent_id"), F.col("acronym").alias("parent_acronym")).dropDuplicates(["parent_id"])
-    joined = regions.join(F.broadcast(parent), "parent_id", "left").withColumn("n", F.count("*").over(W.partitionBy("region_id")))
+    joined = regions.join(parent, "parent_id", "left").withColumn("n", F.count("*").over(W.partitionBy("region_id")))
     first = F.min("ord").over(W.partitionBy(F.lit(0)))
     joined = joined.withColumn("first", first)
     other = F.col("is_other") & F.col("parent_id").isNotNull()
@@ -104,18 +105,18 @@ def resolve_leaves(cells: DataFrame, regions: DataFrame, region_col: str = "regi
     """``cells`` with leaf_id and placement.
 
     placement: 'leaf', 'outside' (region 0), 'unlocated' (null region), 'unknown' (no such node), 'not_leaf' (a node with children but no
-    ``-other`` child). leaf_id is 0 outside, null unless placed. ``strict`` raises at run time for unknown regions and non-leaves instead.
-    Columns of these names are replaced. The map has one row per atlas node and is broadcast; cells are not shuffled.
+    ``-other`` child). leaf_id is 0 outside, null unless placed. ``strict`` raises at run time for null and unknown regions and non-leaves instead.
+    Columns of these names are replaced. The map has one row per atlas node, so it is broadcast by its size and cells are not shuffled.
     """
     ids = leaf_map(regions).select(F.col("region_id").alias("__region"), "leaf_id", "of_leaf")
-    joined = cells.drop("leaf_id", "placement").join(F.broadcast(ids), F.col(region_col) == F.col("__region"), "left")
+    joined = cells.drop("leaf_id", "placement").join(ids, F.col(region_col) == F.col("__region"), "left")
     where = F.col(region_col)
     placement = (
         F.when(where.isNull(), "unlocated").when(where == OUTSIDE, "outside").when(F.col("leaf_id").isNull(), "unknown").when(~F.col("of_leaf"), "not_leaf").otherwise("leaf")
     )
     if strict:
-        bad = placement.isin("unknown", "not_leaf")
-        placement = F.when(bad, F.raise_error(F.concat(F.lit("Region is "), placement, F.lit(": "), where.cast("string")))).otherwise(placement)
+        bad = placement.isin("unlocated", "unknown", "not_leaf")
+        placement = F.when(bad, F.raise_error(F.concat(F.lit("Region is "), placement, F.lit(": "), F.coalesce(where.cast("string"), F.lit("null"))))).otherwise(placement)
     leaf = F.when(F.col("placement") == "leaf", F.col("leaf_id")).when(F.col("placement") == "outside", F.lit(OUTSIDE))
     return joined.withColumn("placement", placement).withColumn("leaf_id", leaf).drop("__region", "of_leaf")
 

@@ -250,5 +250,5 @@ def compare_levels(counts: DataFrame, metadata: DataFrame, factors: list[str]) -
             out.append((f, a, b, int(pdf["region_id"].iloc[0]), mean, lfc, se, stat, math.nan if outlier else float(normal_two_sided(np.array([stat]))[0]), math.nan))
         return pd.DataFrame(out, columns=["factor", "level_a", "level_b", "region_id", "base_mean", "log2_fold_change", "lfc_se", "stat", "pvalue", "padj"])
 
-    tested = held.join(F.broadcast(wise), "region_id").groupBy("region_id").applyInPandas(final, shape)
+    tested = held.join(wise, "region_id").groupBy("region_id").applyInPandas(final, shape)
     return tested.groupBy("factor", "level_a", "level_b").applyInPandas(lambda pdf: _adjusted(pdf), shape)

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Stash
 from .measures import MEASURES, exact_quantiles, histogram_peak
 
 # Fixed value: the accepted form of a filter text.
@@ -60,14 +59,11 @@ def parse_filter(text: str) -> Filter:
 def thresholds(df: DataFrame, filters: list[str]) -> list[tuple[Filter, float | None]]:
     """The filters with their thresholds: each adaptive one is taken over what the filters before it keep.
 
-    The columns involved are written once where a threshold depends on the data, so later passes scan narrow rows. Thresholds are
-    scalars and become literals, so the filtered result needs no join and its predicates reach the scan.
+    Thresholds are scalars and become literals, so the filtered result needs no join and its predicates reach the scan. ``df`` is read again for every
+    adaptive filter, only the columns involved; a caller whose ``df`` is costly (a join, current rows) writes it once before.
     """
     parsed = [parse_filter(t) for t in filters]
-    rows, stash = df, None
-    if any(f.kind for f in parsed):
-        stash = Stash(df.select(*dict.fromkeys(f.column for f in parsed)), "filtered")
-        rows = stash.df
+    rows = df.select(*dict.fromkeys(f.column for f in parsed))
     out = []
     for f in parsed:
         if f.kind == "p":
@@ -80,8 +76,6 @@ def thresholds(df: DataFrame, filters: list[str]) -> list[tuple[Filter, float |
             value = f.value
         out.append((f, value))
         rows = rows.filter(f.keeps(value))
-    if stash:
-        stash.drop()
     return out
 
 

@@ -30,12 +30,20 @@ def placement_counts(placed: DataFrame) -> DataFrame:
 def roll_up(counts: DataFrame, regions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys,) region_id, n_cells: each node's sum over its subtree. Nodes without cells have 0 where no ``keys`` are given, else no row."""
     up = closure(regions).select("region_id", "ancestor_id")
-    sums = counts.join(F.broadcast(up), "region_id").groupBy(*(keys or []), F.col("ancestor_id").alias("region_id")).agg(F.sum("n").alias("n_cells"))
+    sums = counts.join(up, "region_id").groupBy(*(keys or []), F.col("ancestor_id").alias("region_id")).agg(F.sum("n").alias("n_cells"))
     if keys:
         return sums
     return regions.select("region_id").join(sums, "region_id", "left").select("region_id", F.coalesce("n_cells", F.expr("0L")).alias("n_cells"))
 
 
+def root_totals(rolled: DataFrame, regions: DataFrame, placed: DataFrame) -> DataFrame:
+    """region_id, n_cells, n_placed of every root: its rolled-up count, and the cells whose leaf has it first in its path; a sound tree has both equal."""
+    root = regions.select(F.col("region_id").alias("leaf_id"), F.col("path")[0].alias("root_id"))
+    counted = placed.filter("placement = 'leaf'").join(root, "leaf_id").groupBy(F.col("root_id").alias("region_id")).agg(F.count("*").alias("n_placed"))
+    roots = regions.filter("parent_id IS NULL").select("region_id").join(rolled, "region_id")
+    return roots.join(counted, "region_id", "left").select("region_id", "n_cells", F.coalesce("n_placed", F.expr("0L")).alias("n_placed"))
+
+
 def node_volumes(regions: DataFrame, volumes: DataFrame) -> DataFrame:
     """region_id, volume_voxels, volume_mm3 of every node.
 

@@ -57,16 +57,16 @@ def excluded_regions(regions: DataFrame, exclude: list[int] | None = None, inclu
     exclude, include = list(exclude or []), list(include or [])
     inside = F.col("region_id").isin(*include) if include else F.lit(False)
     parents = regions.filter(inside & F.col("parent_id").isNotNull()).select("parent_id").distinct()
-    siblings = regions.join(F.broadcast(parents), "parent_id", "left_semi").filter(~inside).select("region_id")
+    siblings = regions.join(parents, "parent_id", "left_semi").filter(~inside).select("region_id")
     tops = siblings.unionByName(regions.filter(F.col("region_id").isin(*exclude) if exclude else F.lit(False)).select("region_id")).distinct()
     below = closure(regions).select(F.col("ancestor_id").alias("top"), "region_id")
-    return below.join(F.broadcast(tops.withColumnRenamed("region_id", "top")), "top").select("region_id").distinct()
+    return below.join(tops.withColumnRenamed("region_id", "top"), "top").select("region_id").distinct()
 
 
 def without_regions(obs: DataFrame, regions: DataFrame, exclude: list[int] | None = None, include: list[int] | None = None, column: str = "id") -> DataFrame:
-    """``obs`` without excluded regions; regions the atlas does not know stay. The exclusions are atlas nodes and are broadcast."""
+    """``obs`` without excluded regions; regions the atlas does not know stay. The exclusions are atlas nodes, which Spark broadcasts by their size."""
     gone = excluded_regions(regions, exclude, include).withColumnRenamed("region_id", column)
-    return obs.join(F.broadcast(gone), column, "left_anti")
+    return obs.join(gone, column, "left_anti")
 
 
 def with_leaf_flag(obs: DataFrame, regions: DataFrame, only_leafs: bool = True, column: str = "id") -> DataFrame:
@@ -74,7 +74,7 @@ def with_leaf_flag(obs: DataFrame, regions: DataFrame, only_leafs: bool = True,
     if not only_leafs:
         return obs.withColumn("testable", F.lit(True))
     leaf = regions.select(F.col("region_id").alias(column), F.col("is_leaf").alias("testable"))
-    return obs.join(F.broadcast(leaf), column, "left").withColumn("testable", F.coalesce("testable", F.lit(True)))
+    return obs.join(leaf, column, "left").withColumn("testable", F.coalesce("testable", F.lit(True)))
 
 
 def observations(metadata: DataFrame, summaries: DataFrame, factors: list[str], channels: list[int], excluded: list[dict[str, str]] | None = None) -> DataFrame:

@@ -5,6 +5,9 @@ Cells are current rows; summaries and metadata are the last written rows; region
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +36,14 @@ def _placed(spark: SparkSession, folder: str, tree: DataFrame | None = None) ->
     return atlas.resolve_leaves(_cells(spark, folder, "region_id"), _tree(spark, folder) if tree is None else tree)
 
 
-def _one(spark: SparkSession, name: str, value: float | None) -> DataFrame:
-    return spark.createDataFrame([(name, value)], "measure string, peak double")
+def _each(part: Callable[[str], DataFrame], names: Iterable) -> DataFrame:
+    """The rows of ``part`` of every name, one after another."""
+    return reduce(DataFrame.unionAll, [part(n) for n in names])
+
+
+def _long(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """A wide table with one column per label as keys, label, value, empty fields included."""
+    return wide.unpivot(keys, [f"`{c}`" for c in wide.columns if c not in keys], "label", "value")
 
 
 # hierarchy
@@ -56,6 +65,17 @@ def tree_validation_report(spark, folder):
     return atlas.tree_problems(_tree(spark, folder))
 
 
+def tree_validation_planted(spark, folder):
+    """The violations of an outline in which every 17th row has another id, every 13th another leaf mark and every 11th its neighbour's abbreviation."""
+    outline = table(spark, folder, "atlas_outline")
+    every = lambda k: F.pmod("ord", F.lit(k)) == 3
+    planted = outline.withColumns({
+        "id": F.when(every(17), F.col("id") + 1).otherwise(F.col("id")), "is_leaf": F.when(every(13), "").otherwise(F.col("is_leaf")),
+        "abbreviation": F.when(every(11), F.concat(F.lit("x"), "abbreviation")).otherwise(F.col("abbreviation")),
+    })
+    return atlas.tree_problems(Stash(atlas.outline_tree(planted), "tree").df)
+
+
 def leaf_resolution(spark, folder):
     return _placed(spark, folder).select("cell_ord", "leaf_id", "placement")
 
@@ -68,9 +88,17 @@ def locate_voxels(spark, folder):
 # filters
 
 
+def _chained(spark, folder, texts):
+    """Kept and removed cells. Where a threshold depends on the data, the current rows are written once, as several scans follow."""
+    parsed = [filters.parse_filter(t) for t in texts]
+    cells = _cells(spark, folder, *dict.fromkeys(f.column for f in parsed))
+    if any(f.kind for f in parsed):
+        cells = Stash(cells, "current").df
+    return filters.filter_cells(cells, list(texts))
+
+
 def _filtered(spark, folder, *texts):
-    columns = dict.fromkeys(filters.parse_filter(t).column for t in texts)
-    return filters.filter_cells(_cells(spark, folder, *columns), list(texts))[0].select("cell_ord")
+    return _chained(spark, folder, texts)[0].select("cell_ord")
 
 
 def filter_fixed(spark, folder):
@@ -97,9 +125,7 @@ def filter_chain(spark, folder):
 
 
 def filter_removed(spark, folder):
-    columns = dict.fromkeys(filters.parse_filter(t).column for t in CHAIN)
-    removed = filters.filter_cells(_cells(spark, folder, *columns), list(CHAIN))[1]
-    return removed.select("cell_ord", "removed_stage")
+    return _chained(spark, folder, CHAIN)[1].select("cell_ord", "removed_stage")
 
 
 # distributions
@@ -107,28 +133,41 @@ def filter_removed(spark, folder):
 
 def _positive(spark, folder, column):
     """Current values inside the measure's domain, written once as several scans follow."""
-    low, high = measures.MEASURES[column] or (-1e308, 1e308)
     c = F.col(column)
-    return Stash(_cells(spark, folder, column).filter((c > low) & (c < high) & ~F.isnan(c)).select(column), "measure").df
+    inside = c.isNotNull() & ~F.isnan(c)
+    if limits := measures.MEASURES[column]:
+        inside = inside & (c > limits[0]) & (c < limits[1])
+    return Stash(_cells(spark, folder, column).filter(inside).select(column), "measure").df
 
 
 def hist_peak(spark, folder):
-    return _one(spark, "r_xy", measures.histogram_peak(_positive(spark, folder, "r_xy"), "r_xy", measures.MEASURES["r_xy"])).withColumn("peak", F.round("peak", 6))
+    return _each(lambda m: measures.peak_row(_positive(spark, folder, m), m, measures.MEASURES[m]), measures.MEASURES).withColumn("peak", F.round("peak", 6))
+
+
+def _histogram(bins: DataFrame, measure: str) -> DataFrame:
+    return bins.select(F.lit(measure).alias("measure"), "bin", F.round("low", 6).alias("low"), "n", F.round("density", 6).alias("density"))
 
 
 def hist_linear(spark, folder):
-    return measures.linear_histogram(_positive(spark, folder, "r_xy"), "r_xy").select("bin", F.round("low", 6).alias("low"), "n", F.round("density", 6).alias("density"))
+    return _each(lambda m: _histogram(measures.linear_histogram(_positive(spark, folder, m), m), m), measures.MEASURES)
 
 
 def hist_log(spark, folder):
-    return measures.log_histogram(_positive(spark, folder, "r_xy"), "r_xy").select("bin", F.round("low", 6).alias("low"), "n", F.round("density", 6).alias("density"))
+    return _each(lambda m: _histogram(measures.log_histogram(_positive(spark, folder, m), m), m), measures.MEASURES)
+
+
+TRIMS = (1, 5)
 
 
 def hist_trimmed(spark, folder):
-    values = _positive(spark, folder, "r_xy")
-    cut = measures.trimmed(values, "r_xy", 0.05, 0.95)
-    bins = measures.bin_number(values.count(), 500)
-    return measures.linear_histogram(cut, "r_xy", bins=bins).select("bin", F.round("low", 6).alias("low"), "n", F.round("density", 6).alias("density"))
+    """Histograms of what lies between the p % and (100 - p) % quantiles."""
+
+    def both(m: str) -> DataFrame:
+        values = _positive(spark, folder, m)
+        bins = measures.bin_number(values.count(), 500)
+        return _each(lambda p: _histogram(measures.linear_histogram(measures.trimmed(values, m, p / 100, 1 - p / 100), m, bins=bins), m).withColumn("cut", F.lit(p)), TRIMS)
+
+    return _each(both, measures.MEASURES)
 
 
 def measure_summary(spark, folder):
@@ -163,6 +202,21 @@ def volume_consistency(spark, folder):
     return regions.volume_mismatches(tree, regions.node_volumes(tree, table(spark, folder, "region_volumes")))
 
 
+def volume_violations(spark, folder):
+    """Nodes that do not add up once every 7th region id counts two voxels and 0.5 mm3 more."""
+    tree, volumes = _tree(spark, folder), table(spark, folder, "region_volumes")
+    more = F.when(F.pmod("region_id", F.lit(7)) == 0, 1).otherwise(0)
+    planted = volumes.withColumns({"aggregated_voxel_count": F.col("aggregated_voxel_count") + 2 * more, "aggregated_volume_mm3": F.col("aggregated_volume_mm3") + 0.5 * more})
+    return regions.volume_mismatches(tree, regions.node_volumes(tree, planted))
+
+
+def root_total(spark, folder):
+    """The roots' counts and the number of cells placed below them, which must be equal."""
+    tree = _tree(spark, folder)
+    placed = _placed(spark, folder, tree)
+    return regions.root_totals(regions.roll_up(regions.leaf_counts(placed), tree), tree, placed)
+
+
 def _summary(spark, folder, tree=None):
     tree = _tree(spark, folder) if tree is None else tree
     return regions.region_summary(_placed(spark, folder, tree), tree, table(spark, folder, "region_volumes"))
@@ -212,7 +266,7 @@ def _obs(spark, folder, excluded=None):
 
 
 def collate_long(spark, folder):
-    return samples.collate(_metadata(spark, folder), _summaries(spark, folder), CHANNELS, 4).drop("total_volume_mm3", "cell_density_mm3")
+    return samples.collate(_metadata(spark, folder), _summaries(spark, folder), CHANNELS, 4)
 
 
 EXCLUDED = [{"condition_name": "Saline", "sex": "f"}, {"genotype": "KO"}]
@@ -245,19 +299,22 @@ def group_n(spark, folder):
     return samples.group_means(_obs(spark, folder), ["channel", "id"], "total_cells").withColumn("mean_value", F.round("mean_value", 6))
 
 
+# wide tables come as one row per field, so that every field can be compared
+
+
 def raw_wide(spark, folder):
-    return samples.raw_wide(_obs(spark, folder).filter("channel = 561"), ["id"], ["total_cells"])
+    return _long(samples.raw_wide(_obs(spark, folder), ["channel", "id"], ["total_cells"]), ["channel", "id"])
 
 
 def group_means_wide(spark, folder):
-    wide = samples.group_means_wide(_obs(spark, folder).filter("channel = 561"), ["id"], ["total_cells"])
-    return wide.select("id", *[F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) for c in wide.columns[1:]])
+    wide = samples.group_means_wide(_obs(spark, folder), ["channel", "id"], ["total_cells"])
+    numbers = wide.select("channel", "id", *[F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns[2:]])
+    return _long(numbers, ["channel", "id"]).withColumn("value", F.round("value", 6))
 
 
 def stat_matrix(spark, folder):
-    leaves = samples.with_leaf_flag(_obs(spark, folder).filter("channel = 561"), _tree(spark, folder)).filter("testable")
-    names = [r[0] for r in leaves.select("sample").distinct().orderBy("sample").collect()]
-    return leaves.groupBy(F.col("id").alias("RegionID")).pivot("sample", names).agg(F.first("total_cells", ignorenulls=True))
+    leaves = samples.with_leaf_flag(_obs(spark, folder), _tree(spark, folder)).filter("testable")
+    return _long(samples.raw_wide(leaves, ["channel", "id"], ["total_cells"]), ["channel", "id"]).withColumnRenamed("id", "RegionID")
 
 
 # comparisons
@@ -286,38 +343,40 @@ def bh_fdr(spark, folder):
 
 
 def analyzed_wide(spark, folder):
-    flagged = samples.with_leaf_flag(_tests(spark, folder).filter("channel = 561"), _tree(spark, folder))
-    corrected = stats.benjamini_hochberg(flagged, ["group_a", "group_b"], testable=F.col("testable"))
-    wide = stats.analyzed_wide(corrected, ["id"])
-    return wide.select("id", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in wide.columns[1:]])
+    flagged = samples.with_leaf_flag(_tests(spark, folder), _tree(spark, folder))
+    corrected = Stash(stats.benjamini_hochberg(flagged, ["channel", "group_a", "group_b"], testable=F.col("testable")), "tests").df
+    return _long(stats.analyzed_wide(corrected, ["channel", "id"]), ["channel", "id"]).withColumn("value", F.round("value", 4))
 
 
 def _counts(spark, folder):
-    leaves = samples.with_leaf_flag(_obs(spark, folder).filter("channel = 561"), _tree(spark, folder)).filter("testable AND total_cells IS NOT NULL")
-    return leaves.select(F.col("id").alias("region_id"), "sample", F.col("total_cells").alias("n"), "condition_name")
+    """Counts of leaf regions, written once as each channel reads them more than once."""
+    leaves = samples.with_leaf_flag(_obs(spark, folder), _tree(spark, folder)).filter("testable AND total_cells IS NOT NULL")
+    return Stash(leaves.select("channel", F.col("id").alias("region_id"), "sample", F.col("total_cells").alias("n"), "condition_name"), "analysis").df
+
+
+def _by_channel(counts: DataFrame, part: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return _each(lambda c: part(counts.filter(F.col("channel") == c).drop("channel")).withColumn("channel", F.lit(c)), CHANNELS)
 
 
 def deseq_size_factors(spark, folder):
-    return deseq.size_factors(_counts(spark, folder)).withColumn("size_factor", F.round("size_factor", 6))
+    return _by_channel(_counts(spark, folder), deseq.size_factors).withColumn("size_factor", F.round("size_factor", 6))
 
 
 def deseq_base_mean(spark, folder):
-    counts = _counts(spark, folder)
-    return deseq.base_means(counts, deseq.size_factors(counts)).withColumn("base_mean", F.round("base_mean", 6))
+    return _by_channel(_counts(spark, folder), lambda own: deseq.base_means(own, deseq.size_factors(own))).withColumn("base_mean", F.round("base_mean", 6))
 
 
 def deseq_wald(spark, folder):
-    counts = Stash(_counts(spark, folder), "analysis").df
-    return deseq.compare_levels(counts, counts.select("sample", "condition_name").distinct(), FACTORS)
+    return _by_channel(_counts(spark, folder), lambda own: deseq.compare_levels(own, own.select("sample", "condition_name").distinct(), FACTORS))
 
 
 def invgamma_pdf(spark, folder):
-    return measures.inverse_gamma_curve(_positive(spark, folder, "r_xy"), "r_xy")
+    return _each(lambda m: measures.inverse_gamma_curve(_positive(spark, folder, m), m).withColumn("measure", F.lit(m)), measures.MEASURES)
 
 
 _NAMES = (
-    "tree_from_outline tree_closure tree_preorder_depth tree_validation_report leaf_resolution locate_voxels filter_fixed filter_percentile filter_mean filter_peak "
-    "filter_chain filter_removed hist_peak hist_linear hist_log hist_trimmed measure_summary region_counts region_rollup region_outside other_volume volume_consistency "
+    "tree_from_outline tree_closure tree_preorder_depth tree_validation_report tree_validation_planted leaf_resolution locate_voxels filter_fixed filter_percentile filter_mean filter_peak "
+    "filter_chain filter_removed hist_peak hist_linear hist_log hist_trimmed measure_summary region_counts region_rollup region_outside other_volume volume_consistency volume_violations root_total "
     "region_summary region_density image_region_rollup level_export merged_groups collate_long exclude_groups sample_metadata exclude_regions include_regions only_leafs group_n raw_wide "
     "group_means_wide stat_matrix group_moments welch_t welch_p bh_fdr analyzed_wide deseq_size_factors deseq_base_mean deseq_wald invgamma_pdf"
 ).split()
@@ -355,17 +414,26 @@ _OK = "CAST({0} AS VARCHAR) <> 'nan'"
 
 
 def _values(column: str) -> str:
-    return f"""{_CELLS}, val AS (SELECT {column} AS v FROM cell WHERE {_OK.format(column)} AND {column} > 1e-9 AND {column} < 1e4)"""
+    limits = measures.MEASURES[column]
+    inside = f"AND {column} > {limits[0]} AND {column} < {limits[1]}" if limits else ""
+    return f"""{_CELLS}, val AS (SELECT {column} AS v FROM cell WHERE {_OK.format(column)} {inside})"""
 
 
 _EDGES = """size AS (SELECT count(*) AS n, min(v) AS low, max(v) AS high FROM {0}), shape AS (SELECT *, greatest(25, least({1}, {2} // 1000)) AS bins FROM size),
   spine AS (SELECT unnest(range(bins)) AS bin FROM shape), counts AS (SELECT least(CAST(floor((v - low) / (high - low) * bins) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM {0}, shape GROUP BY 1),
   hist AS (SELECT CAST(s.bin AS INT) AS bin, h.low + s.bin * (h.high - h.low) / h.bins AS low, h.low + (s.bin + 1) * (h.high - h.low) / h.bins AS high, coalesce(c.n, 0) AS n,
     coalesce(c.n, 0) / (h.n * ((h.high - h.low) / h.bins)) AS density FROM spine s CROSS JOIN shape h LEFT JOIN counts c USING (bin))"""
-_PEAK = f"""{_values("r_xy")}, q AS (SELECT greatest(quantile_cont(v, 0.01), 1e-9) AS a, least(quantile_cont(v, 0.99), 1e4) AS b FROM val), cutv AS (SELECT v FROM val, q WHERE v BETWEEN a AND b),
-  {_EDGES.format("cutv", 1000, "n")}, smooth AS (SELECT bin, (low + high) / 2 AS centre, list_sort([coalesce(lag(n) OVER w, n), n, coalesce(lead(n) OVER w, n)])[2] AS m FROM hist WINDOW w AS (ORDER BY bin)),
+_PEAK = """@values, q AS (SELECT greatest(quantile_cont(v, 0.01), @low) AS a, least(quantile_cont(v, 0.99), @high) AS b FROM val), cutv AS (SELECT v FROM val, q WHERE v BETWEEN a AND b),
+  @edges, smooth AS (SELECT bin, (low + high) / 2 AS centre, list_sort([coalesce(lag(n) OVER w, n), n, coalesce(lead(n) OVER w, n)])[2] AS m FROM hist WINDOW w AS (ORDER BY bin)),
   peak AS (SELECT centre AS peak FROM smooth ORDER BY m DESC, bin LIMIT 1)"""
 
+
+
+def _peak(column: str) -> str:
+    low, high = measures.MEASURES[column] or ("CAST('-inf' AS DOUBLE)", "CAST('inf' AS DOUBLE)")
+    return _PEAK.replace("@values", _values(column)).replace("@low", str(low)).replace("@high", str(high)).replace("@edges", _EDGES.format("cutv", 1000, "n"))
+
+
 _META = """meta AS (SELECT image_name, condition_name, genotype, sex FROM (SELECT trim(image_name) AS image_name, trim(condition_name) AS condition_name, trim(genotype) AS genotype, trim(sex) AS sex,
     row_number() OVER (PARTITION BY trim(image_name) ORDER BY loaded_at DESC NULLS LAST, trim(condition_name) DESC NULLS LAST, trim(genotype) DESC NULLS LAST, trim(sex) DESC NULLS LAST, acquired_at DESC NULLS LAST) AS rn
     FROM images WHERE trim(image_name) <> '') WHERE rn = 1),
@@ -386,23 +454,33 @@ _BH = f"""{_P}, flagged AS (SELECT *, CAST(p AS VARCHAR) <> 'nan' AND id NOT IN
   ranked AS (SELECT *, count(*) OVER (PARTITION BY channel, group_a, group_b, ok) AS m, row_number() OVER (PARTITION BY channel, group_a, group_b, ok ORDER BY p) AS rk FROM flagged),
   corrected AS (SELECT *, CASE WHEN ok THEN round(least(1, min(p * m / rk) OVER (PARTITION BY channel, group_a, group_b, ok ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) ELSE -1 END AS p_corr FROM ranked)"""
 
-_DESEQ = f"""{TREE_SQL}, {_META}, cnt AS (SELECT id AS region_id, sample, total_cells AS n FROM obs WHERE channel = 561 AND total_cells IS NOT NULL AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)),
+
+def _deseq(channel: int) -> str:
+    return f"""{TREE_SQL}, {_META}, cnt AS (SELECT id AS region_id, sample, total_cells AS n FROM obs WHERE channel = {channel} AND total_cells IS NOT NULL AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)),
   logs AS (SELECT region_id, count(*) FILTER (n > 0) AS held, avg(CASE WHEN n > 0 THEN ln(n) END) AS mean_log FROM cnt GROUP BY region_id),
   whole AS (SELECT * FROM logs WHERE held = (SELECT count(DISTINCT sample) FROM cnt)),
   usable AS (SELECT * FROM whole UNION ALL SELECT * FROM logs WHERE held > 0 AND NOT EXISTS (SELECT 1 FROM whole)),
   sf AS (SELECT sample, exp(median(ln(n) - mean_log)) AS size_factor FROM cnt JOIN usable USING (region_id) WHERE n > 0 GROUP BY sample)"""
 
+
 _R = f"WITH RECURSIVE {TREE_SQL}"
 _OBS_SQL = "SELECT sample, channel, id, total_cells FROM obs"
 
+_MISMATCH = f"""WITH RECURSIVE {TREE_SQL}, {_VOLUME}, child AS (SELECT parent_id AS region_id, sum(volume_voxels) AS child_voxels, sum(volume_mm3) AS child_mm3 FROM volume GROUP BY parent_id),
+      judged AS (SELECT v.region_id, v.volume_voxels AS voxels, CAST(c.child_voxels AS BIGINT) AS child_voxels, abs(v.volume_mm3 - c.child_mm3) > 1e-9 * greatest(abs(v.volume_mm3), abs(c.child_mm3)) AS mm3_differs FROM volume v JOIN child c USING (region_id))
+      SELECT * FROM judged WHERE voxels <> child_voxels OR mm3_differs"""
+_VALIDATION = f"""{_R}, both_ AS (SELECT t.*, p.acronym AS parent_acronym, count(*) OVER (PARTITION BY t.region_id) AS n FROM tree t LEFT JOIN tree p ON p.region_id = t.parent_id)
+      SELECT 'duplicate_id' AS rule, region_id FROM both_ WHERE n > 1 UNION ALL SELECT 'leaf_mark', region_id FROM both_ WHERE is_leaf <> marked_leaf
+      UNION ALL SELECT 'other_id', region_id FROM both_ WHERE is_other AND region_id <> parent_id + 20000 UNION ALL SELECT 'other_acronym', region_id FROM both_ WHERE is_other AND acronym <> parent_acronym || '-other'
+      UNION ALL SELECT 'second_root', region_id FROM both_ WHERE parent_id IS NULL AND ord > (SELECT min(ord) FROM both_)"""
+
 SQL = {
     "tree_from_outline": f"{_R} SELECT ord, region_id, acronym, name, parent_id, CAST(depth AS INT) AS depth, is_leaf, marked_leaf, is_other FROM tree",
     "tree_closure": f"{_R} SELECT ancestor_id, region_id, CAST(distance AS INT) AS distance FROM walk",
     "tree_preorder_depth": f"{_R} SELECT ord, region_id, CAST(depth AS INT) AS depth, path FROM tree",
-    "tree_validation_report": f"""{_R}, both_ AS (SELECT t.*, p.acronym AS parent_acronym, count(*) OVER (PARTITION BY t.region_id) AS n FROM tree t LEFT JOIN tree p ON p.region_id = t.parent_id)
-      SELECT 'duplicate_id' AS rule, region_id FROM both_ WHERE n > 1 UNION ALL SELECT 'leaf_mark', region_id FROM both_ WHERE is_leaf <> marked_leaf
-      UNION ALL SELECT 'other_id', region_id FROM both_ WHERE is_other AND region_id <> parent_id + 20000 UNION ALL SELECT 'other_acronym', region_id FROM both_ WHERE is_other AND acronym <> parent_acronym || '-other'
-      UNION ALL SELECT 'second_root', region_id FROM both_ WHERE parent_id IS NULL AND ord > (SELECT min(ord) FROM both_)""",
+    "tree_validation_report": _VALIDATION,
+    "tree_validation_planted": _VALIDATION.replace("FROM atlas_outline)", "FROM planted)").replace("WITH RECURSIVE ", """WITH RECURSIVE planted AS (SELECT * REPLACE (CASE WHEN ord % 17 = 3 THEN id + 1 ELSE id END AS id,
+      CASE WHEN ord % 13 = 3 THEN '' ELSE is_leaf END AS is_leaf, CASE WHEN ord % 11 = 3 THEN 'x' || abbreviation ELSE abbreviation END AS abbreviation) FROM atlas_outline), """),
     "leaf_resolution": f"WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED} SELECT cell_ord, leaf_id, placement FROM placed",
     "locate_voxels": f"""WITH RECURSIVE {_CELLS}, {TREE_SQL}, spot AS (SELECT cell_ord, CASE WHEN {_OK.format("z")} AND {_OK.format("y")} AND {_OK.format("x")} THEN true END AS known, TRY_CAST(round_even(z, 0) AS INT) AS iz, TRY_CAST(round_even(y, 0) AS INT) AS iy, TRY_CAST(round_even(x, 0) AS INT) AS ix FROM cell),
       located AS (SELECT cell_ord, CASE WHEN known THEN CASE WHEN ix < 0 THEN 0 ELSE coalesce(a.labels[ix + 1], 0) END END AS voxel_region FROM spot LEFT JOIN annotation a ON a.z = iz AND a.y = iy)
@@ -410,15 +488,24 @@ SQL = {
     "filter_fixed": f"WITH {_CELLS} SELECT cell_ord FROM cell WHERE {_OK.format('r_xy')} AND r_xy > 2 AND {_OK.format('center_intensity')} AND center_intensity <= 500",
     "filter_percentile": f"WITH {_CELLS}, a AS (SELECT cell_ord, r_z FROM cell WHERE {_OK.format('r_z')} AND r_z > 0) SELECT cell_ord FROM a WHERE r_z >= (SELECT quantile_cont(r_z, 0.25) FROM a)",
     "filter_mean": f"WITH {_CELLS}, a AS (SELECT cell_ord, r_xy FROM cell WHERE {_OK.format('r_xy')} AND r_xy > 0) SELECT cell_ord FROM a WHERE r_xy < (SELECT avg(r_xy) FROM a)",
-    "filter_peak": f"WITH {_PEAK.replace('r_xy > 1e-9 AND r_xy < 1e4', 'r_xy > 0')} SELECT cell_ord FROM cell WHERE {_OK.format('r_xy')} AND r_xy > 0 AND r_xy >= (SELECT peak FROM peak)",
-    "hist_peak": f"WITH {_PEAK} SELECT 'r_xy' AS measure, round(peak, 6) AS peak FROM peak",
-    "hist_linear": f"WITH {_values('r_xy')}, {_EDGES.format('val', 500, 'n')} SELECT bin, round(low, 6) AS low, n, round(density, 6) AS density FROM hist",
-    "hist_log": f"""WITH {_values("r_xy")}, shape AS (SELECT greatest(25, least(500, count(*) // 1000)) AS edges, floor(log10(min(v))) AS a, ceil(log10(max(v))) AS b FROM val),
+    "filter_peak": f"WITH {_peak('r_xy').replace('r_xy > 1e-09 AND r_xy < 10000.0', 'r_xy > 0')} SELECT cell_ord FROM cell WHERE {_OK.format('r_xy')} AND r_xy > 0 AND r_xy >= (SELECT peak FROM peak)",
+    "hist_peak": " UNION ALL ".join(f"SELECT * FROM (WITH {_peak(m)} SELECT '{m}' AS measure, round(peak, 6) AS peak FROM peak)" for m in measures.MEASURES),
+    "hist_linear": " UNION ALL ".join(
+        f"SELECT * FROM (WITH {_values(m)}, {_EDGES.format('val', 500, 'n')} SELECT '{m}' AS measure, bin, round(low, 6) AS low, n, round(density, 6) AS density FROM hist)" for m in measures.MEASURES
+    ),
+    "hist_log": " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {_values(m)}, shape AS (SELECT greatest(25, least(500, count(*) // 1000)) AS edges, floor(log10(min(v) FILTER (v > 0))) AS a, ceil(log10(max(v))) AS b FROM val),
       spine AS (SELECT CAST(k AS INT) AS bin, edges - 2 AS last, 10 ** (a + k * (b - a) / (edges - 1)) AS low, 10 ** (a + (k + 1) * (b - a) / (edges - 1)) AS high FROM (SELECT *, unnest(range(edges - 1)) AS k FROM shape)),
       counts AS (SELECT bin, count(*) AS n FROM val JOIN spine ON v >= low AND (v < high OR (bin = last AND v <= high)) GROUP BY bin)
-      SELECT bin, round(low, 6) AS low, coalesce(n, 0) AS n, round(coalesce(n, 0) / ((SELECT sum(n) FROM counts) * (high - low)), 6) AS density FROM spine LEFT JOIN counts USING (bin)""",
-    "hist_trimmed": f"""WITH {_values("r_xy")}, q AS (SELECT quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM val), cutv AS (SELECT v FROM val, q WHERE v BETWEEN a AND b),
-      {_EDGES.format("cutv", 500, "(SELECT count(*) FROM val)")} SELECT bin, round(low, 6) AS low, n, round(density, 6) AS density FROM hist""",
+      SELECT '{m}' AS measure, bin, round(low, 6) AS low, coalesce(n, 0) AS n, round(coalesce(n, 0) / ((SELECT sum(n) FROM counts) * (high - low)), 6) AS density FROM spine LEFT JOIN counts USING (bin))"""
+        for m in measures.MEASURES
+    ),
+    "hist_trimmed": " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {_values(m)}, q AS (SELECT quantile_cont(v, {t / 100}) AS a, quantile_cont(v, {1 - t / 100}) AS b FROM val), cutv AS (SELECT v FROM val, q WHERE v BETWEEN a AND b),
+      {_EDGES.format("cutv", 500, "(SELECT count(*) FROM val)")} SELECT '{m}' AS measure, {t} AS cut, bin, round(low, 6) AS low, n, round(density, 6) AS density FROM hist)"""
+        for m in measures.MEASURES
+        for t in TRIMS
+    ),
     "measure_summary": f"WITH {_CELLS} "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS measure, count(*) AS n, round(avg({c}), 4) AS mean, round(min({c}), 4) AS least, round(max({c}), 4) AS greatest, round(quantile_cont({c}, 0.01), 4) AS q01, "
@@ -429,9 +516,11 @@ SQL = {
     "region_rollup": f"WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED}, {_ROLL} SELECT region_id, n_cells FROM rolled",
     "region_outside": f"WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED} SELECT placement, count(*) AS n FROM placed GROUP BY placement",
     "other_volume": f"WITH RECURSIVE {TREE_SQL}, {_VOLUME} SELECT region_id, volume_voxels, volume_mm3 FROM volume",
-    "volume_consistency": f"""WITH RECURSIVE {TREE_SQL}, {_VOLUME}, child AS (SELECT parent_id AS region_id, sum(volume_voxels) AS child_voxels, sum(volume_mm3) AS child_mm3 FROM volume GROUP BY parent_id),
-      judged AS (SELECT v.region_id, v.volume_voxels AS voxels, CAST(c.child_voxels AS BIGINT) AS child_voxels, abs(v.volume_mm3 - c.child_mm3) > 1e-9 * greatest(abs(v.volume_mm3), abs(c.child_mm3)) AS mm3_differs FROM volume v JOIN child c USING (region_id))
-      SELECT * FROM judged WHERE voxels <> child_voxels OR mm3_differs""",
+    "volume_consistency": _MISMATCH,
+    "volume_violations": _MISMATCH.replace("FROM region_volumes)", "FROM planted)").replace("WITH RECURSIVE ", """WITH RECURSIVE planted AS (SELECT * REPLACE (aggregated_voxel_count + CASE WHEN region_id % 7 = 0 THEN 2 ELSE 0 END AS aggregated_voxel_count,
+      aggregated_volume_mm3 + CASE WHEN region_id % 7 = 0 THEN 0.5 ELSE 0 END AS aggregated_volume_mm3) FROM region_volumes), """),
+    "root_total": f"""WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED}, {_ROLL} SELECT t.region_id, r.n_cells, (SELECT count(*) FROM placed p JOIN walk w ON w.region_id = p.leaf_id AND w.ancestor_id = t.region_id WHERE p.placement = 'leaf') AS n_placed
+      FROM tree t JOIN rolled r USING (region_id) WHERE t.parent_id IS NULL""",
     "region_summary": f"WITH RECURSIVE {_SUMMARY} SELECT ord, region_id, acronym, name, volume_voxels, round(volume_mm3, 6) AS volume_mm3, n_cells, round(cells_per_mm3, 6) AS cells_per_mm3, round(cells_per_voxel, 6) AS cells_per_voxel FROM summary",
     "region_density": f"WITH RECURSIVE {_SUMMARY} SELECT region_id, round(cells_per_mm3, 6) AS cells_per_mm3, round(cells_per_voxel, 6) AS cells_per_voxel FROM summary",
     "image_region_rollup": f"""WITH RECURSIVE {_CELLS}, {TREE_SQL}, {_PLACED} SELECT p.image_name, p.channel, w.ancestor_id AS region_id, count(*) AS n_cells
@@ -445,7 +534,7 @@ SQL = {
       SELECT group_id, m.abbreviation AS acronym, m.description AS name, count(s.n_cells) AS n_members, CAST(sum(s.volume_voxels) AS BIGINT) AS volume_voxels, round(sum(s.volume_mm3), 6) AS volume_mm3, CAST(sum(s.n_cells) AS BIGINT) AS n_cells,
       round(CASE WHEN sum(s.volume_mm3) = 0 THEN 0 ELSE sum(s.n_cells) / sum(s.volume_mm3) END, 6) AS cells_per_mm3, count(*) FILTER (s.n_cells IS NULL) AS n_unknown
       FROM member m LEFT JOIN summary s USING (region_id) WHERE m.region_id IS NOT NULL GROUP BY ALL HAVING count(s.n_cells) > 0""",
-    "collate_long": f"""WITH {_META} SELECT m.image_name, m.condition_name, m.genotype, m.sex, s.channel, s.id, s.abbreviation, s.leaf, s.parent_id, s.original_id, s.original_abbreviation, s.total_voxels, s.total_cells,
+    "collate_long": f"""WITH {_META} SELECT m.image_name, m.condition_name, m.genotype, m.sex, s.channel, s.id, s.abbreviation, s.leaf, s.parent_id, s.original_id, s.original_abbreviation, s.total_voxels, s.total_volume_mm3, s.total_cells, s.cell_density_mm3,
       {", ".join(f"s.region_level_{k:02d}" for k in range(1, 8))} FROM sums s JOIN meta m USING (image_name)""",
     "exclude_groups": f"""WITH {_META}, low AS (SELECT image_name AS sample, lower(coalesce(condition_name, '')) AS condition_name, lower(coalesce(genotype, '')) AS genotype, lower(coalesce(sex, '')) AS sex FROM meta)
       SELECT *, condition_name || '-' || genotype || '-' || sex AS group_label FROM low WHERE NOT (condition_name = 'saline' AND sex = 'f') AND NOT (genotype = 'ko')""",
@@ -455,19 +544,25 @@ SQL = {
       {_OBS_SQL} WHERE id NOT IN (SELECT w.region_id FROM walk w JOIN sib ON sib.region_id = w.ancestor_id)""",
     "only_leafs": f"WITH RECURSIVE {TREE_SQL}, {_META} {_OBS_SQL} WHERE id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)",
     "group_n": f"WITH {_META} SELECT channel, id, group_label, count(*) AS n_samples, round(avg(total_cells), 6) AS mean_value FROM obs GROUP BY ALL",
-    "raw_wide": f"WITH {_META} PIVOT (SELECT id, sample || ':total_cells' AS label, CAST(total_cells AS DOUBLE) AS v FROM obs WHERE channel = 561) ON label USING any_value(v) GROUP BY id",
-    "group_means_wide": f"""WITH {_META} PIVOT (SELECT i.id, g.group_label || ':N' AS label, CAST(count(o.id) AS DOUBLE) AS v FROM (SELECT DISTINCT id FROM obs WHERE channel = 561) i
-        CROSS JOIN (SELECT DISTINCT group_label FROM obs WHERE channel = 561) g LEFT JOIN obs o ON o.channel = 561 AND o.id = i.id AND o.group_label = g.group_label GROUP BY ALL
-      UNION ALL SELECT id, group_label || ':total_cells', round(avg(total_cells), 6) FROM obs WHERE channel = 561 GROUP BY ALL) ON label USING any_value(v) GROUP BY id""",
-    "stat_matrix": f"""WITH RECURSIVE {TREE_SQL}, {_META} PIVOT (SELECT id AS "RegionID", sample, total_cells FROM obs WHERE channel = 561 AND id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)) ON sample USING any_value(total_cells) GROUP BY "RegionID" """,
+    "raw_wide": f"""WITH {_META}, grid AS (SELECT * FROM (SELECT DISTINCT channel, id FROM obs), (SELECT DISTINCT sample FROM obs))
+      SELECT g.channel, g.id, g.sample || ':total_cells' AS label, CAST(o.total_cells AS DOUBLE) AS value FROM grid g LEFT JOIN obs o USING (channel, id, sample)""",
+    "group_means_wide": f"""WITH {_META}, grid AS (SELECT * FROM (SELECT DISTINCT channel, id FROM obs), (SELECT DISTINCT group_label FROM obs)),
+      made AS (SELECT g.channel, g.id, g.group_label, CAST(count(o.id) AS DOUBLE) AS n, round(avg(o.total_cells), 6) AS mean FROM grid g LEFT JOIN obs o USING (channel, id, group_label) GROUP BY ALL)
+      SELECT channel, id, group_label || ':N' AS label, n AS value FROM made UNION ALL SELECT channel, id, group_label || ':total_cells', mean FROM made""",
+    "stat_matrix": f"""WITH RECURSIVE {TREE_SQL}, {_META}, leaf AS (SELECT * FROM obs WHERE id NOT IN (SELECT region_id FROM tree WHERE NOT is_leaf)),
+      grid AS (SELECT * FROM (SELECT DISTINCT channel, id FROM leaf), (SELECT DISTINCT sample FROM leaf))
+      SELECT g.channel, g.id AS "RegionID", g.sample || ':total_cells' AS label, CAST(o.total_cells AS DOUBLE) AS value FROM grid g LEFT JOIN leaf o USING (channel, id, sample)""",
     "group_moments": f'WITH {_MOMENTS} SELECT channel, id, "group", n, round(mean, 6) AS mean, round(variance, 6) AS variance FROM moments',
-    "deseq_size_factors": f"WITH RECURSIVE {_DESEQ} SELECT sample, round(size_factor, 6) AS size_factor FROM sf",
-    "deseq_base_mean": f"WITH RECURSIVE {_DESEQ} SELECT region_id, round(avg(n / size_factor), 6) AS base_mean FROM cnt JOIN sf USING (sample) GROUP BY region_id",
+    "deseq_size_factors": " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_deseq(c)} SELECT {c} AS channel, sample, round(size_factor, 6) AS size_factor FROM sf)" for c in CHANNELS),
+    "deseq_base_mean": " UNION ALL ".join(
+        f"SELECT * FROM (WITH RECURSIVE {_deseq(c)} SELECT {c} AS channel, region_id, round(avg(n / size_factor), 6) AS base_mean FROM cnt JOIN sf USING (sample) GROUP BY region_id)" for c in CHANNELS
+    ),
     "welch_t": f"WITH {_WELCH} SELECT channel, id, group_a, group_b, round(t, 6) AS t, round(df, 6) AS df FROM tests",
     "welch_p": f"WITH {_P} SELECT channel, id, group_a, group_b, round(p, 4) AS p FROM tested",
     "bh_fdr": f"WITH RECURSIVE {TREE_SQL}, {_BH} SELECT channel, id, group_a, group_b, p_corr FROM corrected",
-    "analyzed_wide": f"""WITH RECURSIVE {TREE_SQL}, {_BH} PIVOT (SELECT id, 'p: ' || group_a || ' vs. ' || group_b AS label, round(p, 4) AS v FROM corrected WHERE channel = 561
-      UNION ALL SELECT id, 'p-corr: ' || group_a || ' vs. ' || group_b, p_corr FROM corrected WHERE channel = 561) ON label USING any_value(v) GROUP BY id""",
+    "analyzed_wide": f"""WITH RECURSIVE {TREE_SQL}, {_BH}, lines AS (SELECT DISTINCT channel, id FROM corrected), pair AS (SELECT DISTINCT group_a, group_b FROM corrected),
+      made AS (SELECT l.channel, l.id, p.group_a || ' vs. ' || p.group_b AS pair, round(c.p, 4) AS p, c.p_corr FROM lines l CROSS JOIN pair p LEFT JOIN corrected c USING (channel, id, group_a, group_b))
+      SELECT channel, id, 'p: ' || pair AS label, p AS value FROM made UNION ALL SELECT channel, id, 'p-corr: ' || pair, p_corr FROM made""",
 }
 
 

@@ -106,7 +106,7 @@ def read_summaries(spark: SparkSession, index: list[tuple[str, int, str]]) -> Da
     opened = lines.select("path", F.posexplode("lines").alias("row_ord", "line")).filter("row_ord > 0")
     parsed = opened.select("path", (F.col("row_ord") - 1).alias("row_ord"), F.from_csv("line", _ddl(names)).alias("r"))
     located = files.withColumn("path", bare("summary_filename"))
-    return parsed.join(F.broadcast(located), "path").select("sample", "channel", "summary_filename", "row_ord", "r.*")
+    return parsed.join(located, "path").select("sample", "channel", "summary_filename", "row_ord", "r.*")
 
 
 def _ddl(names: list[str]) -> str:
