@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import logging
+import platform
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyspark
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .operators import atlas, deseq, filters, measures, regions, samples, stats
+from .session import Stash
 from .sources import files, sinks
 
 log = logging.getLogger("stratavox")
@@ -18,6 +22,7 @@ log = logging.getLogger("stratavox")
 def _timed(run: Callable) -> Callable:
     def logged(*args, **kwargs):
         began = time.time()
+        log.info("stratavox %s, pyspark %s, python %s", __version__, pyspark.__version__, platform.python_version())
         log.info("%s: %s", run.__name__, {k: v for k, v in kwargs.items() if not isinstance(v, DataFrame)})
         result = run(*args, **kwargs)
         log.info("%s took %.1f s", run.__name__, time.time() - began)
@@ -34,7 +39,7 @@ def region_column(atlas_name: str = "") -> str:
 
 @_timed
 def locate_cells(*, cells: DataFrame, annotation: DataFrame, atlas_name: str = "", outline: DataFrame | None = None, output_path: str | None = None) -> DataFrame:
-    """Cells with the region of their voxel; with an ``outline``, regions resolve to leaves and unknown ones raise."""
+    """Cells with the region of their voxel; with an ``outline``, regions resolve to leaves and unknown ones raise. The output is in the order of z, x, y."""
     column = region_column(atlas_name)
     located = atlas.locate(cells, annotation, column)
     if outline is not None:
@@ -43,7 +48,7 @@ def locate_cells(*, cells: DataFrame, annotation: DataFrame, atlas_name: str = "
         leaf = F.when(F.col("placement") == "unknown", unknown).when(F.col("placement") == "not_leaf", F.col(column)).otherwise(F.col("leaf_id"))
         located = placed.withColumn(column, leaf).drop("leaf_id", "placement")
     if output_path:
-        sinks.write_cells(located, output_path)
+        sinks.write_cells(located, output_path, order=["z", "x", "y"])
     return located
 
 
@@ -69,7 +74,11 @@ def distributions(cells: DataFrame, measure: str) -> dict[str, DataFrame]:
 def summarize_regions(
     *, cells: DataFrame, outline: DataFrame, volumes: DataFrame, output_path: str | None = None, cell_filters: list[str] | None = None, atlas_name: str = "", merge_tree: DataFrame | None = None, levels: bool = False
 ) -> DataFrame:
-    """Counts rolled up over the atlas with volumes and densities: flat, in level layout, or for merged groups. Unknown regions and cells on non-leaves raise."""
+    """Counts rolled up over the atlas with volumes and densities: flat, in level layout, or for merged groups.
+
+    ValueError for a broken outline, volumes that do not add up or are of unknown regions, unknown members of merged groups, and a root count that is not the
+    number of cells inside. Cells on null and unknown regions or on non-leaves raise at run time.
+    """
     if levels and merge_tree is not None:
         raise ValueError("Merged groups have no level layout")
     tree = atlas.checked_tree(outline)
@@ -80,7 +89,19 @@ def summarize_regions(
     if unknown:
         raise ValueError(f"Volumes of unknown regions: {sorted(r[0] for r in unknown)}")
     kept = filters.filter_cells(cells, cell_filters)[0] if cell_filters else cells
-    summary = regions.region_summary(atlas.resolve_leaves(kept, tree, region_column(atlas_name), strict=True), tree, volumes)
+    if merge_tree is not None:
+        members = merge_tree.select(F.explode("member_ids").alias("region_id")).filter("region_id is not null").distinct()
+        strange = members.join(tree.select("region_id"), "region_id", "left_anti").limit(20).collect()
+        if strange:
+            raise ValueError(f"Merged groups have unknown members: {sorted(r[0] for r in strange)}")
+    placed = atlas.resolve_leaves(kept, tree, region_column(atlas_name), strict=True)
+    # the cells inside are counted on their way, without another scan
+    inside = Observation()
+    seen = placed.observe(inside, F.count_if(F.col("placement") != "outside").alias("n"), F.count("*").alias("all"))
+    summary = Stash(regions.region_summary(seen, tree, volumes), "summary").df
+    roots = summary.join(tree.filter("parent_id IS NULL").select("region_id"), "region_id").select("n_cells").collect()
+    if sum(r[0] for r in roots) != inside.get["n"]:
+        raise ValueError(f"The roots count {sum(r[0] for r in roots)} cells, but {inside.get['n']} lie inside")
     result = regions.level_layout(summary, tree) if levels else regions.merged_groups(summary, merge_tree) if merge_tree is not None else summary
     if output_path:
         (sinks.write_levels if levels else sinks.write_flat)(result, output_path)
@@ -143,6 +164,10 @@ def analyze_summaries(
         raise ValueError(f"The summaries have no region column {region_column}")
     typed = text.select("sample", "channel", "row_ord", F.col(region_column).cast("int").alias("__region"), *[F.col(k) for k in keys], *[F.col(names[c]).cast("double").alias(c) for c in data_columns])
     tree = atlas.checked_tree(outline)
+    asked = sorted({*(exclude_regions or []), *(include_regions or [])})
+    strange = set(asked) - {r[0] for r in tree.filter(F.col("region_id").isin(asked)).select("region_id").collect()} if asked else set()
+    if strange:
+        raise ValueError(f"Unknown regions to include or exclude: {sorted(strange)}")
     kept = samples.without_regions(typed.join(groups, "sample"), tree, exclude_regions, include_regions, "__region")
     obs = samples.with_leaf_flag(kept, tree, only_leafs, "__region")
     result = {}

@@ -8,6 +8,7 @@ import logging
 from pyspark.sql import SparkSession
 
 from . import api
+from .session import scratch
 from .sources import files
 from .sources.volumes import read_label_volume
 
@@ -22,10 +23,12 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(flag, **options)
 
     need, many = {"required": True}, {"action": "append", "default": []}
-    cells, outline = ("--cells", need), ("--outline", need)
-    command("locate", cells, ("--volume", need), ("--atlas-name", {"default": ""}), ("--outline", {}), ("--output", need))
-    command("filter", cells, ("--filter", {**many, "required": True}), ("--output", {}), ("--removed", {}))
-    command("summarize", cells, outline, ("--volumes", need), ("--output", need), ("--filter", many), ("--atlas-name", {"default": ""}), ("--merge-tree", {}), ("--levels", {"action": "store_true"}))
+    # one input and output, or all files below a folder, whose outputs come under the same names in another one; finished ones are skipped
+    source = [("--cells", {}), ("--root", {}), ("--suffix", {"default": ".parquet"}), ("--exclude", many), ("--output-root", {}), ("--all-types", {"action": "store_true"})]
+    outline = ("--outline", need)
+    command("locate", *source, ("--volume", need), ("--atlas-name", {"default": ""}), ("--outline", {}), ("--output", {}))
+    command("filter", *source, ("--filter", {**many, "required": True}), ("--output", {}), ("--removed", {}))
+    command("summarize", *source, outline, ("--volumes", need), ("--output", {}), ("--filter", many), ("--atlas-name", {"default": ""}), ("--merge-tree", {}), ("--levels", {"action": "store_true"}))
     lookup = [("--metadata", need), ("--summaries-root", need), ("--channel", {**many, "type": int, "required": True}), ("--lookup-column", need), ("--pattern", need)]
     command("collate", *lookup, ("--first-columns", {"type": int, "default": 1}), ("--output", need))
     command(
@@ -48,16 +51,39 @@ def parse_group(pairs: list[str]) -> dict[str, str]:
     return group
 
 
+def jobs(spark: SparkSession, args: argparse.Namespace) -> list[argparse.Namespace]:
+    """One set of arguments per input: the given one, or every file below ``--root`` that has no output yet."""
+    if args.command not in ("locate", "filter", "summarize") or args.cells:
+        if args.command in ("locate", "summarize") and not args.output:
+            raise ValueError("--cells needs --output")
+        return [args]
+    if not args.root or not args.output_root:
+        raise ValueError("Give --cells, or --root and --output-root")
+    found = files.discover(spark, args.root, args.suffix, tuple(args.exclude))
+    start = len(files.plain_path(args.root).rstrip("/")) + 1
+    end = ".csv" if args.command == "summarize" else ".parquet"
+    pairs = [(path, f"{args.output_root.rstrip('/')}/{files.plain_path(path)[start:].removesuffix(args.suffix)}{end}") for path in found]
+    return [argparse.Namespace(**{**vars(args), "cells": cells, "output": output}) for cells, output in files.without_outputs(spark, pairs)]
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    """All jobs of the arguments, one after another; intermediate tables go with each."""
+    for job in jobs(spark, args):
+        with scratch():
+            _run(spark, job)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
+    cells = files.read_cells(spark, args.cells, not args.all_types) if hasattr(args, "cells") else None
     if args.command == "locate":
         tree = files.read_outline(spark, args.outline) if args.outline else None
-        api.locate_cells(cells=spark.read.parquet(args.cells), annotation=read_label_volume(spark, args.volume), atlas_name=args.atlas_name, outline=tree, output_path=args.output)
+        api.locate_cells(cells=cells, annotation=read_label_volume(spark, args.volume), atlas_name=args.atlas_name, outline=tree, output_path=args.output)
     elif args.command == "filter":
-        api.filter_cells(cells=spark.read.parquet(args.cells), cell_filters=args.filter, output_path=args.output, removed_path=args.removed)
+        api.filter_cells(cells=cells, cell_filters=args.filter, output_path=args.output, removed_path=args.removed)
     elif args.command == "summarize":
         merge = files.read_merge_tree(spark, args.merge_tree) if args.merge_tree else None
         api.summarize_regions(
-            cells=spark.read.parquet(args.cells), outline=files.read_outline(spark, args.outline), volumes=files.read_volumes(spark, args.volumes), output_path=args.output, cell_filters=args.filter,
+            cells=cells, outline=files.read_outline(spark, args.outline), volumes=files.read_volumes(spark, args.volumes), output_path=args.output, cell_filters=args.filter,
             atlas_name=args.atlas_name, merge_tree=merge, levels=args.levels,
         )
     elif args.command == "collate":

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,15 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Stash
+
 #: Lines of a dictionary file; more are refused, as a dictionary passes through the driver.
 DICTIONARY_LINES = 1_000_000
 
 
 def _lines(spark: SparkSession, path: str) -> list[list[str]]:
+    n = spark.read.text(path).count()
+    if n > DICTIONARY_LINES:
+        raise ValueError(f"{path} has {n} lines; a dictionary has at most {DICTIONARY_LINES}")
     text = spark.read.text(path, wholetext=True).first()
     rows = list(csv.reader(io.StringIO(text[0] if text else "", newline="")))
-    if len(rows) > DICTIONARY_LINES:
-        raise ValueError(f"{path} has {len(rows)} lines; a dictionary has at most {DICTIONARY_LINES}")
     return [[cell.strip() for cell in row] for row in rows if row]
 
 
@@ -125,21 +129,48 @@ def read_cells_xml(spark: SparkSession, path: str, cells_only: bool = True, cell
     return kept.select(F.explode("Marker").alias("m")).select(F.monotonically_increasing_id().alias("cell_ord"), F.col("m.MarkerZ").alias("z"), F.col("m.MarkerY").alias("y"), F.col("m.MarkerX").alias("x"))
 
 
-def read_cells_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """Detections of YAML files (a list of mappings with z, y, x, type and a metadata mapping) as z, y, x, type, metadata (map). Needs PyYAML where tasks run."""
+#: Number of the marker type that stands for a cell.
+CELL_TYPE = 2
+
+
+def read_cells_yaml(spark: SparkSession, path: str, cells_only: bool = False, cell_type: int = CELL_TYPE) -> DataFrame:
+    """Detections of YAML files (a list of mappings with z, y, x, type and a metadata mapping) as z, y, x, type, metadata (map). Needs PyYAML where tasks run.
+
+    ``cells_only`` keeps detections of ``cell_type``.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
         for pdf in batches:
             for content in pdf["content"]:
-                cells = yaml.safe_load(bytes(content)) or []
+                cells = yaml.load(bytes(content), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or []
                 yield pd.DataFrame(
-                    [(float(c["z"]), float(c["y"]), float(c["x"]), int(c.get("type", 2)), {k: float(v) for k, v in (c.get("metadata") or {}).items()}) for c in cells],
+                    [(float(c["z"]), float(c["y"]), float(c["x"]), int(c.get("type", CELL_TYPE)), {k: float(v) for k, v in (c.get("metadata") or {}).items()}) for c in cells],
                     columns=["z", "y", "x", "type", "metadata"],
                 )
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "z double, y double, x double, type int, metadata map<string, double>")
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "z double, y double, x double, type int, metadata map<string, double>")
+    return found.filter(F.col("type") == cell_type) if cells_only else found
+
+
+def read_cells(spark: SparkSession, path: str, cells_only: bool = True) -> DataFrame:
+    """Cells of a Parquet table, marker XML or YAML, by the end of the name. Detections become cell_ord, z, y, x and a column per measure of their
+    metadata (whole-number ids such as region_id as int), written once, since they are parsed row by row. ``cells_only`` leaves out other types of detections."""
+    name = path.rstrip("/").lower()
+    if name.endswith(".xml"):
+        return Stash(read_cells_xml(spark, path, cells_only), "detections").df
+    if not name.endswith((".yml", ".yaml")):
+        return spark.read.parquet(path)
+    found = Stash(read_cells_yaml(spark, path, cells_only), "detections").df
+    measures = sorted(r[0] for r in found.select(F.explode(F.map_keys("metadata")).alias("k")).distinct().collect())  # columns, a handful
+    typed = lambda m: F.col("metadata")[m].cast("int" if m == "region_id" or m.startswith("region_id_") else "double").alias(m)
+    return found.select(F.monotonically_increasing_id().alias("cell_ord"), "z", "y", "x", *[typed(m) for m in measures if m not in ("cell_ord", "z", "y", "x")])
+
+
+def plain_path(path: str) -> str:
+    """A local path without its scheme; other paths as they are."""
+    return re.sub("^file:/+", "/", path)
 
 
 def discover(spark: SparkSession, root: str, suffix: str, exclude: tuple[str, ...] = ()) -> list[str]:

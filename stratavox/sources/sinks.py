@@ -23,11 +23,11 @@ def _same_place(df: DataFrame, path: str) -> bool:
     return any(plain(f) == own or plain(f).startswith(own + "/") for f in df.inputFiles())
 
 
-def write_cells(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Cells as Parquet. Writing over the table that is being read is refused."""
+def write_cells(df: DataFrame, path: str, mode: str = "errorifexists", order: list[str] | None = None) -> None:
+    """Cells as Parquet, with ``order`` in ranges of these columns, sorted within and from part to part. Writing over the table that is being read is refused."""
     if _same_place(df, path):
         raise ValueError(f"{path} is being read; write the cells elsewhere")
-    df.write.mode(mode).parquet(path)
+    (df.orderBy(*order) if order else df).write.mode(mode).parquet(path)
 
 
 def write_split(kept: DataFrame, removed: DataFrame, kept_path: str | None, removed_path: str | None, mode: str = "errorifexists") -> None:
@@ -42,10 +42,10 @@ def write_csv(df: DataFrame, path: str, header: list[str] | None = None, order:
 
     The rows of one file are bounded (``ONE_FILE_ROWS``); more are refused, ``write_csv_parts`` is for those.
     """
-    held = df.orderBy(order).drop(order) if order else df
-    rows = held.limit(ONE_FILE_ROWS + 1).collect()
-    if len(rows) > ONE_FILE_ROWS:
+    if df.limit(ONE_FILE_ROWS + 1).count() > ONE_FILE_ROWS:
         raise ValueError(f"More than {ONE_FILE_ROWS} rows for one file: {path}")
+    held = df.orderBy(order).drop(order) if order else df
+    rows = held.collect()
     out = io.StringIO()
     writer = csv.writer(out)
     writer.writerow(header or held.columns)
