@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable
 
 import pyspark
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
@@ -95,13 +95,12 @@ def summarize_regions(
         if strange:
             raise ValueError(f"Merged groups have unknown members: {sorted(r[0] for r in strange)}")
     placed = atlas.resolve_leaves(kept, tree, region_column(atlas_name), strict=True)
-    # the cells inside are counted on their way, without another scan
-    inside = Observation()
-    seen = placed.observe(inside, F.count_if(F.col("placement") != "outside").alias("n"), F.count("*").alias("all"))
-    summary = Stash(regions.region_summary(seen, tree, volumes), "summary").df
-    roots = summary.join(tree.filter("parent_id IS NULL").select("region_id"), "region_id").select("n_cells").collect()
-    if sum(r[0] for r in roots) != inside.get["n"]:
-        raise ValueError(f"The roots count {sum(r[0] for r in roots)} cells, but {inside.get['n']} lie inside")
+    summary = Stash(regions.region_summary(placed, tree, volumes), "summary").df
+    counted = summary.join(tree.filter("parent_id IS NULL").select("region_id"), "region_id").agg(F.sum("n_cells")).first()[0] or 0
+    # counted on its own, as a count taken on the way would count rows of repeated tasks twice
+    inside = kept.filter(F.col(region_column(atlas_name)) != atlas.OUTSIDE).count()
+    if counted != inside:
+        raise ValueError(f"The roots count {counted} cells, but {inside} lie inside")
     result = regions.level_layout(summary, tree) if levels else regions.merged_groups(summary, merge_tree) if merge_tree is not None else summary
     if output_path:
         (sinks.write_levels if levels else sinks.write_flat)(result, output_path)

@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .gamma import log_gamma_of
+
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function, by its continued fraction (modified Lentz), for arrays."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    gamma = np.vectorize(math.lgamma, otypes=[float])
+    gamma = log_gamma_of
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(gamma(p + q) - gamma(p) - gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
         tiny = 1e-300

@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.gamma import log_gamma_of
 from ..functions.student import incomplete_beta, normal_two_sided
 from ..session import Stash
 
 LEAST, MOST = 1e-8, 10.0
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def design_matrix(metadata: pd.DataFrame, factors: list[str]) -> tuple[np.ndarra
 
 def _log_likelihood(n: np.ndarray, mu: np.ndarray, alpha: float) -> float:
     r = 1 / alpha
-    return float(np.sum(_lgamma(n + r) - math.lgamma(r) - (n + r) * np.log1p(alpha * mu) + n * np.log(alpha * mu)))
+    return float(np.sum(log_gamma_of(n + r) - math.lgamma(r) - (n + r) * np.log1p(alpha * mu) + n * np.log(alpha * mu)))
 
 
 def _fit(n: np.ndarray, size: np.ndarray, x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

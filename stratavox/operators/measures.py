@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.gamma import digamma, log_gamma, trigamma
+
 # The open range in which a measure's fit is valid (none for center_intensity).
 MEASURES: dict[str, tuple[float, float] | None] = {
     "center_intensity": None,
@@ -175,47 +177,46 @@ def measure_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "measure string, n long, mean double, least double, greatest double, q01 double, q05 double, q95 double, q99 double")
 
 
-def _digamma(v: float) -> float:
-    total = 0.0
-    while v < 20:
-        total -= 1 / v
-        v += 1
-    return total + math.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4)
+#: Trial locations of the inverse-gamma fit: distances below the first bin, as powers of ten of the values' range.
+LOCATIONS = [-4 + 5.5 * k / 299 for k in range(300)]
+NEWTON = 12
+
+
+def inverse_gamma_fit(bins: DataFrame) -> DataFrame:
+    """location, shape, scale, one row: the likeliest inverse-gamma distribution of a histogram's values scaled to [0, 1]; no row for fewer than two filled bins.
+
+    For a given location the maximum-likelihood shape and scale follow from two means over the bins; all trial locations are worked out at once, BINS x
+    LOCATIONS rows aggregated map-side, and the likeliest is kept. The shape is found by Newton's steps, as an expression.
+    """
+    centre = (F.col("bin") + 0.5) / BINS
+    first = 0.5 / BINS  # the least value lies in the first bin
+    places = F.array(*[F.lit(first - 10**e) for e in LOCATIONS])
+    y = 1 / (F.col("c") - F.col("location"))
+    each = bins.filter("n > 0").select(centre.alias("c"), "n", F.explode(places).alias("location"))
+    means = each.groupBy("location").agg(F.sum("n").alias("total"), F.count("*").alias("filled"), F.sum(F.col("n") * y).alias("m"), F.sum(F.col("n") * F.log(y)).alias("l"))
+    means = means.filter("filled > 1").select("location", (F.col("m") / F.col("total")).alias("mean"), (F.col("l") / F.col("total")).alias("mean_log"))
+    gap = F.log("mean") - F.col("mean_log")
+    start = (3 - gap + F.sqrt((gap - 3) * (gap - 3) + 24 * gap)) / (12 * gap)
+    step = lambda a, _: 1 / (1 / a + (F.log(a) - digamma(a) - gap) / (a * a * (1 / a - trigamma(a))))
+    shaped = means.withColumn("shape", F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), start, step)).withColumn("scale", F.col("shape") / F.col("mean"))
+    likely = F.col("shape") * F.log("scale") - log_gamma(F.col("shape")) + (F.col("shape") + 1) * F.col("mean_log") - F.col("scale") * F.col("mean")
+    best = shaped.agg(F.max_by(F.struct("location", "shape", "scale"), likely).alias("b"))
+    return best.filter("b is not null").select("b.*")
 
 
 def inverse_gamma_curve(df: DataFrame, column: str, points: int = 500) -> DataFrame:
     """x, density of an inverse-gamma distribution fitted to the column's values, on ``points`` places from the least to the greatest value.
 
-    Values are scaled to [0, 1] and counted in ``BINS`` bins; shape, location and scale are the maximum-likelihood ones of the binned values (for a given
-    location, shape and scale follow from two means; the location is searched). Null and NaN do not count; fewer than two different values give no rows.
+    Values are scaled to [0, 1] and counted in ``BINS`` bins (``inverse_gamma_fit``). Null and NaN do not count; fewer than two filled bins give no
+    rows. Only the range and the three parameters come to the driver.
     """
-    bins = linear_histogram(df, column, bins=BINS).filter("n > 0").select("low", "high", "n").toPandas()
+    v = F.col(column).cast("double")
+    span = df.filter(v.isNotNull() & ~F.isnan(v)).agg(F.min(v).alias("low"), F.max(v).alias("high")).first()
+    found = inverse_gamma_fit(linear_histogram(df, column, bins=BINS)).first() if span["low"] is not None and span["low"] < span["high"] else None
     spark = df.sparkSession
-    if len(bins) < 2:
+    if found is None:
         return spark.createDataFrame([], "x double, density double")
-    bins = bins.sort_values("low", ignore_index=True)
-    low, span = float(bins["low"].iloc[0]), float(bins["high"].iloc[-1] - bins["low"].iloc[0])
-    x = ((bins["low"] + bins["high"]).to_numpy() / 2 - low) / span
-    w = bins["n"].to_numpy() / bins["n"].sum()
-
-    def at(loc: float) -> tuple[float, float, float]:
-        y = 1 / (x - loc)
-        mean = float(w @ y)
-        gap = math.log(mean) - float(w @ np.log(y))
-        a, b = 1e-3, 1e6
-        for _ in range(200):
-            m = math.sqrt(a * b)
-            a, b = (m, b) if math.log(m) - _digamma(m) > gap else (a, m)
-        shape = math.sqrt(a * b)
-        scale = shape / mean
-        return shape * math.log(scale) - math.lgamma(shape) + (shape + 1) * float(w @ np.log(y)) - scale * mean, shape, scale
-
-    places = x[0] - np.logspace(-4, 1.5, 300)
-    k = int(np.argmax([at(p)[0] for p in places]))
-    loc = float(places[k])
-    _, shape, scale = at(loc)
-    grid = np.linspace(0, 1, points)
-    inside = grid > loc
-    z = np.where(inside, grid - loc, 1.0)
-    density = np.where(inside, np.exp(shape * math.log(scale) - math.lgamma(shape) - (shape + 1) * np.log(z) - scale / z), 0.0)
-    return spark.createDataFrame([(float(low + g * span), float(d)) for g, d in zip(grid, density)], "x double, density double")
+    grid = spark.range(points).select((F.col("id") / float(max(points - 1, 1))).alias("g"))
+    shape, scale, z = F.lit(found["shape"]), F.lit(found["scale"]), F.col("g") - F.lit(found["location"])
+    density = F.when(z > 0, F.exp(shape * F.log(scale) - log_gamma(shape) - (shape + 1) * F.log(z) - scale / z)).otherwise(0.0)
+    return grid.select((F.lit(span["low"]) + F.col("g") * (span["high"] - span["low"])).alias("x"), density.alias("density"))

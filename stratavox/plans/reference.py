@@ -371,7 +371,9 @@ def deseq_wald(spark, folder):
 
 
 def invgamma_pdf(spark, folder):
-    return _each(lambda m: measures.inverse_gamma_curve(_positive(spark, folder, m), m).withColumn("measure", F.lit(m)), measures.MEASURES)
+    """The fitted curve of every measure; x and density to 5 digits of their size."""
+    digits = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.format_string("%.4e", c).cast("double")).alias(c)
+    return _each(lambda m: measures.inverse_gamma_curve(_positive(spark, folder, m), m).select(F.lit(m).alias("measure"), digits("x"), digits("density")), measures.MEASURES)
 
 
 _NAMES = (
@@ -566,6 +568,25 @@ SQL = {
 }
 
 
+def _curve_sql(m: str) -> str:
+    """The inverse-gamma fit by the same trial locations; derivatives of log gamma are difference quotients, which Newton's steps correct."""
+    digits = lambda c: f"CASE WHEN {c} = 0 THEN 0.0 ELSE CAST(printf('%.4e', {c}) AS DOUBLE) END"
+    slope = "((lgamma(a * 1.00001) - lgamma(a * 0.99999)) / (a * 0.00002))"
+    return f"""SELECT * FROM (WITH RECURSIVE {_values(m)}, span AS (SELECT min(v) AS low, max(v) AS high FROM val),
+      bins AS (SELECT (least(floor((v - low) / (high - low) * 2048), 2047) + 0.5) / 2048 AS c, count(*) AS n FROM val, span GROUP BY 1),
+      place AS (SELECT 0.5 / 2048 - 10 ** (-4 + 5.5 * k / 299) AS loc FROM (SELECT unnest(range(300)) AS k)),
+      means AS (SELECT loc, sum(n / (c - loc)) / sum(n) AS mean, sum(n * -ln(c - loc)) / sum(n) AS mean_log FROM bins, place GROUP BY loc),
+      walk AS (SELECT loc, mean, mean_log, ln(mean) - mean_log AS gap, (3 - (ln(mean) - mean_log) + sqrt((ln(mean) - mean_log - 3) ** 2 + 24 * (ln(mean) - mean_log))) / (12 * (ln(mean) - mean_log)) AS a, 0 AS i FROM means
+        UNION ALL SELECT loc, mean, mean_log, gap, a * exp(ln((ln(a) - {slope}) / gap)), i + 1 FROM walk WHERE i < 40),
+      fit AS (SELECT loc, a AS shape, a / mean AS scale FROM walk WHERE i = 40 ORDER BY a * ln(a / mean) - lgamma(a) + (a + 1) * mean_log - a DESC LIMIT 1),
+      grid AS (SELECT low + g * (high - low) AS x, CASE WHEN g > loc THEN exp(shape * ln(scale) - lgamma(shape) - (shape + 1) * ln(g - loc) - scale / (g - loc)) ELSE 0 END AS density
+        FROM (SELECT unnest(range(500)) / 499.0 AS g), span, fit)
+      SELECT '{m}' AS measure, {digits("x")} AS x, {digits("density")} AS density FROM grid)"""
+
+
+SQL["invgamma_pdf"] = " UNION ALL ".join(_curve_sql(m) for m in measures.MEASURES)
+
+
 def _chain_sql(result: str) -> str:
     """Each stage as a table of its survivors; stage numbers are where a row falls out."""
     tests = []
