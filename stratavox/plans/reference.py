@@ -131,17 +131,20 @@ def filter_removed(spark, folder):
 # distributions
 
 
-def _positive(spark, folder, column):
-    """Current values inside the measure's domain, written once as several scans follow."""
-    c = F.col(column)
-    inside = c.isNotNull() & ~F.isnan(c)
-    if limits := measures.MEASURES[column]:
-        inside = inside & (c > limits[0]) & (c < limits[1])
-    return Stash(_cells(spark, folder, column).filter(inside).select(column), "measure").df
+def _per_measure(spark, folder, part: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``part`` of every measure's current values inside its domain, one after another. Current rows are written once, as many scans follow."""
+    cells = Stash(_cells(spark, folder, *measures.MEASURES), "measures").df
+
+    def values(m: str) -> DataFrame:
+        c, limits = F.col(m), measures.MEASURES[m]
+        inside = c.isNotNull() & ~F.isnan(c)
+        return cells.filter(inside & (c > limits[0]) & (c < limits[1]) if limits else inside).select(m)
+
+    return _each(lambda m: part(values(m), m), measures.MEASURES)
 
 
 def hist_peak(spark, folder):
-    return _each(lambda m: measures.peak_row(_positive(spark, folder, m), m, measures.MEASURES[m]), measures.MEASURES).withColumn("peak", F.round("peak", 6))
+    return _per_measure(spark, folder, lambda values, m: measures.peak_row(values, m, measures.MEASURES[m])).withColumn("peak", F.round("peak", 6))
 
 
 def _histogram(bins: DataFrame, measure: str) -> DataFrame:
@@ -149,11 +152,11 @@ def _histogram(bins: DataFrame, measure: str) -> DataFrame:
 
 
 def hist_linear(spark, folder):
-    return _each(lambda m: _histogram(measures.linear_histogram(_positive(spark, folder, m), m), m), measures.MEASURES)
+    return _per_measure(spark, folder, lambda values, m: _histogram(measures.linear_histogram(values, m), m))
 
 
 def hist_log(spark, folder):
-    return _each(lambda m: _histogram(measures.log_histogram(_positive(spark, folder, m), m), m), measures.MEASURES)
+    return _per_measure(spark, folder, lambda values, m: _histogram(measures.log_histogram(values, m), m))
 
 
 TRIMS = (1, 5)
@@ -162,12 +165,11 @@ TRIMS = (1, 5)
 def hist_trimmed(spark, folder):
     """Histograms of what lies between the p % and (100 - p) % quantiles."""
 
-    def both(m: str) -> DataFrame:
-        values = _positive(spark, folder, m)
+    def both(values: DataFrame, m: str) -> DataFrame:
         bins = measures.bin_number(values.count(), 500)
         return _each(lambda p: _histogram(measures.linear_histogram(measures.trimmed(values, m, p / 100, 1 - p / 100), m, bins=bins), m).withColumn("cut", F.lit(p)), TRIMS)
 
-    return _each(both, measures.MEASURES)
+    return _per_measure(spark, folder, both)
 
 
 def measure_summary(spark, folder):
@@ -373,7 +375,7 @@ def deseq_wald(spark, folder):
 def invgamma_pdf(spark, folder):
     """The fitted curve of every measure; x and density to 5 digits of their size."""
     digits = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.format_string("%.4e", c).cast("double")).alias(c)
-    return _each(lambda m: measures.inverse_gamma_curve(_positive(spark, folder, m), m).select(F.lit(m).alias("measure"), digits("x"), digits("density")), measures.MEASURES)
+    return _per_measure(spark, folder, lambda values, m: measures.inverse_gamma_curve(values, m).select(F.lit(m).alias("measure"), digits("x"), digits("density")))
 
 
 _NAMES = (

@@ -9,3 +9,10 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Table ``name``; with ``columns``, only these (they reach the scan's ReadSchema)."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files come in fewer splits than there are cores: for work that is long for its bytes, such as reading texts. Larger tables
+    have splits enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
