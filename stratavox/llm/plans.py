@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.latest import current_cells
 from ..operators.measures import MEASURES as RANGES
 from ..session import Stash
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .cutoffs import keep_fraction
 from .leaks import leaked_passages
 from .lookalikes import ANY_CASE, CYRILLIC, GREEK, consistent_text, look_alike_pairs, look_classes
@@ -81,9 +81,13 @@ def p5_days_combined(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles(merge_sketches(days, ["channel"]), ["channel"], [50, 95, 99])
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Token counts, written once as their number, the placement and its check read them, and the placement."""
-    counts = Stash(token_counts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", VOCABULARY), "tokens", {"n": F.count("*")})
+    counts = Stash(token_counts(_documents(spark, folder), "doc_id", "text", VOCABULARY), "tokens", {"n": F.count("*")})
     return counts.df, pack_documents(counts.df, n_docs=counts.seen["n"])
 
 
@@ -102,7 +106,7 @@ def p7_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaked_passages(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
+    return leaked_passages(_documents(spark, folder), table(spark, folder, "eval_items", "item_id", "text"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,16 +118,16 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = look_alike_pairs(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    pairs = look_alike_pairs(_documents(spark, folder), "doc_id", "text")
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
 def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
-    return look_classes(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return look_classes(_documents(spark, folder), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", consistent_text("text").alias("text"))
+    return _documents(spark, folder).select("doc_id", consistent_text("text").alias("text"))
 
 
 QUERIES = {
