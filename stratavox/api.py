@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
+from .functions import panels
 from .operators import atlas, deseq, filters, measures, regions, samples, stats
 from .session import Stash
 from .sources import files, sinks
@@ -61,13 +62,23 @@ def filter_cells(*, cells: DataFrame, cell_filters: list[str], output_path: str
 
 
 def distributions(cells: DataFrame, measure: str) -> dict[str, DataFrame]:
-    """The data behind a measure's distribution panel: log, linear, 1-99 % and 5-95 % histograms, and the inverse-gamma curve."""
+    """The data behind a measure's distribution panel: log, linear, 1-99 % and 5-95 % histograms (with the scale of quantiles at the bins' ends), the inverse-gamma
+    curve, and the panels' titles (panel, title)."""
     values = cells.select(measure).filter(F.col(measure).isNotNull() & ~F.isnan(measure))
-    bins = measures.bin_number(values.count(), 500)
-    return {
-        "log": measures.log_histogram(values, measure), "linear": measures.linear_histogram(values, measure), "inverse_gamma": measures.inverse_gamma_curve(values, measure),
-        "q01_q99": measures.linear_histogram(measures.trimmed(values, measure, 0.01, 0.99), measure, bins=bins), "q05_q95": measures.linear_histogram(measures.trimmed(values, measure, 0.05, 0.95), measure, bins=bins),
-    }
+    size = values.agg(F.count("*").alias("n"), F.min(measure).alias("low"), F.max(measure).alias("high")).first()
+    bins = measures.bin_number(size["n"], 500)
+    tables = {"log": measures.log_histogram(values, measure), "linear": measures.linear_histogram(values, measure), "inverse_gamma": measures.inverse_gamma_curve(values, measure)}
+    titles = [("log", "Log x (>0)")]
+    if size["n"]:
+        titles.append(("linear", panels.range_title(size["low"], size["high"], measures.histogram_peak(values, measure, measures.MEASURES.get(measure)))))
+    for low, high in ((0.01, 0.99), (0.05, 0.95)):
+        name = f"q{low * 100:02.0f}_q{high * 100:02.0f}"
+        first, last = measures.exact_quantiles(values, measure, [low, high])
+        cut = measures.linear_histogram(values.filter(F.col(measure).between(first, last)) if size["n"] else values, measure, bins=bins)
+        scale = (lambda c: panels.value_to_quantile(F.col(c), first, last, low, high)) if size["n"] else (lambda c: F.lit(None).cast("double"))
+        tables[name] = cut.withColumns({"low_quantile": scale("low"), "high_quantile": scale("high")})
+        titles.append((name, f"{low} - {high} quantiles"))
+    return {**tables, "titles": cells.sparkSession.createDataFrame(titles, "panel string, title string")}
 
 
 @_timed

@@ -6,7 +6,6 @@ dispersion trend, its spread) are aggregates with one row per sample or region.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.gamma import log_gamma_of
 from ..functions.student import incomplete_beta, normal_two_sided
 from ..session import Stash
+from .samples import level_pairs
 
 LEAST, MOST = 1e-8, 10.0
 
@@ -221,7 +221,7 @@ def compare_levels(counts: DataFrame, metadata: DataFrame, factors: list[str]) -
     residual = np.log(rows["dispersion"].to_numpy()[seen]) - np.log(fitted[seen])
     deviation = 1.4826 * float(np.median(np.abs(residual - np.median(residual)))) if seen.any() else 1.0
     spread = max(deviation**2 - _trigamma((len(design) - x.shape[1]) / 2), 0.25)
-    contrasts = [(f, a, b) for f in factors for a, b in itertools.combinations(levels[f], 2)]
+    contrasts = sorted(((r["factor"], r["level_a"], r["level_b"]) for r in level_pairs(metadata.join(sizes, "sample"), factors).collect()), key=lambda c: (factors.index(c[0]), *c[1:]))
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         n, own = vector(pdf), float(pdf["dispersion"].iloc[0])

@@ -111,3 +111,10 @@ def group_means_wide(obs: DataFrame, keys: list[str], columns: list[str], groups
 def sample_groups(obs: DataFrame, factors: list[str]) -> DataFrame:
     """Sample metadata of an analysis: sample and factors, each sample once."""
     return obs.select("sample", *factors).distinct()
+
+
+def level_pairs(samples: DataFrame, factors: list[str]) -> DataFrame:
+    """factor, level_a, level_b: every pair of different levels (a before b by name) of every factor; a factor of one level has none. Levels are aggregated map-side; null is none."""
+    each = samples.select(F.inline(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level_a")) for f in factors])))
+    levels = each.filter("level_a is not null").distinct()
+    return levels.join(levels.withColumnRenamed("level_a", "level_b"), "factor").filter("level_a < level_b")

@@ -360,6 +360,10 @@ def _by_channel(counts: DataFrame, part: Callable[[DataFrame], DataFrame]) -> Da
     return _each(lambda c: part(counts.filter(F.col("channel") == c).drop("channel")).withColumn("channel", F.lit(c)), CHANNELS)
 
 
+def level_pairs(spark, folder):
+    return samples.level_pairs(samples.grouped_metadata(_metadata(spark, folder), ["condition_name", "genotype", "sex"]), ["condition_name", "genotype", "sex"])
+
+
 def deseq_size_factors(spark, folder):
     return _by_channel(_counts(spark, folder), deseq.size_factors).withColumn("size_factor", F.round("size_factor", 6))
 
@@ -382,7 +386,7 @@ _NAMES = (
     "tree_from_outline tree_closure tree_preorder_depth tree_validation_report tree_validation_planted leaf_resolution locate_voxels filter_fixed filter_percentile filter_mean filter_peak "
     "filter_chain filter_removed hist_peak hist_linear hist_log hist_trimmed measure_summary region_counts region_rollup region_outside other_volume volume_consistency volume_violations root_total "
     "region_summary region_density image_region_rollup level_export merged_groups collate_long exclude_groups sample_metadata exclude_regions include_regions only_leafs group_n raw_wide "
-    "group_means_wide stat_matrix group_moments welch_t welch_p bh_fdr analyzed_wide deseq_size_factors deseq_base_mean deseq_wald invgamma_pdf"
+    "group_means_wide stat_matrix group_moments welch_t welch_p bh_fdr analyzed_wide level_pairs deseq_size_factors deseq_base_mean deseq_wald invgamma_pdf"
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -557,6 +561,9 @@ SQL = {
       grid AS (SELECT * FROM (SELECT DISTINCT channel, id FROM leaf), (SELECT DISTINCT sample FROM leaf))
       SELECT g.channel, g.id AS "RegionID", g.sample || ':total_cells' AS label, CAST(o.total_cells AS DOUBLE) AS value FROM grid g LEFT JOIN leaf o USING (channel, id, sample)""",
     "group_moments": f'WITH {_MOMENTS} SELECT channel, id, "group", n, round(mean, 6) AS mean, round(variance, 6) AS variance FROM moments',
+    "level_pairs": f"WITH {_META}, lev AS ("
+    + " UNION ".join(f"SELECT '{f}' AS factor, lower(coalesce({f}, '')) AS l FROM meta" for f in ("condition_name", "genotype", "sex"))
+    + ") SELECT a.factor, a.l AS level_a, b.l AS level_b FROM lev a JOIN lev b ON a.factor = b.factor AND a.l < b.l",
     "deseq_size_factors": " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_deseq(c)} SELECT {c} AS channel, sample, round(size_factor, 6) AS size_factor FROM sf)" for c in CHANNELS),
     "deseq_base_mean": " UNION ALL ".join(
         f"SELECT * FROM (WITH RECURSIVE {_deseq(c)} SELECT {c} AS channel, region_id, round(avg(n / size_factor), 6) AS base_mean FROM cnt JOIN sf USING (sample) GROUP BY region_id)" for c in CHANNELS

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratavox import api, cli
 from stratavox.sources import files, sinks
@@ -141,7 +142,22 @@ def test_filter_and_locate_outputs(spark, folder):
 def test_panels(spark):
     values = spark.createDataFrame([(float(v + 1),) for v in range(100)], "r_xy double")
     panels = api.distributions(values, "r_xy")
-    assert set(panels) == {"log", "linear", "inverse_gamma", "q01_q99", "q05_q95"} and sum(r["n"] for r in panels["linear"].collect()) == 100
+    assert set(panels) == {"log", "linear", "inverse_gamma", "q01_q99", "q05_q95", "titles"} and sum(r["n"] for r in panels["linear"].collect()) == 100
+
+
+def test_scales_and_titles_of_panels(spark):
+    from stratavox.functions.panels import quantile_to_value, range_title, value_to_quantile
+
+    made = api.distributions(spark.createDataFrame([(float(v),) for v in range(101)], "r_xy double"), "r_xy")
+    cut = made["q05_q95"].orderBy("bin").collect()
+    assert (cut[0]["low"], cut[0]["low_quantile"]) == (5.0, 0.05) and cut[-1]["high_quantile"] == pytest.approx(0.95)
+    assert {r["panel"]: r["title"] for r in made["titles"].collect()}["q01_q99"] == "0.01 - 0.99 quantiles"
+    assert range_title(0, 120.5) == "(  0, 120.5)" and range_title(0.5, 1e7, 3) == "(0.5,   3*, 1e+07)"
+    there = value_to_quantile(F.col("x"), 2.0, 6.0, 0.1, 0.9)
+    rows = spark.createDataFrame([(v,) for v in (2.0, 4.0, 7.0)], "x double").select("x", there.alias("q")).withColumn("y", quantile_to_value(F.col("q"), 2.0, 6.0, 0.1, 0.9)).collect()
+    assert [r["q"] for r in rows][:2] == [0.1, 0.5] and [r["y"] for r in rows] == pytest.approx([2.0, 4.0, 7.0])
+    empty = api.distributions(spark.createDataFrame([], "r_xy double"), "r_xy")
+    assert all(t.count() == 0 for name, t in empty.items() if name != "titles")
 
 
 @pytest.fixture()
