@@ -40,13 +40,14 @@ class Hierarchy:
     """A binary hierarchy over boxes that are given in a compact order; leaves hold ``BUCKET`` boxes each."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray):
-        self.low, self.high = low, high
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = len(low)
+        self.boxes = _columns(low, high)
+        self.levels: list[list[tuple[np.ndarray, np.ndarray]]] = []
         width = BUCKET
         while len(low):
             starts = np.arange(0, len(low), width)
             low, high = np.minimum.reduceat(low, starts, axis=0), np.maximum.reduceat(high, starts, axis=0)
-            self.levels.append((low, high))
+            self.levels.append(_columns(low, high))
             if len(low) == 1:
                 break
             width = 2
@@ -71,20 +72,33 @@ class Hierarchy:
         nothing = np.zeros(0, dtype=np.int64)
         if not len(low) or not self.levels:
             return nothing, nothing
+        asked = _columns(low, high)
         query, node = np.arange(len(low)), np.zeros(len(low), dtype=np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            at_low, at_high = self.levels[depth]
-            met = ((at_low[node] <= high[query]) & (low[query] <= at_high[node])).all(axis=1)
-            query, node = query[met], node[met]
+            query, node = _met(self.levels[depth], asked, query, node)
             fan = 2 if depth else BUCKET
             if limit is not None and fan * len(query) > limit:
                 return None
-            below = len(self.levels[depth - 1][0]) if depth else len(self.low)
+            below = len(self.levels[depth - 1][0][0]) if depth else self.size
             query, node = np.repeat(query, fan), (node[:, None] * fan + np.arange(fan)).ravel()
-            inside = node < below
-            query, node = query[inside], node[inside]
-        met = ((self.low[node] <= high[query]) & (low[query] <= self.high[node])).all(axis=1)
-        return query[met], node[met]
+            if node.max(initial=0) >= below:
+                inside = node < below
+                query, node = query[inside], node[inside]
+        return _met(self.boxes, asked, query, node)
+
+
+def _columns(low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ends of boxes by dimension, the last first: place tells boxes apart sooner than the group does."""
+    return [(np.ascontiguousarray(low[:, d]), np.ascontiguousarray(high[:, d])) for d in reversed(range(low.shape[1]))]
+
+
+def _met(boxes: list, asked: list, query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (query, node) pairs whose boxes touch; a dimension at a time, so that each tests what the ones before left."""
+    for (low, high), (from_, to) in zip(boxes, asked):
+        met = low[node] <= to[query]
+        met &= from_[query] <= high[node]
+        query, node = query[met], node[met]
+    return query, node
 
 
 def ear_clip(ring: np.ndarray) -> np.ndarray:
