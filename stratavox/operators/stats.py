@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.student import t_p_value
+from ..session import Stash
 
 NAN = float("nan")
 
@@ -28,8 +29,9 @@ def welch(moments: DataFrame, keys: list[str]) -> DataFrame:
     """keys, group_a, group_b (a before b by name), t, df, p for every pair of groups of ``group_moments``.
 
     t and df are NaN where a group has one value or both variances and the difference are 0; with both variances 0 and different means t
-    is infinite and p 0. The join is on the keys; the pairs are pairs of groups, not of samples.
+    is infinite and p 0. The join is on the keys; the pairs are pairs of groups, not of samples. Moments are written once, as both sides read them.
     """
+    moments = Stash(moments, "moments").df
     other = moments.select(*keys, F.col("group").alias("group_b"), F.col("n").alias("n_b"), F.col("mean").alias("mean_b"), F.col("variance").alias("variance_b"))
     both = moments.join(other, keys).filter(F.col("group") < F.col("group_b"))
     a, b = F.col("variance") / F.col("n"), F.col("variance_b") / F.col("n_b")
