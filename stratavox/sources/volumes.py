@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 IMAGES = (".tif", ".tiff")
@@ -153,13 +154,16 @@ class LabelVolumeReader(DataSourceReader):
             every = [Layer(-2, 0, 1 << 60, self.path)]
         return [p for p in every if p.last >= self.low and p.first <= self.high] or [Layer(-3, 0, 0, self.path)]
 
-    def read(self, partition: Layer) -> Iterator[tuple]:
+    def read(self, partition: Layer) -> Iterator[pa.RecordBatch]:
+        """One Arrow batch a page; labels stay numbers in one buffer."""
         if partition.k == -3:
             return
         pages = _Array(_Folder(self.path), self.item).layer(partition.k) if partition.k >= 0 else read_pages(partition.path)
         for dz, page in enumerate(pages):
-            for y, row in enumerate(page):
-                yield partition.first + dz, y, row.astype(int).tolist()
+            height, width = page.shape
+            labels = pa.ListArray.from_arrays(pa.array(np.arange(height + 1, dtype=np.int32) * width), pa.array(page.astype(np.int32).ravel()))
+            columns = [pa.array(np.full(height, partition.first + dz, dtype=np.int32)), pa.array(np.arange(height, dtype=np.int32)), labels]
+            yield pa.RecordBatch.from_arrays(columns, names=["z", "y", "labels"])
 
 
 class LabelVolume(DataSource):
