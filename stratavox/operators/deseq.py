@@ -103,27 +103,43 @@ def _dispersion(n: np.ndarray, mu: np.ndarray, x: np.ndarray, trend: float | Non
     return math.exp((a + b) / 2)
 
 
-def fit_trend(means: np.ndarray, dispersions: np.ndarray) -> tuple[float, float]:
-    """(a1, a0) of the trend a1 / mean + a0 through gene-wise dispersions, by reweighted least squares; constant where that fails."""
-    good = (dispersions > 100 * LEAST) & (means > 0)
-    flat = (0.0, float(np.mean(dispersions[good])) if good.any() else 0.1)
+def fit_trend(wise: DataFrame) -> tuple[float, float]:
+    """(a1, a0) of the trend a1 / mean + a0 through gene-wise dispersions (base_mean, dispersion), by reweighted least squares; constant where that fails.
+
+    Each step is one aggregate over the regions, whose sums give the two normal equations.
+    """
+    d, m = F.col("dispersion"), F.col("base_mean")
+    good = wise.filter((d > 100 * LEAST) & (m > 0))
+    flat = (0.0, good.agg(F.coalesce(F.avg(d), F.lit(0.1))).first()[0])
     a1, a0 = 1.0, 0.1
     for _ in range(20):
-        fitted = a1 / means + a0
-        use = good & (dispersions / fitted > 1e-4) & (dispersions / fitted < 15)
-        if use.sum() < 3:
+        fitted = F.lit(a1) / m + F.lit(a0)
+        near = good.filter((d / fitted > 1e-4) & (d / fitted < 15)).select((1 / m / fitted).alias("u"), (1 / fitted).alias("v"), (d / fitted).alias("r"))
+        pairs = {"uu": ("u", "u"), "uv": ("u", "v"), "vv": ("v", "v"), "ur": ("u", "r"), "vr": ("v", "r")}
+        sums = near.agg(F.count("*").alias("n"), *[F.sum(F.col(x) * F.col(y)).alias(name) for name, (x, y) in pairs.items()]).first()
+        if sums["n"] < 3:
+            return flat
+        whole = sums["uu"] * sums["vv"] - sums["uv"] ** 2
+        if whole <= 1e-12 * sums["uu"] * sums["vv"]:
             return flat
-        x = np.column_stack([1 / means[use], np.ones(use.sum())]) / fitted[use, None]
-        new1, new0 = np.linalg.lstsq(x, dispersions[use] / fitted[use], rcond=None)[0]
+        new1, new0 = (sums["ur"] * sums["vv"] - sums["vr"] * sums["uv"]) / whole, (sums["vr"] * sums["uu"] - sums["ur"] * sums["uv"]) / whole
         if new0 <= 0 or new1 < 0:
             return flat
         moved = abs(math.log(max(new1, 1e-12) / max(a1, 1e-12))) + abs(math.log(new0 / a0))
-        a1, a0 = float(new1), float(new0)
+        a1, a0 = new1, new0
         if moved < 1e-6:
             break
     return a1, a0
 
 
+def trend_deviation(wise: DataFrame, a1: float, a0: float) -> float:
+    """A robust standard deviation of the log dispersions around the trend; 1 where none is seen."""
+    residual = F.log("dispersion") - F.log(F.lit(a1) / F.col("base_mean") + F.lit(a0))
+    seen = wise.filter(F.col("dispersion") > 100 * LEAST).select(residual.alias("r"))
+    middle = seen.agg(F.median("r")).first()[0]
+    return 1.0 if middle is None else 1.4826 * seen.agg(F.median(F.abs(F.col("r") - F.lit(middle)))).first()[0]
+
+
 def _trigamma(v: float) -> float:
     total = 0.0
     while v < 20:
@@ -182,7 +198,7 @@ def compare_levels(counts: DataFrame, metadata: DataFrame, factors: list[str]) -
     out (callers give them -1), and so are samples without any. pvalue and padj are NaN for Cook's outliers. Design: the sum of the factors. Outliers in cells of seven or more samples are
     replaced by the trimmed mean and the region is fitted again.
 
-    What the driver sees: one row per sample (the design) and one row per region (base mean and dispersion, for the trend).
+    What the driver sees: one row per sample (the design), and the sums of the trend's fit.
     """
     rounded = counts.select("region_id", "sample", F.rint(F.col("n").cast("double")).alias("n")).join(metadata.select("sample"), "sample", "left_semi")
     positive = rounded.groupBy("region_id").agg(F.sum("n").alias("s")).filter("s > 0").select("region_id")
@@ -214,12 +230,8 @@ def compare_levels(counts: DataFrame, metadata: DataFrame, factors: list[str]) -
 
     first = held.groupBy("region_id").applyInPandas(gene_wise, "region_id int, base_mean double, dispersion double")
     wise = Stash(first, "dispersions").df
-    rows = wise.toPandas()
-    a1, a0 = fit_trend(rows["base_mean"].to_numpy(), rows["dispersion"].to_numpy())
-    fitted = a1 / rows["base_mean"].to_numpy() + a0
-    seen = rows["dispersion"].to_numpy() > 100 * LEAST
-    residual = np.log(rows["dispersion"].to_numpy()[seen]) - np.log(fitted[seen])
-    deviation = 1.4826 * float(np.median(np.abs(residual - np.median(residual)))) if seen.any() else 1.0
+    a1, a0 = fit_trend(wise)
+    deviation = trend_deviation(wise, a1, a0)
     spread = max(deviation**2 - _trigamma((len(design) - x.shape[1]) / 2), 0.25)
     contrasts = sorted(((r["factor"], r["level_a"], r["level_b"]) for r in level_pairs(metadata.join(sizes, "sample"), factors).collect()), key=lambda c: (factors.index(c[0]), *c[1:]))
 
