@@ -113,3 +113,12 @@ def test_region_exclusion_inclusion_and_wide(spark):
     assert wide.columns == ["id", "s2:v", "s1:v", "s3:v"]
     means = {r["id"]: tuple(r)[1:] for r in samples.group_means_wide(obs, ["id"], ["v"]).collect()}
     assert means[11] == (1, 2, 111.0, 111.0)
+
+
+def test_the_trend_of_dispersions_is_recovered(spark):
+    rows = [(float(m), 2.0 / m + 0.1) for m in range(1, 200)] + [(5.0, 1e-9), (0.0, 1.0)]
+    a1, a0 = deseq.fit_trend(spark.createDataFrame(rows, "base_mean double, dispersion double"))
+    assert abs(a1 - 2) < 1e-6 and abs(a0 - 0.1) < 1e-6
+    assert deseq.trend_deviation(spark.createDataFrame(rows[:199], "base_mean double, dispersion double"), a1, a0) < 1e-6
+    assert deseq.fit_trend(spark.createDataFrame([(1.0, 0.3)], "base_mean double, dispersion double")) == (0.0, 0.3)
+    assert deseq.fit_trend(spark.createDataFrame([], "base_mean double, dispersion double")) == (0.0, 0.1)
