@@ -132,4 +132,6 @@ def ordered_profile(df: DataFrame, key: str, order_by: list[str], value: str, la
 def hot_keys(df: DataFrame, key: str, permille: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Keys (null is none) that hold at least ``permille`` thousandths of all rows, rows with a null key included in the total."""
     counted = Stash(key_counts(df, key, chunk_rows), "counts", {"total": F.sum("n_rows")})
-    return counted.df.filter(F.col(key).isNotNull() & (F.col("n_rows") * 1000 >= F.lit(counted.seen["total"]) * permille)).select(key, "n_rows", "n_chunks")
+    # as a long: a literal below 2 ** 31 is an int, and its product overflows long before the count does
+    total = F.lit(counted.seen["total"]).cast("long")
+    return counted.df.filter(F.col(key).isNotNull() & (F.col("n_rows") * 1000 >= total * permille)).select(key, "n_rows", "n_chunks")

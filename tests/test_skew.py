@@ -59,3 +59,9 @@ def test_counts_and_hot_keys(spark):
     assert [r["k"] for r in hot_keys(df, "k", 400).collect()] == [7]
     assert hot_keys(df.limit(0), "k", 40).count() == 0
     assert ordered_profile(df.limit(0), "k", ["o"], "v", "l").count() == 0
+
+
+def test_hot_keys_of_a_total_whose_product_is_no_int(spark):
+    n = 2_200_000  # times 990 permille: above 2 ** 31
+    df = spark.range(n).selectExpr("CAST(CASE WHEN id % 1000 < 9 THEN id % 1000 + 1 ELSE 0 END AS INT) AS k")
+    assert [tuple(r) for r in hot_keys(df, "k", 990).collect()] == [(0, n // 1000 * 991, 44)]
